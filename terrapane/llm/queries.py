@@ -18,6 +18,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5, 80)
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -36,6 +48,13 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "value_sha256", "probability")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify, sample
 
@@ -47,9 +66,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_token_counts": op5_token_counts,
     "op6_media_columns": op6_media_columns,
     "op8_source_mixing": op8_source_mixing,
+    "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+        with items as (select item_id, {_WORDS} w from benchmark), docs as (select doc_id, {_WORDS} w from documents),
+        i as (select distinct item_id, least(len(w), 5) k, unnest([array_to_string(w[n : n + least(len(w), 5) - 1], ' ') for n in range(1, len(w) - least(len(w), 5) + 2)]) s from items where len(w) > 0),
+        size as (select item_id, count(*) n from i group by 1),
+        d as (select distinct doc_id, k, unnest([array_to_string(w[n : n + k - 1], ' ') for n in range(1, len(w) - k + 2)]) s from docs, (select distinct k from i) where len(w) >= k),
+        hit as (select doc_id, i.item_id, count(*) c from d join i using (k, s) group by 1, 2)
+        select doc_id, hit.item_id, cast(c as bigint) as shared, cast(n as bigint) as n_item from hit join size using (item_id) where 100 * c >= 80 * n""",
+    "op4_jaccard_join": f"""
+        with recursive docs as (select doc_id, {_WORDS} w from documents),
+        sh as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else [array_to_string(w[n : n + 3], ' ') for n in range(1, len(w) - 2)] end) s from docs),
+        size as (select doc_id, count(*) n from sh group by 1),
+        common as (select a.doc_id a, b.doc_id b, count(*) c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+        link as (select a, b from common join size x on x.doc_id = a join size y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+        both_ways as (select a, b from link union select b, a from link),
+        reach as (select doc_id, doc_id as r from docs union select reach.doc_id, b from reach join both_ways on a = r)
+        select reach.doc_id, cast(coalesce(any_value(n), 0) as bigint) as n_shingles, min(r) as component_id from reach left join size on size.doc_id = reach.doc_id group by 1""",
+}
