@@ -48,6 +48,12 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload_images(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mixing import mix_sources
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_token_counts": op5_token_counts,
     "op6_media_columns": op6_media_columns,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
