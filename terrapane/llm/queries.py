@@ -18,6 +18,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import score
+
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    found = score(docs, docs.where(fold != 1))
+    return found.withColumn("held_out", fold == 1).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contained_items
 
@@ -78,6 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
     "op3_html_extraction": op3_html_extraction,
     "op4_jaccard_join": op4_jaccard_join,
