@@ -87,15 +87,23 @@ class Index:
         return out
 
 
-def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, shared, n_item: every document in which at least percent/100 of an item's k-word shingles occur."""
-    sc, rows = docs.sparkSession.sparkContext, shared.texts(docs, id_col, text_col)
+def index_blocks(items: DataFrame, k: int, percent: int, item_col: str, text_col: str) -> Iterator:
+    """The broadcast indexes of all items, block by block."""
+    sc = items.sparkSession.sparkContext
     sets = shared.saved(item_sets(shared.texts(items, item_col, text_col), k))
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    blocks, out = -(-total // BLOCK_SHINGLES), None
+    blocks = -(-total // BLOCK_SHINGLES)
     for b in range(blocks):
         mine = sets if blocks == 1 else sets.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        index = sc.broadcast(Index([(r["id"], r["width"], r["shingles"]) for r in mine.toLocalIterator()], percent))
+        rows = [(r["id"], r["width"], r["shingles"]) for r in mine.toLocalIterator()]
+        if rows:
+            yield sc.broadcast(Index(rows, percent))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, shared, n_item: every document in which at least percent/100 of an item's k-word shingles occur."""
+    rows, out = shared.texts(docs, id_col, text_col), None
+    for index in index_blocks(items, k, percent, item_col, text_col):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -107,3 +115,18 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
         found = rows.mapInArrow(run, PAIRS)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], PAIRS)
+
+
+def without_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that contain no item."""
+    for index in index_blocks(items, k, percent, item_col, text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, text_col):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[f[0] for f in index.value.search(part.column(part.schema.get_field_index(text_col)))]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

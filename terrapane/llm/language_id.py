@@ -196,3 +196,20 @@ def identify(docs: DataFrame, texts_by_language: dict[str, list[str]], id_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "phrase_rate"])
 
     return shared.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, phrase_rate double")
+
+
+def keep_identified(docs: DataFrame, texts_by_language: dict[str, list[str]], text_col: str = "text", most_rate: float = 6.0) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language: not ``und``, and at most most_rate normalised phrases a symbol (random letters need more)."""
+    import hashlib
+
+    key = hashlib.sha1(repr(sorted(texts_by_language.items())).encode()).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast(texts_by_language)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(key, sent.value)
+        for batch in batches:
+            for part in slices(batch, text_col, 1 << 21):
+                names, _, rate = model.predict(part.column(part.schema.get_field_index(text_col)))
+                yield part.filter(pa.array([n != "und" and r <= most_rate for n, r in zip(names, rate, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
