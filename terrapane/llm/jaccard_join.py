@@ -4,12 +4,13 @@ A document is the set of its distinct k-word shingles.  Hashing each shingle to
 sketch: the Hamming distance of two sketches never exceeds the symmetric difference of the sets.  Sets of sizes s <= m that link at
 percent/100 differ in at most (s + m)(100 - percent)/(100 + percent) shingles, so within a size band with bound d, sketches of
 d + g chunks agree in at least g whole chunks (pigeonhole).  Chunks are 2**20 bits wide and sparse, so a chunk is joined by a
-64-bit digest of its odd bits.  Chunks without an odd bit say nothing and are left out; a document with g or more of
+64-bit digest of its odd bits.  Chunks of no or one shingle say little and are left out; a document with nearly g or more of
 those adds its single shingles as keys, so no link is lost.  A set joins the band of its own size and those lower bands whose partners can reach it.
 
-Equal sets are one class from the start (a class is named by a 64-bit digest).  Classes that share a key are compared
-exactly, on the shingles of their whole texts.  Buckets of up to SMALL classes give all their pairs; larger ones are compared with
-pivots, and only classes that are still in different components go on to the next round, until no pair is left that could join two components.
+Equal sets are one class from the start (a class is named by a 64-bit digest).  Classes that share a key are candidates; those
+whose folded sketches (FOLD bits) already differ by too much are ruled out, and the others are compared exactly, on the shingles
+of their whole texts.  Buckets of up to SMALL classes give all their pairs.  Larger ones are first compared with their least class; then
+only classes that are still in different components go on, with up to PIVOTS of them in a round, until no pair is left that could join two components.
 So components are exact, while a bucket of n linked copies costs n comparisons, not n * n.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer than k words
@@ -34,7 +35,8 @@ from .words import Words, mix, slices
 
 RATIO = 1.6
 SMALL = 6
-PIVOTS = 64
+PIVOTS = 4096
+FOLD = 1024
 FLUSH = 2_000_000
 _BITS = np.uint64((1 << 20) - 1)
 _32 = np.uint64(32)
@@ -42,17 +44,20 @@ _32 = np.uint64(32)
 
 @lru_cache(maxsize=4)
 def bands(percent: int) -> list[tuple[int, int, int, int, int]]:
-    """(low, high, largest partner, chunks, g) for sizes low <= s < high, up to 2**40."""
+    """(low, high, largest partner, chunks, g) for sizes low <= s < high, up to 2**40; the number of chunks is the one that needs the fewest keys."""
     out, low = [], 1
     while low < 1 << 40:
         high = max(low + 1, math.ceil(low * RATIO))
         most = 100 * (high - 1) // percent
         d = (high - 1 + most) * (100 - percent) // (100 + percent)
-        g = 2
-        for _ in range(4):
-            empty = (d + g) * math.exp(-low / (d + g))
-            g = 1 + math.ceil(empty + 3 * math.sqrt(empty))
-        out.append((low, high, most, d + g if d else 0, g))
+        chunks = d + 2 + np.unique(np.linspace(0, 2 * d + 8, 400).astype(np.int64))
+        keys = np.zeros(len(chunks))
+        for n in np.linspace(low, high - 1, 4):
+            light = chunks * (1 + n / chunks) * np.exp(-n / chunks)
+            over = np.array([0.5 * math.erfc((c - d - 1 - m) / math.sqrt(2 * m + 1e-9)) for c, m in zip(chunks.tolist(), light.tolist(), strict=True)])
+            keys += chunks - light + over * n
+        best = int(chunks[keys.argmin()])
+        out.append((low, high, most, best if d else 0, best - d))
         low = high
     return out
 
@@ -80,11 +85,11 @@ def sketch_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
         chunk = ((salted >> _32) * np.uint64(chunks) >> _32).astype(np.int64)
         sketch = np.zeros(len(mine) * chunks, np.uint64)
         np.bitwise_xor.at(sketch, owner * chunks + chunk, mix((salted & _BITS) + np.uint64(1)))
-        found = np.flatnonzero(sketch)
+        found = np.flatnonzero((sketch != 0) & (np.bincount(owner * chunks + chunk, minlength=len(sketch)) > 1))
         who = found // chunks
         keys.append(mix(sketch[found] ^ mix((found % chunks).astype(np.uint64) + np.uint64((b + 1) << 40))))
         rows.append(mine[who])
-        over = np.flatnonzero(chunks - np.bincount(who, minlength=len(mine)) >= g)
+        over = np.flatnonzero(chunks - np.bincount(who, minlength=len(mine)) >= g - 1)
         if len(over):
             single = np.isin(owner, over)
             keys.append(mix(salted[single] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
@@ -94,17 +99,35 @@ def sketch_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def folded(sets: list[np.ndarray]) -> list[bytes]:
+    """The parity sketch of each set, FOLD bits."""
+    size = np.array([len(s) for s in sets])
+    bit = (mix(np.concatenate([np.zeros(0, np.uint64), *sets]) ^ np.uint64(0x50A1)) % np.uint64(FOLD)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(sets)), size) * FOLD + bit, minlength=len(sets) * FOLD) & 1
+    return [r.tobytes() for r in np.packbits(odd.astype(np.uint8).reshape(-1, FOLD), axis=1)]
+
+
+def sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, FOLD // 64)
+
+
+def possible(one: np.ndarray, n_one: np.ndarray, two: np.ndarray, n_two: np.ndarray, percent: int) -> np.ndarray:
+    """False where the sketches (rows of 64-bit words) differ in more bits than linked sets of these sizes can."""
+    apart = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+    return apart * (100 + percent) <= (n_one + n_two) * (100 - percent)
+
+
 def members(rows: DataFrame, k: int) -> DataFrame:
-    """id, class (null for an empty set), n_shingles."""
+    """id, class (null for an empty set), n_shingles, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, ids = class_ids(*Words(part.column(1)).shingles(k))
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, mask=n == 0), pa.array(n)], names=["id", "class", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, mask=n == 0), pa.array(n), pa.array(folded(sets), pa.binary())], names=["id", "class", "n_shingles", "sketch"])
 
-    return rows.mapInArrow(run, "id long, class long, n_shingles long")
+    return rows.mapInArrow(run, "id long, class long, n_shingles long, sketch binary")
 
 
 def sharded_keys(rows: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
@@ -171,25 +194,28 @@ def bucket_pairs(table: pa.Table) -> pa.Table:
     return _found(pairs, rest)
 
 
-def pivot_pairs(table: pa.Table) -> pa.Table:
-    """The next pairs of buckets (key, class, component): up to PIVOTS classes of the smallest components against all of the others; pivots leave the bucket."""
-    key, cls, comp = (table.column(c).to_numpy() for c in ("key", "class", "component"))
+def pivot_pairs(table: pa.Table, percent: int) -> pa.Table:
+    """The next pairs of buckets (key, class, component, n, sketch): up to PIVOTS classes of the smallest components against all of the other components; pivots leave the bucket."""
+    key, cls, comp, n = (table.column(c).to_numpy() for c in ("key", "class", "component", "n"))
+    sketch = sketches(table.column("sketch"))
     order = np.lexsort((cls, comp, key))
-    key, cls, comp = key[order], cls[order], comp[order]
+    key, cls, comp, n, sketch = key[order], cls[order], comp[order], n[order], sketch[order]
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, int)
     pairs, rest = [], []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        c, at, n = np.unique(comp[a:b], return_inverse=True, return_counts=True)
+        c, at, many = np.unique(comp[a:b], return_inverse=True, return_counts=True)
         if len(c) < 2:
             continue
-        turn = np.lexsort((cls[a:b], at, n[at]))
-        left = np.ones(b - a, bool)
-        for p in turn[:PIVOTS]:
-            left[p] = False
-            other = cls[a:b][left & (at != at[p])]
-            one = np.full(len(other), cls[a + p])
-            pairs.append(np.stack([np.minimum(one, other), np.maximum(one, other)], axis=1))
-        rest.append(np.stack([key[a:b][left], cls[a:b][left]], axis=1))
+        turn = np.lexsort((cls[a:b], at, many[at]))
+        mine, at, size, bits = cls[a:b][turn], at[turn], n[a:b][turn], sketch[a:b][turn]
+        for p in range(min(PIVOTS, b - a - 1)):
+            ok = possible(bits[p + 1 :], size[p + 1 :], bits[p], size[p], percent) & (at[p + 1 :] != at[p])
+            if ok.any():
+                other = mine[p + 1 :][ok]
+                one = np.full(len(other), mine[p])
+                pairs.append(np.stack([np.minimum(one, other), np.maximum(one, other)], axis=1))
+        if b - a - 1 > PIVOTS:
+            rest.append(np.stack([np.full(b - a - PIVOTS, key[a]), mine[PIVOTS:]], axis=1))
     return _found(pairs, rest)
 
 
@@ -226,35 +252,49 @@ def verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
 
-def linked_classes(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, label): the components of the classes that have links."""
+def close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the folded sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = possible(sketches(batch.column(3)), batch.column(2).to_numpy(), sketches(batch.column(5)), batch.column(4).to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    one, two = (classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def linked_classes(rows: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, label): the components of the classes (class, n, sketch) that have links."""
     shards = shared.parts(rows.sparkSession)
     found = shared.saved(sharded_keys(rows, k, percent, shards).groupBy("shard").applyInArrow(bucket_pairs, FOUND))
-    pairs = shared.saved(found.where("pair").select("a", "b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    pairs = shared.saved(close(found.where("pair").select("a", "b").distinct(), classes, percent))
+    rest = found.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("class"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(rest.select("class")).distinct()
     bodies = shared.saved(class_texts(rows, k, wanted))
     links = shared.saved(verified(pairs, bodies, k, percent))
     label = components(links)
-    rest = found.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("class"))
     while True:
         held = rest.join(label, rest["class"] == label["node"], "left").select("key", "class", F.coalesce("label", "class").alias("component"))
         mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        held = shared.saved(held.join(mixed, "key", "left_semi"))
+        held = shared.saved(held.join(mixed, "key", "left_semi").join(classes, "class"))
         if held.isEmpty():
             return label
-        found = shared.saved(held.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * shards))).groupBy("part").applyInArrow(lambda t: pivot_pairs(t), FOUND))
-        more = found.where("pair").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        pairs = pairs.unionByName(shared.saved(more))
-        links = links.unionByName(shared.saved(verified(more, bodies, k, percent)))
-        label = components(links)
+        found = shared.saved(held.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * shards))).groupBy("part").applyInArrow(lambda t: pivot_pairs(t, percent), FOUND))
+        more = shared.saved(found.where("pair").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
         rest = found.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("class"))
+        if not more.isEmpty():
+            pairs = pairs.unionByName(more)
+            links = links.unionByName(shared.saved(verified(more, bodies, k, percent)))
+            label = components(links)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row."""
     rows = shared.texts(docs, id_col, text_col)
-    label = linked_classes(rows, k, percent)
-    mine = members(rows, k)
+    mine = shared.saved(members(rows, k))
+    classes = shared.saved(mine.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    label = linked_classes(rows, classes, k, percent)
     some = mine.where("class is not null").join(label, F.col("class") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("label", "class").alias("component"))
     some = shared.saved(some)
     least = some.groupBy("component").agg(F.min("id").alias("component_id"))
