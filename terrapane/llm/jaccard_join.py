@@ -10,7 +10,8 @@ those adds its single shingles as keys, so no link is lost.  A set joins the ban
 Equal sets are one class from the start (a class is named by a 64-bit digest).  Classes that share a key are candidates; those
 whose folded sketches (FOLD bits) already differ by too much are ruled out, and the others are compared exactly, on the shingles
 of their whole texts.  Buckets of up to SMALL classes give all their pairs.  Larger ones are first compared with their least class; then
-only classes that are still in different components go on, with up to PIVOTS of them in a round, until no pair is left that could join two components.
+only classes that are still in different components go on: TRIALS rounds try pairs that would join components, and exact rounds
+compare what is left, with up to PIVOTS classes of a bucket in a round, until no pair is left that could join two components.
 So components are exact, while a bucket of n linked copies costs n comparisons, not n * n.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer than k words
@@ -19,6 +20,7 @@ make one shingle; repeated ids are rows of their own with the same component; ex
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -36,6 +38,7 @@ from .words import Words, mix, slices
 RATIO = 1.6
 SMALL = 6
 PIVOTS = 4096
+TRIALS = 3
 FOLD = 1024
 FLUSH = 2_000_000
 _BITS = np.uint64((1 << 20) - 1)
@@ -194,8 +197,12 @@ def bucket_pairs(table: pa.Table) -> pa.Table:
     return _found(pairs, rest)
 
 
-def pivot_pairs(table: pa.Table, percent: int) -> pa.Table:
-    """The next pairs of buckets (key, class, component, n, sketch): up to PIVOTS classes of the smallest components against all of the other components; pivots leave the bucket."""
+def pivot_pairs(table: pa.Table, percent: int, trial: int | None) -> pa.Table:
+    """The next pairs of buckets (key, class, component, n, sketch) between different components, as far as sketches allow.
+
+    In a trial round, components that a pair could join count as joined from then on, so a bucket gives fewer pairs than it has components.
+    In an exact round (trial: None) up to PIVOTS classes of the smallest components meet all of the others, and leave the bucket.
+    """
     key, cls, comp, n = (table.column(c).to_numpy() for c in ("key", "class", "component", "n"))
     sketch = sketches(table.column("sketch"))
     order = np.lexsort((cls, comp, key))
@@ -206,15 +213,19 @@ def pivot_pairs(table: pa.Table, percent: int) -> pa.Table:
         c, at, many = np.unique(comp[a:b], return_inverse=True, return_counts=True)
         if len(c) < 2:
             continue
-        turn = np.lexsort((cls[a:b], at, many[at]))
+        turn = np.lexsort((cls[a:b], at, many[at])) if trial is None else np.argsort(mix(cls[a:b].view(np.uint64) + np.uint64(trial)))
         mine, at, size, bits = cls[a:b][turn], at[turn], n[a:b][turn], sketch[a:b][turn]
         for p in range(min(PIVOTS, b - a - 1)):
-            ok = possible(bits[p + 1 :], size[p + 1 :], bits[p], size[p], percent) & (at[p + 1 :] != at[p])
-            if ok.any():
-                other = mine[p + 1 :][ok]
+            other = p + 1 + np.flatnonzero(at[p + 1 :] != at[p])
+            other = other[possible(bits[other], size[other], bits[p], size[p], percent)]
+            if trial is not None and len(other):
+                joined, first = np.unique(at[other], return_index=True)
+                other = other[first]
+                at[np.isin(at, joined)] = at[p]
+            if len(other):
                 one = np.full(len(other), mine[p])
-                pairs.append(np.stack([np.minimum(one, other), np.maximum(one, other)], axis=1))
-        if b - a - 1 > PIVOTS:
+                pairs.append(np.stack([np.minimum(one, mine[other]), np.maximum(one, mine[other])], axis=1))
+        if trial is None and b - a - 1 > PIVOTS:
             rest.append(np.stack([np.full(b - a - PIVOTS, key[a]), mine[PIVOTS:]], axis=1))
     return _found(pairs, rest)
 
@@ -274,15 +285,17 @@ def linked_classes(rows: DataFrame, classes: DataFrame, k: int, percent: int) ->
     bodies = shared.saved(class_texts(rows, k, wanted))
     links = shared.saved(verified(pairs, bodies, k, percent))
     label = components(links)
-    while True:
+    for turn in itertools.count():
+        trial = turn if turn < TRIALS else None
         held = rest.join(label, rest["class"] == label["node"], "left").select("key", "class", F.coalesce("label", "class").alias("component"))
         mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         held = shared.saved(held.join(mixed, "key", "left_semi").join(classes, "class"))
         if held.isEmpty():
             return label
-        found = shared.saved(held.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * shards))).groupBy("part").applyInArrow(lambda t: pivot_pairs(t, percent), FOUND))
+        found = shared.saved(held.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * shards))).groupBy("part").applyInArrow(lambda t, trial=trial: pivot_pairs(t, percent, trial), FOUND))
         more = shared.saved(found.where("pair").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-        rest = found.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("class"))
+        if trial is None:
+            rest = found.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("class"))
         if not more.isEmpty():
             pairs = pairs.unionByName(more)
             links = links.unionByName(shared.saved(verified(more, bodies, k, percent)))
