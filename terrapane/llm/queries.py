@@ -24,7 +24,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     found = score(docs, docs.where(fold != 1))
-    return found.withColumn("held_out", fold == 1).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary")
+    return found.withColumn("held_out", F.coalesce(fold == 1, F.lit(False))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     model = sample(docs.where(fold != 1), "lang")
     found = identify(docs, model).select("doc_id", "lang_pred", "score")
-    return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
