@@ -16,7 +16,7 @@ def _square(reach: int) -> list:
 
 def _spread(true: DataFrame, key: Sequence[str], size: int, reach: int) -> DataFrame:
     """(key, r, c) of every pixel in the square around each true pixel, inside the raster."""
-    near = true.select(*key, "r", "c", F.explode(F.array(*_square(reach))).alias("d")).select(*key, (F.col("r") + F.col("d.dr")).alias("r"), (F.col("c") + F.col("d.dc")).alias("c"))
+    near = true.select(*key, "r", "c", F.explode(F.array(*_square(reach))).alias("step_")).select(*key, (F.col("r") + F.col("step_.dr")).alias("r"), (F.col("c") + F.col("step_.dc")).alias("c"))
     return near.where(f"r between 0 and {size - 1} and c between 0 and {size - 1}")
 
 
@@ -36,9 +36,9 @@ def closed(true: DataFrame, key: Sequence[str], size: int, reach: int = 2) -> Da
 
 def upsampled(pixels: DataFrame, factor: int, crop: int | None = None) -> DataFrame:
     """Each pixel as factor x factor pixels; rows and columns from crop on are cut off."""
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(factor) for j in range(factor)])).alias("s")
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(factor) for j in range(factor)])).alias("step_")
     rest = [c for c in pixels.columns if c not in ("r", "c")]
-    out = pixels.select(*rest, "r", "c", steps).select(*rest, (F.col("r") * factor + F.col("s.i")).alias("r"), (F.col("c") * factor + F.col("s.j")).alias("c"))
+    out = pixels.select(*rest, "r", "c", steps).select(*rest, (F.col("r") * factor + F.col("step_.i")).alias("r"), (F.col("c") * factor + F.col("step_.j")).alias("c"))
     return out.where(f"r < {crop} and c < {crop}") if crop is not None else out
 
 

@@ -27,7 +27,7 @@ def nearest_within(targets: DataFrame, samples: DataFrame, metres: float, target
         return df.select(F.col(name), x.alias(f"{name}_x"), y.alias(f"{name}_y"), z.alias(f"{name}_z")).withColumns({k: F.floor(F.col(f"{name}_{k[1]}") / metres) for k in ("bx", "by", "bz")})
 
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    t = cubes(targets, target_id).withColumn("s", F.explode(steps)).withColumns({"bx": F.col("bx") + F.col("s.i"), "by": F.col("by") + F.col("s.j"), "bz": F.col("bz") + F.col("s.k")}).drop("s")
+    t = cubes(targets, target_id).withColumn("step_", F.explode(steps)).withColumns({"bx": F.col("bx") + F.col("step_.i"), "by": F.col("by") + F.col("step_.j"), "bz": F.col("bz") + F.col("step_.k")}).drop("step_")
     near = t.join(cubes(samples, sample_id), ["bx", "by", "bz"])
     far = F.sqrt(sum((F.col(f"{target_id}_{k}") - F.col(f"{sample_id}_{k}")) ** 2 for k in "xyz"))
     best = near.select(target_id, sample_id, far.alias("metres")).where(F.col("metres") <= metres).groupBy(target_id).agg(F.min(F.struct("metres", sample_id)).alias("best"))
@@ -41,7 +41,7 @@ def bilinear(points: DataFrame, raster: DataFrame, key: Sequence[str], point_id:
     p = points.withColumn("inside", inside).withColumn("r0", r0).withColumn("c0", c0)
     wr, wc = F.col("fr") - F.col("r0"), F.col("fc") - F.col("c0")
     corners = F.array(*[F.struct((F.col("r0") + i).alias("r"), (F.col("c0") + j).alias("c"), ((wr if i else 1 - wr) * (wc if j else 1 - wc)).alias("w")) for i in (0, 1) for j in (0, 1)])
-    spread = p.where("inside").select(*key, point_id, F.explode(corners).alias("k")).select(*key, point_id, "k.*")
+    spread = p.where("inside").select(*key, point_id, F.explode(corners).alias("corner_")).select(*key, point_id, "corner_.*")
     found = spread.join(raster, [*key, "r", "c"]).groupBy(*key, point_id).agg(F.sum(F.col("w") * F.col(value)).alias(value))
     return points.select(*key, point_id).join(found, [*key, point_id], "left").withColumn(value, F.coalesce(value, F.lit(outside)) if outside is not None else F.col(value))
 
@@ -72,8 +72,8 @@ def lookup_tiles(points: DataFrame, tiles: DataFrame, pixels_per_tile: int, size
 def azimuthal_centres(cells: DataFrame, n: int, metres: float) -> DataFrame:
     """The n x n pixel centres of a patch around each cell (row 0 north): cell columns, r, c, lat, lon."""
     cell = [c for c in cells.columns if c not in ("lat", "lon")]
-    grid = cells.select(*cell, F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("k"))
-    r, c = F.floor(F.col("k") / n).cast("int"), (F.col("k") % n).cast("int")
+    grid = cells.select(*cell, F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("place_"))
+    r, c = F.floor(F.col("place_") / n).cast("int"), (F.col("place_") % n).cast("int")
     lat, lon = geo.azimuthal_inverse((c - n / 2 + 0.5) * metres, (n / 2 - r - 0.5) * metres, F.col("lat0"), F.col("lon0"))
     return grid.select(*cell, r.alias("r"), c.alias("c"), lat.alias("lat"), lon.alias("lon"))
 
