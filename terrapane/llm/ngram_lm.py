@@ -49,11 +49,54 @@ def as_file_dir(url: str) -> str:
 # ---- Elias-Fano -------------------------------------------------------------------------------------------------
 
 
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+_PLACE = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _found = [i for i in range(8) if _byte >> i & 1]
+    _PLACE[_byte, : len(_found)] = _found
+_PLACE = _PLACE.ravel()
+
+
+def nth_one(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th (from 0) one in each 64-bit word: byte sums side by side, then a table."""
+    x = word - ((word >> _ONE) & _U(0x5555555555555555))
+    x = (x & _U(0x3333333333333333)) + ((x >> _U(2)) & _U(0x3333333333333333))
+    upto = ((x + (x >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES
+    k = k.astype(_U)
+    byte = np.bitwise_count(((k * _ONES | _TOPS) - upto) & _TOPS).astype(_U) << _U(3)
+    before = (upto << _U(8)) >> byte & _U(255)
+    return byte.astype(np.int64) + _PLACE[((word >> byte & _U(255)) << _U(3) | (k - before)).astype(np.int64)]
+
+
+def sampled(count: np.ndarray) -> np.ndarray:
+    """(word, number before it) of every 64th one, from the ones in each word."""
+    upto = np.cumsum(count.astype(np.int64))
+    word = np.minimum(np.searchsorted(upto, np.arange(0, max(int(upto[-1]), 1), 64), side="right"), len(count) - 1)
+    return np.stack([word, upto[word] - count[word]], axis=1).astype(np.uint32).ravel()
+
+
+def select(high: np.ndarray, sample: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+    """The place of the k-th one (flip: zero) of a bit sequence with samples."""
+    block = k >> 6
+    word, need = sample[2 * block].astype(np.int64), k - sample[2 * block + 1].astype(np.int64)
+    bits = ~high[word] if flip else high[word]
+    count = np.bitwise_count(bits).astype(np.int64)
+    go = np.flatnonzero(need >= count)
+    while len(go):
+        need[go] -= count[go]
+        word[go] += 1
+        bits[go] = ~high[word[go]] if flip else high[word[go]]
+        count[go] = np.bitwise_count(bits[go])
+        go = go[need[go] >= count[go]]
+    return word * 64 + nth_one(bits, need)
+
+
 class EliasFano:
-    """A sorted sequence of 64-bit numbers below ``universe``: low bits packed, high bits in unary, a sample of every 64th one."""
+    """A sorted sequence of 64-bit numbers below ``universe``: low bits packed, high bits in unary, with samples of every 64th one and zero."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, sample: np.ndarray, n: int, bits: int):
-        self.low, self.high, self.sample, self.n, self.bits = low, high, sample, n, bits
+    def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray, n: int, bits: int):
+        self.low, self.high, self.ones, self.zeros, self.n, self.bits = low, high, ones, zeros, n, bits
+        self.top = int(self.get(np.array([n - 1]))[0]) >> bits if n else 0
 
     @classmethod
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -69,28 +112,12 @@ class EliasFano:
         up = (values >> _U(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(up[-1]) if n else 0) // 64 + 2, _U)
         np.bitwise_or.at(high, up >> 6, _ONE << (up & 63).astype(_U))
-        ones = np.cumsum(np.bitwise_count(high).astype(np.int64))
-        sample = np.searchsorted(ones, np.arange(0, max(n, 1), 64), side="right").astype(np.uint32)
-        return cls(low, high, np.stack([sample, np.where(sample > 0, ones[np.maximum(sample.astype(np.int64) - 1, 0)], 0).astype(np.uint32)], axis=1).astype(np.uint32).ravel(), n, bits)
+        count = np.bitwise_count(high).astype(np.int64)
+        return cls(low, high, sampled(count), sampled(64 - count), n, bits)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places i."""
-        block = i >> 6
-        word, before = self.sample[2 * block].astype(np.int64), self.sample[2 * block + 1].astype(np.int64)
-        need = i - before
-        count = np.bitwise_count(self.high[word]).astype(np.int64)
-        while (go := need >= count).any():
-            need = np.where(go, need - count, need)
-            word = word + go
-            count = np.where(go, np.bitwise_count(self.high[np.minimum(word, len(self.high) - 1)]), count)
-        bits = self.high[word]
-        place = np.zeros(len(i), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):  # the need-th one of the word, by halves
-            some = np.bitwise_count((bits >> place.astype(_U)) & _U((1 << step) - 1)).astype(np.int64)
-            go = need >= some
-            need -= np.where(go, some, 0)
-            place += np.where(go, step, 0)
-        up = (word * 64 + place - i).astype(_U)
+        up = (select(self.high, self.ones, i, False) - i).astype(_U)
         if not self.bits:
             return up
         at = i * self.bits
@@ -101,8 +128,14 @@ class EliasFano:
         return up << _U(self.bits) | low & _U((1 << self.bits) - 1)
 
     def find(self, value: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The place of the first number that is not below value in first .. end - 1, else end (successor search in ranges)."""
-        lo, hi = first.copy(), end.copy()
+        """The place of the first number that is not below value in first .. end - 1, else end (successor search in ranges).
+
+        The zeros around a high part bound the few numbers that share it; a binary search goes on among those.
+        """
+        part = np.minimum(value >> _U(self.bits), _U(self.top + 1)).astype(np.int64)
+        hi = select(self.high, self.zeros, part, True) - part
+        lo = np.where(part > 0, select(self.high, self.zeros, np.maximum(part - 1, 0), True) + 1 - part, 0)
+        lo, hi = np.clip(lo, first, end), np.clip(hi, first, end)
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) >> 1
             less = self.get(mid) < value[open_]
@@ -111,16 +144,18 @@ class EliasFano:
         return lo
 
     def parts(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.bits, len(self.low), len(self.high), len(self.sample)], _U), self.low, self.high, np.concatenate([self.sample, np.zeros(len(self.sample) % 2, np.uint32)])]
+        even = lambda a: np.concatenate([a, np.zeros(len(a) % 2, np.uint32)])
+        return [np.array([self.n, self.bits, len(self.low), len(self.high), len(self.ones), len(self.zeros)], _U), self.low, self.high, even(self.ones), even(self.zeros)]
 
     @classmethod
     def mapped(cls, blob: np.ndarray, at: int) -> tuple[EliasFano, int]:
-        n, bits, lows, highs, samples = (int(x) for x in blob[at : at + 5])
-        at += 5
-        low, high = blob[at : at + lows], blob[at + lows : at + lows + highs]
-        at += lows + highs
-        words = (samples + 1) // 2
-        return cls(low, high, blob[at : at + words].view(np.uint32), n, bits), at + words
+        n, bits, *sizes = (int(x) for x in blob[at : at + 6])
+        at, found = at + 6, []
+        for k, size in enumerate(sizes):
+            words = size if k < 2 else (size + 1) // 2
+            found.append(blob[at : at + words] if k < 2 else blob[at : at + words].view(np.uint32))
+            at += words
+        return cls(*found, n, bits), at
 
 
 # ---- quantised probabilities -------------------------------------------------------------------------------------
@@ -222,12 +257,14 @@ class SuccessorShard:
 
     def lookup(self, h: np.ndarray, w: np.ndarray, vocabulary: int) -> np.ndarray:
         """The probability kept for each bigram (0: not there)."""
-        n = self.context.n
-        number = self.context.find(h.astype(_U), np.zeros(len(h), np.int64), np.full(len(h), n, np.int64))
-        known = np.flatnonzero((number < n) & (self.context.get(np.minimum(number, n - 1)) == h.astype(_U)))
-        out = np.zeros(len(h))
-        number = number[known]
+        n, out = self.context.n, np.zeros(len(h))
+        each, back = np.unique(h, return_inverse=True)
+        number = self.context.find(each.astype(_U), np.zeros(len(each), np.int64), np.full(len(each), n, np.int64))
+        there = (number < n) & (self.context.get(np.minimum(number, n - 1)) == each.astype(_U))
+        number = np.minimum(number, n - 1)
         first, end = self.pointer.get(number).astype(np.int64), self.pointer.get(number + 1).astype(np.int64)
+        known = np.flatnonzero(there[back])
+        number, first, end = number[back[known]], first[back[known]], end[back[known]]
         want = number.astype(_U) * _U(vocabulary) + w[known].astype(_U)
         at = self.successor.find(want, first, end)
         hit = at < end
@@ -376,7 +413,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = math.log10(total + 0.5 * (distinct + 1)) if total else math.log10(0.5)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 6 << 20):
                 flat, off = tokens(part.column(1))
                 pair, count, _, known = pair_ids(flat, off, vocabulary)
                 base = np.log10(count + 0.5) - scale
