@@ -230,6 +230,10 @@ def pivot_pairs(table: pa.Table, percent: int, trial: int | None) -> pa.Table:
     return _found(pairs, rest)
 
 
+def _pivots(percent: int, trial: int | None):
+    return lambda table: pivot_pairs(table, percent, trial)
+
+
 def class_texts(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     """class, body (deflated text of one member) of the wanted classes; a task sends each class once."""
 
@@ -292,7 +296,7 @@ def linked_classes(rows: DataFrame, classes: DataFrame, k: int, percent: int) ->
         held = shared.saved(held.join(mixed, "key", "left_semi").join(classes, "class"))
         if held.isEmpty():
             return label
-        found = shared.saved(held.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * shards))).groupBy("part").applyInArrow(lambda t, trial=trial: pivot_pairs(t, percent, trial), FOUND))
+        found = shared.saved(held.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * shards))).groupBy("part").applyInArrow(_pivots(percent, trial), FOUND))
         more = shared.saved(found.where("pair").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
         if trial is None:
             rest = found.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("class"))
