@@ -60,7 +60,10 @@ def symbols(column: pa.Array, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def automaton(text: np.ndarray) -> np.ndarray:
-    """The suffix automaton of a symbol sequence as a table: entry (state, symbol) is 2 * next state * WIDTH, plus 1 if a phrase ends before the symbol."""
+    """The suffix automaton of a symbol sequence as a table: entry (state, symbol) is 4 * next state * WIDTH plus the phrases that end there.
+
+    A symbol that cannot follow ends the open phrase and opens the next one; one that never occurs is a phrase of its own.
+    """
     size = 2 * len(text) + 2
     go = np.full((size, WIDTH), -1, np.int32)
     link, length = [-1] + [0] * size, [0] * (size + 1)
@@ -88,11 +91,11 @@ def automaton(text: np.ndarray) -> np.ndarray:
                 link[q] = link[cur] = copy
         last = cur
     go = go[:n]
-    root = np.maximum(go[0], 0)  # a symbol that never occurs leads back to the start: a phrase of one
-    out = np.where(go >= 0, 2 * WIDTH * go, 2 * WIDTH * root[None, :] + 1)
-    out[0] = 2 * WIDTH * root
-    out[0, go[0] < 0] = 1
-    out[:, PAD] = 0
+    root = np.maximum(go[0], 0)  # never seen: back to the start
+    out = np.where(go >= 0, 4 * WIDTH * go, 4 * WIDTH * root[None, :] + np.where(go[0] < 0, 2, 1)[None, :])
+    out[0] = np.where(go[0] < 0, 1, 4 * WIDTH * root)
+    out[:, PAD] = 1
+    out[0, PAD] = 0
     return np.ascontiguousarray(out, dtype=np.int32).ravel()
 
 
@@ -124,11 +127,12 @@ class Model:
         grid = np.where(at < stop[None, :], np.append(flat, PAD)[np.minimum(at, len(flat))], PAD).astype(np.int32)
         out = np.zeros((len(length), len(self.names)))
         for k, table in enumerate(self.tables):
-            state, phrases = np.zeros(len(row), np.int32), np.ones(len(row), np.int32)
+            state, phrases = np.zeros(len(row), np.int32), np.zeros(len(row), np.int32)
             for step in grid:
                 got = table[state + step]
-                phrases += got & 1
-                state = got >> 1
+                phrases += got & 3
+                state = got >> 2
+            phrases += state > 0
             out[:, k] = np.bincount(row, phrases, len(length)) * self.cost[k]
         return out / np.maximum(length, 1)[:, None], length
 

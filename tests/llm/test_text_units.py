@@ -1,0 +1,260 @@
+"""Vectorised words, token counts, images, trees: against plain Python."""
+
+import json
+import re
+import struct
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from terrapane.llm import media_columns as media
+from terrapane.llm.words import Words
+
+TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("aB cé漢\t\n\x0b!,9\xa0"), max_size=40)), max_size=8)
+
+
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXTS)
+def test_words_and_shingles(texts):
+    w = Words(pa.array(texts, pa.string()))
+    want = [plain_words(t) for t in texts]
+    assert np.diff(w.first).tolist() == [len(x) for x in want]
+    flat = [x for ws in want for x in ws]
+    low = w.raw.tobytes().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+    assert [low[a:b].decode() for a, b in zip(w.start, w.end, strict=True)] == flat
+    by_word = {}
+    for x, h in zip(flat, w.hash.tolist(), strict=True):
+        assert by_word.setdefault(x, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    for k in (1, 3):
+        sets = w.shingle_sets(k)
+        assert [len(s) for s in sets] == [len({tuple(x[i : i + k]) for i in range(len(x) - k + 1)} or ({tuple(x)} if x else set())) for x in want]
+
+
+def test_a_row_does_not_depend_on_its_neighbours():
+    a, b = Words(pa.array(["x y z w v", None, "", "p q"])), Words(pa.array(["p q"]))
+    assert a.shingle_sets(3)[3].tolist() == b.shingle_sets(3)[0].tolist()
+    assert Words(pa.array(["k", "x y z w v"])[1:]).shingle_sets(3)[0].tolist() == a.shingle_sets(3)[0].tolist()
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from terrapane.llm.token_counts import counter
+
+    path = public.path("byte_bpe_50k.json")
+    return tokenizers.Tokenizer.from_file(path), counter(open(path, encoding="utf-8").read())
+
+
+def test_token_counts_equal_the_library(library):
+    tok, ours = library
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", " the", "ing", "é", "漢字", "12", "'s", "'ll", "<|endoftext|>", "<|end", "!!", "\xa0", "ünd", "​", "🎈", "Xylo"]), max_size=40).map("".join))
+    def check(text):
+        assert ours.count(text) == len(tok.encode(text, add_special_tokens=False).ids)
+
+    check()
+    for text in ("", "a" * 4000, " " * 300, "ab" * 2000 + "\n\n", "0123456789" * 30):
+        assert ours.count(text) == len(tok.encode(text, add_special_tokens=False).ids)
+
+
+def test_proven_strings_are_single_tokens(library):
+    tok, ours = library
+    some = [s for s in list(ours)[: ours.proven] if not s.isspace()][::97]
+    assert ours.proven > 40_000 and all(len(e.ids) == 1 for e in tok.encode_batch(some, add_special_tokens=False))
+
+
+def test_other_tokenizers_are_refused():
+    from terrapane.llm.token_counts import Counter
+
+    with pytest.raises(ValueError):
+        Counter(json.loads('{"model": {"type": "WordPiece"}, "normalizer": null, "pre_tokenizer": null, "added_tokens": []}'))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 9), st.integers(0, 2**32 - 1))
+def test_images_round_trip(h, w, seed):
+    px = np.random.default_rng(seed).integers(0, 256, (h, w, 3), np.uint8)
+    assert (media.decode(media.encode_ppm(px)) == px).all() and (media.decode(media.encode_bmp(px)) == px).all()
+    assert (media.decode(media.encode_ppm(px[:, :, 0])) == px[:, :, 0]).all()
+
+
+def test_netpbm_text_forms_and_comments():
+    assert media.decode(b"P1\n# c\n3 2\n1 0 1\n0 1 0\n").tolist() == [[0, 255, 0], [255, 0, 255]]
+    assert media.decode(b"P2 2 1 # x\n15\n0 15\n").tolist() == [[0, 255]]
+    assert media.decode(b"P3\n1 1\n255\n1 2 3\n").tolist() == [[[1, 2, 3]]]
+    assert media.decode(b"P4\n3 1\n" + bytes([0b10100000])).tolist() == [[0, 255, 0]]
+    for bad in (b"", b"GIF89a", b"P6\n2 2\n255\nxx", b"BM"):
+        with pytest.raises((ValueError, struct.error)):
+            media.decode(bad)
+
+
+@pytest.mark.parametrize("shape", [(7, 5), (8, 8), (1, 3), (40, 64)])
+def test_area_resize_against_fine_sampling(shape):
+    px = np.random.default_rng(1).integers(0, 256, shape, np.uint8)
+    fine = np.repeat(np.repeat(px.astype(float), 6, axis=0), 4, axis=1)
+    want = fine.reshape(6, fine.shape[0] // 6, 4, fine.shape[1] // 4).mean(axis=(1, 3))
+    assert np.allclose(media.area_resize(px, 6, 4), want)
+
+
+def test_npy_and_hash():
+    import io
+
+    tile = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    assert (np.load(io.BytesIO(media.npy_bytes(tile))) == tile).all()
+    assert media.difference_hash(np.tile(np.arange(0, 90, 10, dtype=np.uint8), (8, 1))) == "f" * 16
+
+
+def test_elias_fano():
+    from terrapane.llm.ngram_lm import EliasFano
+
+    rng = np.random.default_rng(0)
+    for n, top in ((0, 10), (1, 1 << 64), (5, 6), (1000, 1 << 64), (3000, 4000), (500, 1 << 40)):
+        v = np.sort(rng.integers(0, top - 1, n, dtype=np.uint64, endpoint=True)) if n else np.zeros(0, np.uint64)
+        ef = EliasFano.encode(v, top)
+        blob = np.concatenate([np.ascontiguousarray(p).view(np.uint64) for p in ef.parts()])
+        ef, _ = EliasFano.mapped(blob, 0)
+        assert (ef.get(np.arange(n)) == v).all()
+        if n:
+            q = np.concatenate([v, rng.integers(0, top - 1, 200, dtype=np.uint64, endpoint=True)])
+            got = ef.find(q, np.zeros(len(q), np.int64), np.full(len(q), n, np.int64))
+            assert (got == np.searchsorted(v, q)).all()
+
+
+def test_quantised_probabilities():
+    from terrapane.llm.ngram_lm import CODES, quantised
+
+    p = np.exp(np.random.default_rng(0).uniform(np.log(1e-6), 0, 1000))
+    assert (np.abs(CODES[quantised(p)] / p - 1) < 0.03).all() and quantised(np.zeros(1))[0] == 0
+
+
+def test_suffix_automaton_parse_is_greedy():
+    from terrapane.llm.language_id import Model
+
+    model = Model({"x": ["abcabdabe"], "y": ["zzzyzx"]})
+    train = {"x": "abcabdabe", "y": "zzzyzx"}
+
+    def phrases(text, body):
+        n, i = 0, 0
+        while i < len(text):
+            k = 1
+            while i + k < len(text) and text[i : i + k + 1] in body:
+                k += 1
+            n, i = n + 1, i + k
+        return n
+
+    for text in ("abdabc", "zyxzz", "aabbcc", "ababab", "e", "abcabdabe", "qqq"):
+        rate, length = model.rates(pa.array([text]))
+        got = rate[0] * length[0] / model.cost
+        assert [round(g) for g in got] == [phrases(text, train[k]) for k in ("x", "y")]
+
+
+def test_schedule_stays_within_a_block():
+    from terrapane.llm.source_mixing import in_units, period, segments
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        names = [f"s{i}" for i in range(rng.integers(1, 9))]
+        units = in_units({s: float(rng.uniform(0.01, 5)) for s in names}, 64)
+        slots = period(units)
+        assert sum(units.values()) == 64 and sorted(x for v in slots.values() for x in v) == list(range(64))
+        for s in names:
+            taken = np.zeros(65)
+            taken[slots[s] + 1] = 1
+            assert (np.abs(np.cumsum(taken) - np.arange(65) * units[s] / 64) < 1).all()
+    blocks = {"a": 7, "b": 300, "c": 1, "d": 0}
+    plan = segments(blocks, {"a": 1.0, "b": 2.0, "c": 0.5, "d": 1.0}, 32)
+    used = {}
+    for s, first, end, slot0, u, q, pattern in plan:
+        for j in range(first, end):
+            slot = slot0 + (j - first) // u * q + pattern[(j - first) % u]
+            assert slot not in used
+            used[slot] = s
+    assert sorted(used) == list(range(308))
+
+
+def test_forest_tells_new_findings():
+    from terrapane.llm import secret_scan
+
+    forest = secret_scan.train()
+    rows = secret_scan.labelled_findings(800, seed=123)
+    p = forest.predict(np.array([secret_scan.features(*r[:3]) for r in rows]))
+    assert ((p > 0.5) == np.array([r[3] for r in rows])).mean() > 0.98
+
+
+def test_candidates_do_not_cross_rows():
+    from terrapane.llm.secret_scan import candidates
+
+    assert candidates(pa.array(["abcde12345", None, "", "678901234567", "short1"])) == [(0, 0, 10), (3, 0, 12)]
+
+
+@pytest.fixture(scope="module")
+def page_model():
+    from terrapane.llm import html_extract
+
+    return html_extract.train()
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("", ""),
+        ("plain words only, and no tags at all in this text.", "plain words only, and no tags at all in this text."),
+        ("<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a href='/a'>menu</a><li><a href='/b'>other</a></ul></nav><article><h1>Title of it</h1><p>One &amp; two,\n three words and more.<p>Second   paragraph is here, with some words.</article><footer>&copy; me 2024 all rights</footer></body></html>", "Title of it\nOne & two, three words and more.\nSecond paragraph is here, with some words."),
+    ],
+)
+def test_main_text(page_model, source, want):
+    from terrapane.llm.html_extract import extract
+
+    assert extract([source], page_model) == [want]
+
+
+def test_extraction_on_new_labelled_pages(page_model):
+    from terrapane.llm import html_extract as h
+
+    pages = [h.Page(p) for p in h.labelled_pages(60, seed=99)]
+    right = total = 0
+    for p in pages:
+        kept, want = p.decode(np.append(30.0, page_model.log_odds(p.features())[1:])), h.node_labels(p)
+        right, total = right + (np.array(kept[1:]) == want[1:]).sum(), total + len(want) - 1
+        assert all(kept[p.parent[i]] or not kept[i] for i in range(1, len(kept)))
+    assert right / total > 0.985
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</div>", "<div class='x y'>", "text", "<", ">", "<!--", "-->", "<script>", "</script>", "&amp;", "<li>", "<table><tr><td>", "<br/>", "<a href=\"x>y\">", "</a", "<svg/>"]), max_size=30).map("".join))
+def test_any_markup_is_parsed(source):
+    from terrapane.llm.html_extract import Page
+
+    p = Page(source)
+    assert p.features().shape[0] == len(p.tag) and all(a < i for i, a in enumerate(p.parent))
+
+
+def test_chain_is_the_best_one():
+    from terrapane.llm.substring_dedup import GAP_COST, chains
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(rng.integers(2, 9))
+        pts = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (n, 2))})
+        a, b = (np.array(x) for x in zip(*pts, strict=True))
+        best = 0.0
+        score = [0.0] * len(pts)
+        for i in range(len(pts)):
+            score[i] = 6 + max([0.0] + [score[j] - GAP_COST * (a[i] - a[j] + b[i] - b[j]) for j in range(i) if a[j] < a[i] and b[j] < b[i]])
+            best = max(best, score[i])
+        if (np.diff(a) > 0).all() and (np.diff(b) > 0).all():
+            continue
+        found = chains(a, b, 6, 10**6)
+        value = max(6 * len(c) - GAP_COST * (a[c[-1]] - a[c[0]] + b[c[-1]] - b[c[0]]) for c in found)
+        assert value == pytest.approx(best) and sorted(i for c in found for i in c) == list(range(len(pts)))
+
