@@ -68,31 +68,21 @@ def nth_one(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     return byte.astype(np.int64) + _PLACE[((word >> byte & _U(255)) << _U(3) | (k - before)).astype(np.int64)]
 
 
-def sampled(count: np.ndarray) -> np.ndarray:
-    """(word, number before it) of every 64th one, from the ones in each word."""
-    upto = np.cumsum(count.astype(np.int64))
-    word = np.minimum(np.searchsorted(upto, np.arange(0, max(int(upto[-1]), 1), 64), side="right"), len(count) - 1)
-    return np.stack([word, upto[word] - count[word]], axis=1).astype(np.uint32).ravel()
+def before(count: np.ndarray) -> np.ndarray:
+    """The ones before each word, from the ones in each word."""
+    out = np.cumsum(count, dtype=np.uint32)
+    return out - count.astype(np.uint32)
 
 
-def select(high: np.ndarray, sample: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
-    """The place of the k-th one (flip: zero) of a bit sequence with samples."""
-    block = k >> 6
-    word, need = sample[2 * block].astype(np.int64), k - sample[2 * block + 1].astype(np.int64)
+def select(high: np.ndarray, ranks: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+    """The place of the k-th one (flip: zero) of a bit sequence with the ones (zeros) before each word."""
+    word = np.searchsorted(ranks, k.astype(np.uint32), side="right") - 1
     bits = ~high[word] if flip else high[word]
-    count = np.bitwise_count(bits).astype(np.int64)
-    go = np.flatnonzero(need >= count)
-    while len(go):
-        need[go] -= count[go]
-        word[go] += 1
-        bits[go] = ~high[word[go]] if flip else high[word[go]]
-        count[go] = np.bitwise_count(bits[go])
-        go = go[need[go] >= count[go]]
-    return word * 64 + nth_one(bits, need)
+    return word * 64 + nth_one(bits, k - ranks[word].astype(np.int64))
 
 
 class EliasFano:
-    """A sorted sequence of 64-bit numbers below ``universe``: low bits packed, high bits in unary, with samples of every 64th one and zero."""
+    """A sorted sequence of 64-bit numbers below ``universe``: low bits packed, high bits in unary, with the ones and zeros before each word."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray, n: int, bits: int):
         self.low, self.high, self.ones, self.zeros, self.n, self.bits = low, high, ones, zeros, n, bits
@@ -113,35 +103,42 @@ class EliasFano:
         high = np.zeros((int(up[-1]) if n else 0) // 64 + 2, _U)
         np.bitwise_or.at(high, up >> 6, _ONE << (up & 63).astype(_U))
         count = np.bitwise_count(high).astype(np.int64)
-        return cls(low, high, sampled(count), sampled(64 - count), n, bits)
+        return cls(low, high, before(count), before(64 - count), n, bits)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places i."""
         up = (select(self.high, self.ones, i, False) - i).astype(_U)
+        return up << _U(self.bits) | self.low_bits(i)
+
+    def low_bits(self, i: np.ndarray) -> np.ndarray:
+        """The low bits of the numbers at places i."""
         if not self.bits:
-            return up
+            return np.zeros(len(i), _U)
         at = i * self.bits
         w, shift = at >> 6, (at & 63).astype(_U)
         low = self.low[w] >> shift
-        over = shift > _U(64 - self.bits)
-        low = np.where(over, low | (self.low[w + 1] << ((_U(64) - shift) & _U(63))), low)
-        return up << _U(self.bits) | low & _U((1 << self.bits) - 1)
+        over = np.flatnonzero(shift > _U(64 - self.bits))
+        low[over] |= self.low[w[over] + 1] << (_U(64) - shift[over])
+        return low & _U((1 << self.bits) - 1)
 
-    def find(self, value: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The place of the first number that is not below value in first .. end - 1, else end (successor search in ranges).
+    def find(self, value: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first number that is not below value in first .. end - 1, else end; is it value?): successor search in ranges.
 
-        The zeros around a high part bound the few numbers that share it; a binary search goes on among those.
+        The zeros around a high part bound the numbers that share it; a binary search over their low bits goes on among those.
         """
         part = np.minimum(value >> _U(self.bits), _U(self.top + 1)).astype(np.int64)
         hi = select(self.high, self.zeros, part, True) - part
         lo = np.where(part > 0, select(self.high, self.zeros, np.maximum(part - 1, 0), True) + 1 - part, 0)
         lo, hi = np.clip(lo, first, end), np.clip(hi, first, end)
+        want, stop = value & _U((1 << self.bits) - 1), hi.copy()
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) >> 1
-            less = self.get(mid) < value[open_]
+            less = self.low_bits(mid) < want[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
-        return lo
+        same = lo < stop
+        same[same] = self.low_bits(lo[same]) == want[same]
+        return lo, same
 
     def parts(self) -> list[np.ndarray]:
         even = lambda a: np.concatenate([a, np.zeros(len(a) % 2, np.uint32)])
@@ -153,7 +150,7 @@ class EliasFano:
         at, found = at + 6, []
         for k, size in enumerate(sizes):
             words = size if k < 2 else (size + 1) // 2
-            found.append(blob[at : at + words] if k < 2 else blob[at : at + words].view(np.uint32))
+            found.append(blob[at : at + words] if k < 2 else blob[at : at + words].view(np.uint32)[:size])
             at += words
         return cls(*found, n, bits), at
 
@@ -220,9 +217,8 @@ class Vocabulary:
                 continue
             ef, counts = vocabulary_shard(f"{self.folder}/words-{s}")
             want = digests[cut[s] : cut[s + 1]]
-            at = ef.find(want, np.zeros(len(want), np.int64), np.full(len(want), ef.n, np.int64))
+            at, hit = ef.find(want, np.zeros(len(want), np.int64), np.full(len(want), ef.n, np.int64))
             safe = np.minimum(at, ef.n - 1)
-            hit = (at < ef.n) & (ef.get(safe) == want)
             out[cut[s] : cut[s + 1]] = np.where(hit, self.base[s] + at, -1)
             count[cut[s] : cut[s + 1]] = np.where(hit, counts[safe].astype(np.int64), 0)
         return out, count
@@ -259,16 +255,13 @@ class SuccessorShard:
         """The probability kept for each bigram (0: not there)."""
         n, out = self.context.n, np.zeros(len(h))
         each, back = np.unique(h, return_inverse=True)
-        number = self.context.find(each.astype(_U), np.zeros(len(each), np.int64), np.full(len(each), n, np.int64))
-        there = (number < n) & (self.context.get(np.minimum(number, n - 1)) == each.astype(_U))
+        number, there = self.context.find(each.astype(_U), np.zeros(len(each), np.int64), np.full(len(each), n, np.int64))
         number = np.minimum(number, n - 1)
         first, end = self.pointer.get(number).astype(np.int64), self.pointer.get(number + 1).astype(np.int64)
         known = np.flatnonzero(there[back])
         number, first, end = number[back[known]], first[back[known]], end[back[known]]
         want = number.astype(_U) * _U(vocabulary) + w[known].astype(_U)
-        at = self.successor.find(want, first, end)
-        hit = at < end
-        hit[hit] = self.successor.get(at[hit]) == want[hit]
+        at, hit = self.successor.find(want, first, end)
         out[known[hit]] = CODES[self.code[at[hit]]]
         return out
 

@@ -126,8 +126,13 @@ def test_elias_fano():
         assert (ef.get(np.arange(n)) == v).all()
         if n:
             q = np.concatenate([v, rng.integers(0, top - 1, 200, dtype=np.uint64, endpoint=True)])
-            got = ef.find(q, np.zeros(len(q), np.int64), np.full(len(q), n, np.int64))
-            assert (got == np.searchsorted(v, q)).all()
+            got, same = ef.find(q, np.zeros(len(q), np.int64), np.full(len(q), n, np.int64))
+            assert (got == np.searchsorted(v, q)).all() and (same == np.isin(q, v)).all()
+            first = rng.integers(0, n, len(q))
+            end = np.minimum(first + rng.integers(0, 40, len(q)), n)
+            got, same = ef.find(q, first, end)
+            want = np.clip(np.searchsorted(v, q), first, end)
+            assert (got == want).all() and (same == [g < e and v[g] == x for g, e, x in zip(want, end, q, strict=True)]).all()
 
 
 def test_quantised_probabilities():
