@@ -41,6 +41,7 @@ PIVOTS = 4096
 TRIALS = 3
 FOLD = 1024
 FLUSH = 2_000_000
+DEFLATED_BYTES = 1 << 19
 _BITS = np.uint64((1 << 20) - 1)
 _32 = np.uint64(32)
 
@@ -256,8 +257,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "body_a", DEFLATED_BYTES):
                 one, two = (Words(pa.array([zlib.decompress(b.as_py()) for b in part.column(c)], pa.binary())).shingle_sets(k) for c in (2, 3))
                 both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two, strict=True)], np.int64)
                 total = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], np.int64) - both
@@ -282,7 +282,7 @@ def close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def linked_classes(rows: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, label): the components of the classes (class, n, sketch) that have links."""
     shards = shared.parts(rows.sparkSession)
-    found = shared.saved(sharded_keys(rows, k, percent, shards).groupBy("shard").applyInArrow(bucket_pairs, FOUND))
+    found = shared.saved(sharded_keys(rows, k, percent, 4 * shards).groupBy("shard").applyInArrow(bucket_pairs, FOUND))
     pairs = shared.saved(close(found.where("pair").select("a", "b").distinct(), classes, percent))
     rest = found.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("class"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(rest.select("class")).distinct()
