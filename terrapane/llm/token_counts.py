@@ -1,7 +1,8 @@
 """Token counts of whole texts by the whole-token shortcut.
 
 For a byte-level BPE tokenizer, ``prove`` finds offline which vocabulary strings are one token when they are encoded
-alone.  Texts are cut into pre-tokens by the tokenizer's pattern; a pre-token that is a proven string counts one
+alone.  Texts are cut into pre-tokens by the tokenizer's pattern (no pre-token crosses from one run of non-space characters, with a space before it, to another,
+so the count of such a run is kept and used again); a pre-token that is a proven string counts one
 without any merging, and only the others are merged (each distinct one once per task, in a bounded memo).
 
 Defined cases: null or empty text: 0 bytes, 0 tokens.  Repeated ids: a row each.  Extra columns are ignored.
@@ -11,6 +12,7 @@ Added tokens found in a text count one each, as the library does by default.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +29,8 @@ MEMO = 400_000
 _WS = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
+RUN = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+
 
 def byte_letters() -> list[str]:
     """The letter that byte-level BPE writes for each byte: printable Latin-1 stands for itself, the rest follows from U+0100 on."""
@@ -47,6 +51,22 @@ def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
+class Runs(dict):
+    """Run of non-space characters (or of spaces) -> number of tokens, each counted when first met."""
+
+    def __init__(self, counter: Counter):
+        super().__init__()
+        self.counter, self.pieces = counter.__getitem__, counter.pieces
+
+    def __missing__(self, run: str) -> int:
+        if len(self) > MEMO:
+            self.clear()
+        n = sum(map(self.counter, self.pieces(run)))
+        if len(run) < 64:
+            self[run] = n
+        return n
+
+
 class Counter(dict):
     """Pre-token -> number of tokens.  Proven strings are there from the start; others are merged when first met."""
 
@@ -63,6 +83,7 @@ class Counter(dict):
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         super().__init__(dict.fromkeys(prove(model["vocab"], self.ranks, self.letters), 1))
         self.proven = len(self)
+        self.runs = Runs(self)
 
     def __missing__(self, piece: str) -> int:
         if len(self) > self.proven + MEMO:
@@ -97,14 +118,14 @@ class Counter(dict):
         return live
 
     def count(self, text: str) -> int:
-        total, get, pieces = 0, self.__getitem__, self.pieces
+        total, get = 0, self.runs.__getitem__
         if self.added and self.added.search(text):
             parts = self.added.split(text)
             total = len(parts) - 1
         else:
             parts = (text,)
         for p in parts:
-            total += sum(map(get, pieces(p)))
+            total += sum(map(get, RUN.findall(p)))
         return total
 
 
