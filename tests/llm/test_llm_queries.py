@@ -147,6 +147,21 @@ def test_repeated_passages(spark):
     assert [(r["doc_id"], r["other_id"], r["end"]) for r in got if r["kind"] == "copy"] == [(4, 3, 300)]
 
 
+def test_passages_made_of_frequent_phrases(spark):
+    """Every run of 50 words or more that two texts share is in a row of both, though each short seed of it is in many texts of lower digest."""
+    lines = [prose(1000 + n, 26).split() for n in range(12)]
+    texts = {}
+    for n in range(60):  # hubs: two of the lines each, apart from each other
+        texts[n] = [*prose(2000 + n, 30).split(), *lines[n % 12], *prose(3000 + n, 30).split(), *lines[(n + 5) % 12], *prose(4000 + n, 30).split()]
+    for n in range(6):  # pairs that share two lines in a row: 52 words
+        for m in (0, 1):
+            texts[100 + 2 * n + m] = [*prose(5000 + 2 * n + m, 45).split(), *lines[2 * n], *lines[2 * n + 1], *prose(6000 + 2 * n + m, 45).split()]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(df).collect()
+    found = {i: [(r["start"], r["end"]) for r in got if r["doc_id"] == i] + [(r["other_start"], r["other_end"]) for r in got if r["other_id"] == i] for i in texts}
+    assert all(any(s <= 45 and e >= 97 for s, e in found[i]) for i in range(100, 112)), found
+
+
 def test_lm_against_plain_python(spark, odd):
     train = odd.where("doc_id % 5 <> 1")
     got = {(r["doc_id"], r["n_tokens"]): r for r in ngram_lm.score(odd, train).collect()}
