@@ -142,6 +142,18 @@ def test_quantised_probabilities():
     assert (np.abs(CODES[quantised(p)] / p - 1) < 0.03).all() and quantised(np.zeros(1))[0] == 0
 
 
+def test_contexts_of_any_size_keep_their_mass(tmp_path):
+    from terrapane.llm.ngram_lm import CODES, MASS, SuccessorShard, quantised, write_file
+
+    for total in (2 * 10**7, 2 * 10**8, 10**12):
+        counts = np.concatenate((np.ones(20_000), [total // 2, total - total // 2 - 20_000]))
+        p, back = counts / (total + MASS), MASS / (total + MASS)
+        write_file(path := f"{tmp_path}/pairs-{total}", SuccessorShard.arrays(np.full(len(p), 3), np.arange(len(p)), p, 30_000))
+        kept = SuccessorShard(path).lookup(np.full(len(p), 3), np.arange(len(p)), 30_000)
+        assert (np.abs(kept / p - 1) < 0.0004).all() and abs(CODES[quantised(np.array([back]))][0] / back - 1) < 0.0004
+        assert abs(kept.sum() + CODES[quantised(np.array([back]))][0] - 1) < 0.001
+
+
 def test_suffix_automaton_parse_is_greedy():
     from terrapane.llm.language_id import Model
 
