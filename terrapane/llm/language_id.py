@@ -6,7 +6,8 @@ training text and of the document, wins.  Texts are reduced to lower-case letter
 does not cross a window), all windows of a batch in step, by table look-ups.
 
 Defined cases: text that is null or has no letter: ``und``, score 0.  No labelled text at all: every text is ``und``.
-Ties: the language that sorts first.  Letters that training never saw are phrases of their own.
+Ties: the language that sorts first.  Every letter of the training texts has a symbol; letters that a language's text never has are
+phrases of their own in it.  More than ``LABELS`` labels are an error.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from .words import slices, string_buffers
 
 WINDOW = 256
 TRAIN_DOCS, TRAIN_CHARS, DOC_CHARS = 96, 24_000, 600
-OTHER, PAD, LETTERS = 61, 62, 60  # symbols: 0 a space, 1-60 the commonest letters of training, 61 any other letter, 62 padding
-WIDTH = 63
+LABELS = 1000
+LETTERS = 60  # a language of more letters has a larger alphabet's share of phrases, see Model.weight
+DENSE = 256  # symbols of a language whose automaton is kept as a full table
 
 
 @lru_cache(maxsize=1)
@@ -59,44 +61,77 @@ def symbols(column: pa.Array, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.concatenate(([0], np.cumsum(keep)))[off]
 
 
-def automaton(text: np.ndarray) -> np.ndarray:
-    """The suffix automaton of a symbol sequence as a table: entry (state, symbol) is 4 * next state * WIDTH plus the phrases that end there.
-
-    A symbol that cannot follow ends the open phrase and opens the next one; one that never occurs is a phrase of its own.
-    """
-    size = 2 * len(text) + 2
-    go = np.full((size, WIDTH), -1, np.int32)
-    link, length = [-1] + [0] * size, [0] * (size + 1)
-    last, n = 0, 1
+def automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """The transitions (symbol to state) of each state of the suffix automaton of a symbol sequence."""
+    go: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+    last = 0
     for c in text.tolist():
-        cur, p = n, last
-        n += 1
-        length[cur] = length[last] + 1
-        while p >= 0 and go[p, c] < 0:
-            go[p, c] = cur
+        cur, p = len(go), last
+        go.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while p >= 0 and c not in go[p]:
+            go[p][c] = cur
             p = link[p]
-        if p < 0:
-            link[cur] = 0
-        else:
-            q = int(go[p, c])
+        if p >= 0:
+            q = go[p][c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                copy = n
-                n += 1
-                go[copy], length[copy], link[copy] = go[q], length[p] + 1, link[q]
-                while p >= 0 and go[p, c] == q:
-                    go[p, c] = copy
+                copy = len(go)
+                go.append(dict(go[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and go[p].get(c) == q:
+                    go[p][c] = copy
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    go = go[:n]
-    root = np.maximum(go[0], 0)  # never seen: back to the start
-    out = np.where(go >= 0, 4 * WIDTH * go, 4 * WIDTH * root[None, :] + np.where(go[0] < 0, 2, 1)[None, :])
-    out[0] = np.where(go[0] < 0, 1, 4 * WIDTH * root)
-    out[:, PAD] = 1
-    out[0, PAD] = 0
-    return np.ascontiguousarray(out, dtype=np.int32).ravel()
+    return go
+
+
+class Parser:
+    """Greedy parsing by an automaton: a state and a symbol give 4 * next state plus the phrases that end there.
+
+    Symbols: 0 a space, 1 .. n the letters of the text, n + 1 any other letter, n + 2 padding.  A symbol that cannot follow ends the open phrase and
+    opens the next one; one that never occurs is a phrase of its own.  States are multiples of the number of symbols.
+    Up to DENSE symbols there is an entry for each of them in each state, else only for the transitions that exist.
+    """
+
+    def __init__(self, text: np.ndarray, letters: int):
+        self.width, go = letters + 3, automaton(text)
+        width = self.width
+        root = np.full(width, -1, np.int64)
+        root[list(go[0])] = list(go[0].values())
+        self.miss = np.where(root < 0, 2, 4 * width * root + 1)
+        self.miss[-1] = 1
+        self.start = np.where(root < 0, 1, 4 * width * root)
+        self.start[-1] = 0
+        keys = np.array([k * width + c for k, to in enumerate(go) for c in to], np.int64)
+        goes = np.array([4 * width * x for to in go for x in to.values()], np.int64)
+        self.dense = width <= DENSE
+        if self.dense:
+            out = np.tile(self.miss, (len(go), 1)).astype(np.int32)
+            out[0] = self.start
+            self.table = out.ravel()
+            self.table[keys] = goes
+        else:
+            order = np.argsort(keys)
+            self.keys, self.goes = np.append(keys[order], np.iinfo(np.int64).max), np.append(goes[order], 0)
+
+    def phrases(self, grid: np.ndarray) -> np.ndarray:
+        """The phrases of each column of symbols."""
+        state, phrases = np.zeros(grid.shape[1], np.int32 if self.dense else np.int64), np.zeros(grid.shape[1], np.int32)
+        for step in grid:
+            if self.dense:
+                got = self.table[state + step]
+            else:
+                at = np.searchsorted(self.keys, state + step)
+                got = np.where(self.keys[at] == state + step, self.goes[at], np.where(state > 0, self.miss[step], self.start[step]))
+            phrases += (got & 3).astype(np.int32)
+            state = got >> 2
+        return phrases + (state > 0)
 
 
 class Model:
@@ -105,14 +140,22 @@ class Model:
         column = pa.array([" ".join(texts[n]) for n in self.names], pa.string())
         points, _ = code_points(column)
         low = letter_table()[points]
-        seen, count = np.unique(low[low > 0], return_counts=True)
-        self.alphabet = np.where(letter_table() > 0, OTHER, 0).astype(np.uint8)
-        for k, c in enumerate(seen[np.lexsort((seen, -count))][:LETTERS]):
-            self.alphabet[c] = k + 1
+        seen = np.unique(low[low > 0])
+        self.pad = len(seen) + 2  # symbols of all languages: 0 a space, 1 .. the letters, one for any other letter, one for padding
+        self.alphabet = np.where(letter_table() > 0, self.pad - 1, 0).astype(np.int32)
+        self.alphabet[seen] = np.arange(1, len(seen) + 1)
         flat, off = symbols(column, self.alphabet)
-        parts = [flat[a:b][flat[a:b] != OTHER] for a, b in zip(off[:-1], off[1:], strict=True)]
-        self.tables = [automaton(p) for p in parts]
+        parts = [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+        self.parsers, self.local, sizes = [], [], []
+        for part in parts:
+            mine = np.unique(part[part > 0])
+            own = np.full(self.pad + 1, len(mine) + 1, np.int32)
+            own[0], own[mine], own[self.pad] = 0, np.arange(1, len(mine) + 1), len(mine) + 2
+            self.local.append(own)
+            self.parsers.append(Parser(own[part], len(mine)))
+            sizes.append(len(mine))
         self.cost = np.array([np.log2(max(2, len(p))) for p in parts])
+        self.weight = np.array([max(1.0, np.log2(n + 1) / np.log2(LETTERS + 1)) for n in sizes])  # what a symbol of a language with many letters says more
 
     def rates(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(rows x languages: normalised phrases a symbol, symbols of each row)."""
@@ -124,20 +167,15 @@ class Model:
         begin = off[row] + nth * WINDOW
         stop = np.minimum(begin + WINDOW, off[row + 1])
         at = begin[None, :] + np.arange(WINDOW)[:, None]
-        grid = np.where(at < stop[None, :], np.append(flat, PAD)[np.minimum(at, len(flat))], PAD).astype(np.int32)
+        grid = np.where(at < stop[None, :], np.append(flat, self.pad)[np.minimum(at, len(flat))], self.pad).astype(np.int32)
         out = np.zeros((len(length), len(self.names)))
-        for k, table in enumerate(self.tables):
-            state, phrases = np.zeros(len(row), np.int32), np.zeros(len(row), np.int32)
-            for step in grid:
-                got = table[state + step]
-                phrases += got & 3
-                state = got >> 2
-            phrases += state > 0
+        for k, parser in enumerate(self.parsers):
+            phrases = parser.phrases(self.local[k][grid])
             out[:, k] = np.bincount(row, phrases, len(length)) * self.cost[k]
         return out / np.maximum(length, 1)[:, None], length
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, score in 0..1, normalised phrases a symbol) of each row."""
+        """(language, score in 0..1, normalised phrases a symbol, by the weight of the language's symbols) of each row."""
         n = len(column)
         if not self.names:
             return ["und"] * n, np.zeros(n), np.zeros(n)
@@ -149,7 +187,7 @@ class Model:
         with np.errstate(invalid="ignore"):
             score = np.where(np.isinf(second), 1.0, second / (second + low))
         found = length > 0
-        return [self.names[b] if f else "und" for b, f in zip(best, found, strict=True)], np.where(found, score, 0.0), np.where(found, low, 0.0)
+        return [self.names[b] if f else "und" for b, f in zip(best, found, strict=True)], np.where(found, score, 0.0), np.where(found, low / self.weight[best], 0.0)
 
 
 _models: dict[str, Model] = {}
@@ -166,10 +204,12 @@ def sample(docs: DataFrame, lang_col: str, id_col: str = "doc_id", text_col: str
     """About docs_each labelled texts a language, chosen by a hash of the id; DOC_CHARS from the middle of each, TRAIN_CHARS a language at most.
 
     These bounds concern only the fitting of the classifier.  The rows of a language are counted first (a scan of one column), so that
-    the share that is drawn fits the language.  At most 1000 languages are expected.
+    the share that is drawn fits the language.  More than LABELS languages are an error.
     """
     rows = shared.texts(docs, id_col, text_col, lang_col).withColumnRenamed(lang_col, "label").where(F.col("label").isNotNull())
-    count = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(1000).collect()}
+    count = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(LABELS + 1).collect()}
+    if len(count) > LABELS:
+        raise ValueError(f"more than {LABELS} languages are labelled")
     if not count:
         return {}
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40))

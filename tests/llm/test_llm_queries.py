@@ -212,6 +212,29 @@ def test_language(spark):
     assert language_id.identify(df, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_four_scripts(spark):
+    """Every letter of training counts: clean texts of each script are kept, though the alphabets have 2,000 letters together."""
+    import random
+
+    r = random.Random(3)
+    scripts = {"en": range(0x61, 0x7B), "el": range(0x3B1, 0x3CA), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x55D0)}
+    lexicon = {k: ["".join(chr(r.choice(v)) for _ in range(2 if k == "zh" else r.randint(3, 8))) for _ in range(1500 if k == "zh" else 300)] for k, v in scripts.items()}
+
+    def text(lang, n):
+        return ("" if lang == "zh" else " ").join(r.choice(lexicon[lang]) for _ in range(n))
+
+    model = {k: [text(k, 300 if k == "zh" else 90) for _ in range(40)] for k in scripts}
+    rows = [(i, k, text(k, 80)) for i, k in enumerate([*scripts] * 5)] + [(99, "junk", "".join(chr(r.choice(range(0xAC00, 0xD7A3))) for _ in range(200)))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert {x["doc_id"]: x["lang_pred"] for x in language_id.identify(df, model).collect() if x["doc_id"] < 99} == {i: k for i, k, _ in rows[:-1]}
+    assert sorted(x["doc_id"] for x in language_id.keep_identified(df, model).collect()) == list(range(20))
+
+
+def test_too_many_labels_are_an_error(spark):
+    with pytest.raises(ValueError, match="languages"):
+        language_id.sample(spark.range(1001).selectExpr("id as doc_id", "'some words' as text", "cast(id as string) as lang"), "lang")
+
+
 def test_secrets(spark, odd):
     key = "AKIA" + "Q7ZX2WJ5M3N8B4VC"
     texts = [(1, f'é the token = "{hashlib.sha1(b"x").hexdigest()}" and more'), (2, f"{key} at the start"), (3, "call 4845168114407329 or 97.51.17.173 or mail7.example.com"), (4, None), (5, ""), (1, "nothing here")]
