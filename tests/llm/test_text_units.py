@@ -208,6 +208,16 @@ def test_forest_tells_new_findings():
     assert ((p > 0.5) == np.array([r[3] for r in rows])).mean() > 0.98
 
 
+def test_secrets_without_digits_and_short_ones():
+    from terrapane.llm.secret_scan import findings_of, train
+
+    key = "AKIA" + "QZXWJMNBVCPLKRTH"
+    texts = [f"see {key} here", 'my password="xK!vq@Zr" now', "password: qWzRtXpLkV and", "pwd=aB3$kZ%9q", "the internationalisation of extraordinarily well-established neighbourhoods", "the key: word", "password=", "k", None]
+    got = findings_of(pa.array(texts), train(), 0.5)
+    assert [(r, v) for r, _, _, v, _ in got] == [(0, key), (1, "xK!vq@Zr"), (2, "qWzRtXpLkV"), (3, "aB3$kZ%9q")]
+    assert all(texts[r][s:e] == v for r, s, e, v, _ in got)
+
+
 def test_candidates_do_not_cross_rows():
     from terrapane.llm.secret_scan import candidates
 
