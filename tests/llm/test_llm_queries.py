@@ -78,8 +78,11 @@ def test_components_on_odd_rows(odd, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
-def test_components_of_near_copies_of_many_sizes(spark):
+@pytest.mark.parametrize("settings", [{}, {"TRIALS": 0, "BLOCK": 4}, {"TRIALS": 1, "BLOCK": 3}])
+def test_components_of_near_copies_of_many_sizes(spark, monkeypatch, settings):
     """Copies with a growing number of changed words, so similarities lie on both sides of the threshold, in buckets beyond SMALL."""
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     rows, n = [], 0
     for base in range(3):
         body = prose(50 + base, 60 + 40 * base).split()

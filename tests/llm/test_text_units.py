@@ -285,3 +285,44 @@ def test_chain_is_the_best_one():
         value = max(6 * len(c) - GAP_COST * (a[c[-1]] - a[c[0]] + b[c[-1]] - b[c[0]]) for c in found)
         assert value == pytest.approx(best) and sorted(i for c in found for i in c) == list(range(len(pts)))
 
+
+
+def test_word_digests_of_twin_words_differ():
+    """The Thue-Morse word and its complement clash in every polynomial hash modulo a power of two."""
+    for n in (1024, 2048, 4096):
+        bits = [bin(i).count("1") & 1 for i in range(n)]
+        w = Words(pa.array(["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits), "a" * 8 + "b" * 8, "b" * 8 + "a" * 8]))
+        assert len(set(w.hash.tolist())) == 4
+
+
+def test_classes_whose_digests_clash_get_names_of_their_own():
+    from terrapane.llm.jaccard_join import class_ids
+
+    w = Words(pa.array(["a b c d e f", "x y", "", "x y"]))
+    _, ids, check = class_ids(*w.shingles(4))
+    _, again, _ = class_ids(*w.shingles(4), {(int(ids[1]), int(check[1])): 77})
+    assert again.tolist() == [ids[0], 77, ids[2], 77] and len({ids[0], ids[1], ids[2]}) == 3
+
+
+def test_frequent_keys_leave_no_link_out():
+    """Whatever keys are called frequent, two sets that link share a key that is not, or both have no slack left in a band."""
+    from terrapane.llm.jaccard_join import sketch_keys
+
+    rng = np.random.default_rng(7)
+    for percent in (80, 85):
+        for _ in range(60):
+            n = int(rng.integers(8, 400))
+            one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            swap = int(len(one) * (100 - percent) / (100 + percent))
+            two = np.unique(np.concatenate((one[swap:], rng.integers(0, 1 << 63, swap, dtype=np.uint64))))
+            both = len(np.intersect1d(one, two))
+            if 100 * both < percent * (len(one) + len(two) - both):
+                continue
+            key, row, slack = sketch_keys([one, two], percent)
+            common = np.intersect1d(key[row == 0], key[row == 1])
+            assert len(common) or np.array_equal(one, two)
+            often = set(rng.permutation(common)[: rng.integers(0, len(common) + 1)].tolist())
+            safe = [{int(b) for b in np.unique(key & np.uint64(63)) if (m := (row == r) & (key & np.uint64(63) == b)).any() and sum(k in often for k in key[m].tolist()) < slack[m].min()} for r in (0, 1)]
+            for b in safe[0] | safe[1]:
+                mine = {k for k in common.tolist() if k & 63 == b}
+                assert not mine or mine - often
