@@ -46,7 +46,6 @@ FOLD = 1024
 MARK = 255  # the slack of a row that only says that its key is frequent
 SHARD_KEYS = 1_000_000
 BROADCAST_CLASSES = 500_000
-MOST_CLASHES = 10_000
 FLUSH = 2_000_000
 DEFLATED_BYTES = 1 << 19
 _BITS = np.uint64((1 << 20) - 1)
@@ -154,15 +153,6 @@ def members(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, class long, check long, n_shingles long, sketch binary")
 
 
-def clashes(mine: DataFrame, classes: DataFrame) -> dict[tuple[int, int], int]:
-    """(class, check) -> new class, for sets whose first digests clash: about n * n / 2**65 of n classes, so one in 10**10 documents."""
-    several = classes.where("low <> high").select("class")
-    rows = mine.join(F.broadcast(several), "class").select("class", "check").distinct().limit(MOST_CLASHES + 1).collect() if not several.isEmpty() else []
-    if len(rows) > MOST_CLASHES:
-        raise ValueError("more clashes than digests of 64 bits can have")
-    return {(c, h): int(mix(np.array([c ^ h], np.int64).view(np.uint64)).view(np.int64)[0]) for c, h in rows}
-
-
 def sharded_keys(rows: DataFrame, k: int, percent: int, shards: int, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """shard, keys, classes, slack (packed numbers): the sketch keys of all classes, by shard; a task sends each class once.
 
@@ -386,9 +376,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     mine = shared.saved(members(rows, k))
     by_class = lambda m: m.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("check").alias("low"), F.max("check").alias("high"))
     classes = shared.saved(by_class(mine))
-    if renamed := clashes(mine, classes):
-        new = docs.sparkSession.createDataFrame([(c, h, x) for (c, h), x in renamed.items()], "class long, check long, new long")
-        mine = mine.join(F.broadcast(new), ["class", "check"], "left").withColumn("class", F.coalesce("new", "class")).drop("new")
+    if renamed := shared.clashes(mine, classes):
+        mine = shared.renamed_classes(mine, renamed)
         classes = shared.saved(by_class(mine))
     label = linked_classes(rows, classes, k, percent, renamed)
     some = mine.where("class is not null").join(label, F.col("class") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("label", "class").alias("component"))

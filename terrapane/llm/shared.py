@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import mix
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,6 +43,27 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+MOST_CLASHES = 10_000
+
+
+def clashes(mine: DataFrame, classes: DataFrame) -> dict[tuple[int, int], int]:
+    """(class, check) -> new class, for texts whose first digests clash: about n * n / 2**65 of n classes, so one in 10**10 documents.
+
+    mine: class, check of each row; classes: the least (low) and greatest (high) check of each class.
+    """
+    several = classes.where("low <> high").select("class")
+    rows = mine.join(F.broadcast(several), "class").select("class", "check").distinct().limit(MOST_CLASHES + 1).collect() if not several.isEmpty() else []
+    if len(rows) > MOST_CLASHES:
+        raise ValueError("more clashes than digests of 64 bits can have")
+    return {(c, h): int(mix(np.array([c ^ h], np.int64).view(np.uint64)).view(np.int64)[0]) for c, h in rows}
+
+
+def renamed_classes(mine: DataFrame, renamed: dict[tuple[int, int], int]) -> DataFrame:
+    """mine with the new names of the classes that clash."""
+    new = mine.sparkSession.createDataFrame([(c, h, x) for (c, h), x in renamed.items()], "class long, check long, new long")
+    return mine.join(F.broadcast(new), ["class", "check"], "left").withColumn("class", F.coalesce("new", "class")).drop("new")
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

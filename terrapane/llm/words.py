@@ -17,6 +17,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _KEY = np.uint64(0xD6E8FEB86659FD93)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
@@ -81,14 +82,24 @@ class Words:
         else:
             self.hash = np.zeros(0, np.uint64)
 
+    def prefixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, factors): the words i .. j - 1 have the digest (sums[j] - sums[i]) * factors[i], before mixing."""
+        n = len(self.hash)
+        power, back = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (_P, _INVERSE))
+        return np.append(np.uint64(0), np.cumsum(self.hash * power[:n], dtype=np.uint64)), back
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, offsets): the k-word shingles of each row in text order; a row of 1 to k-1 words gives its whole sequence as one."""
         n, h = len(self.hash), self.hash
         count = np.diff(self.first)
         if n >= k:
-            run = np.zeros(n - k + 1, np.uint64)
-            for j in range(k):
-                run += h[j : n - k + 1 + j] * _STEP[j]
+            if k > len(_STEP) // 8:
+                total, factor = self.prefixes()
+                run = (total[k:] - total[:-k]) * factor[: n - k + 1]
+            else:
+                run = np.zeros(n - k + 1, np.uint64)
+                for j in range(k):
+                    run += h[j : n - k + 1 + j] * _STEP[j]
             run = mix(run)[self.doc[: n - k + 1] == self.doc[k - 1 :]]
         else:
             run = np.zeros(0, np.uint64)
