@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from .boosting import BoostedTrees
 from .words import slices
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?][^>]*>|</?[A-Za-z][^>]*>""", re.S)
+_OPEN = re.compile(r"<(?:/?[A-Za-z]|[!?])")
+_NAME = re.compile(r"[^\s/>]++")
+_MARK = re.compile(r"""["'>]""")
 _ATTR = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "xmp", "noembed", "noframes")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "xmp", "noembed", "noframes")}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section select summary table tbody td tfoot th thead tr ul".split())
 _IN_P = BLOCK - set("body html legend li dd dt option optgroup tbody td tfoot th thead tr".split())
@@ -47,8 +49,56 @@ KINDS = ("p", "h", "li", "list", "a", "div", "section", "article", "main", "nav"
 _KIND = {"p": 0, **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), 1), "li": 2, "dt": 2, "dd": 2, "ul": 3, "ol": 3, "dl": 3, "menu": 9, "a": 4, "div": 5, "section": 6, "article": 7, "main": 8, "nav": 9, "header": 10, "footer": 11, "aside": 12, "dialog": 12, "form": 13, "fieldset": 13, "button": 13, "select": 13, "label": 13, "option": 13, "table": 15, "tbody": 15, "thead": 15, "tr": 15, "td": 15, "th": 15, "blockquote": 16, "pre": 16, "figure": 16, "figcaption": 16, "html": 17, "body": 17}
 
 
-@lru_cache(maxsize=4096)
+def tag_end(source: str, at: int, loose: bool) -> int:
+    """The place of the ``>`` that ends a tag, -1 for none: the first one outside of quotes, or (loose) the first one."""
+    while not loose and (m := _MARK.search(source, at)):
+        if m[0] == ">":
+            return m.start()
+        at = source.find(m[0], m.end()) + 1
+        if not at:
+            break
+    return source.find(">", at) if loose else -1
+
+
+def markup(source: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of each tag, comment and declaration, in order; end tags have a name with ``/``, the last two none.
+
+    Linear in any source: once a quote inside a tag is never closed, all further tags end at their first ``>``.
+    A caller may send the place where to go on.
+    """
+    at, last, loose = 0, source.rfind(">"), False
+    while m := _OPEN.search(source, at):
+        start = m.start()
+        if start > last and not source.startswith("<!--", start):
+            start = source.find("<!--", start)
+            if start < 0:
+                return
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = len(source) if end < 0 else end + 3
+            yield start, at, "", ""
+            continue
+        if m[0] in ("<!", "<?"):
+            at = source.find(">", start) + 1
+            yield start, at, "", ""
+            continue
+        name = _NAME.match(source, m.end() - 1)
+        end = tag_end(source, name.end(), loose)
+        if end < 0:
+            loose, end = True, source.find(">", name.end())
+        at = end + 1
+        went = yield start, at, ("/" if len(m[0]) > 2 else "") + name[0].lower(), source[name.end() : end]
+        if went is not None:
+            at = went
+            yield start, at, "", ""
+
+
 def attribute_classes(attrs: str) -> tuple[int, int]:
+    return short_attribute_classes(attrs) if len(attrs) < 512 else short_attribute_classes.__wrapped__(attrs)
+
+
+@lru_cache(maxsize=4096)
+def short_attribute_classes(attrs: str) -> tuple[int, int]:
     """(bits of the BAD classes, 1 if a GOOD word) among the words of class, id, role, itemprop and aria-label."""
     bad = good = 0
     for a in _ATTR.findall(attrs):
@@ -61,67 +111,84 @@ def attribute_classes(attrs: str) -> tuple[int, int]:
     return bad, good
 
 
+class Stack:
+    """The open elements, with the places of those of each tag and of all blocks, so that no end tag has to walk down."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags, self.of, self.blocks = [0], ["#page"], {}, []
+
+    def push(self, node: int, tag: str) -> None:
+        self.of.setdefault(tag, []).append(len(self.nodes))
+        if tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def innermost(self, tags) -> int:
+        return max((x[-1] for t in tags if (x := self.of.get(t))), default=0)
+
+    def cut(self, k: int) -> None:
+        """Ends the elements from place k on."""
+        for tag in self.tags[k:]:
+            self.of[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+        del self.nodes[k:], self.tags[k:]
+
+    def end(self, tag: str) -> None:
+        """An end tag: it ends its innermost element, an inline one only if no block was opened since."""
+        k = self.innermost((tag,))
+        if k and (tag in BLOCK or not self.blocks or k > self.blocks[-1]):
+            self.cut(k)
+
+    def imply(self, tags, scope) -> None:
+        """Ends the innermost open elements of these tags, unless one of the scope is between."""
+        while (k := self.innermost(tags)) > self.innermost(scope):
+            self.cut(k)
+
+
 class Page:
     """Elements in page order (``tag``, ``parent``, ``attrs``) and the texts: (element, decoded text, starts a block)."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.attrs, self.texts = ["#page"], [-1], [""], []
-        stack, at, fresh = [0], 0, True
-        while m := _TAG.search(source, at):
-            if m.start() > at:
-                self._text(source[at : m.start()], stack[-1], fresh)
+        stack, at, fresh = Stack(), 0, True
+        found = markup(source)
+        for start, after, tag, attrs in found:
+            if start > at:
+                self._text(source[at:start], stack.nodes[-1], fresh)
                 fresh = False
-            at = m.end()
-            if not m[2]:
+            at = after
+            if not tag:
                 continue
-            tag = m[2].lower()
-            if tag in BLOCK:
+            if tag.lstrip("/") in BLOCK:
                 fresh = True
-            if tag == "br":
-                self._text(" ", stack[-1], fresh)
-                continue
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        del stack[k:]
-                        break
-                    if tag not in BLOCK and self.tag[stack[k]] in BLOCK:
-                        break
-                continue
-            if tag in _RAW:
-                if not m[3].endswith("/") or tag not in ("svg", "math"):
+            if tag == "br" or tag == "/br":
+                self._text(" ", stack.nodes[-1], fresh)
+            elif tag[0] == "/":
+                stack.end(tag[1:])
+            elif tag in _RAW:
+                if not attrs.endswith("/") or tag not in ("svg", "math"):
                     end = _RAW[tag].search(source, at)
-                    at = end.end() if end else len(source)
-                continue
-            if tag == "head" or tag in VOID:
-                continue
-            if tag in _IN_P:
-                self._close(stack, {"p"}, {"table", "td", "button"})
-            elif tag in CLOSES:
-                self._close(stack, CLOSES[tag], _SCOPE[tag])
-            if m[3].endswith("/"):
-                continue
-            self.tag.append(tag)
-            self.parent.append(stack[-1])
-            self.attrs.append(m[3])
-            stack.append(len(self.tag) - 1)
+                    at = source.find(">", end.end()) + 1 if end else 0
+                    at = at or len(source)
+                    found.send(at)
+            elif tag != "head" and tag not in VOID:
+                if tag in _IN_P:
+                    stack.imply(("p",), ("table", "td", "button"))
+                elif tag in CLOSES:
+                    stack.imply(CLOSES[tag], _SCOPE[tag])
+                if not attrs.endswith("/"):
+                    self.tag.append(tag)
+                    self.parent.append(stack.nodes[-1])
+                    self.attrs.append(attrs)
+                    stack.push(len(self.tag) - 1, tag)
         if at < len(source):
-            self._text(source[at:], stack[-1], fresh)
+            self._text(source[at:], stack.nodes[-1], fresh)
 
     def _text(self, s: str, node: int, fresh: bool) -> None:
         self.texts.append((node, html.unescape(s) if "&" in s else s, fresh))
 
-    def _close(self, stack: list[int], tags: set[str], scope: set[str]) -> None:
-        """Ends the innermost open element of these tags, unless one of the scope is between."""
-        for k in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[k]]
-            if t in tags:
-                del stack[k:]
-                return self._close(stack, tags, scope)
-            if t in scope:
-                return None
-        return None
-
     def features(self) -> np.ndarray:
         n, parent = len(self.tag), self.parent
         own, link, stops, words, kids = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
@@ -196,8 +263,7 @@ class Page:
 def labelled_pages(n: int = 600, seed: int = 3) -> list[str]:
     """Pages as annotators label them (data-y="1" main text, "0" other), made from varied layouts by a seeded generator."""
     r = random.Random(seed)
-    syllables = "the on er th in re ti es or an ou ha nd ea st en ción que de la os ie är ung ver é eau oi".split()
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    word = lambda: "".join(r.choice("bcdfghklmnprstvwz") + r.choice("aeiouyéä") + r.choice(("", "", "n", "r", "s", "l")) for _ in range(r.randint(1, 4)))
     sentence = lambda a=4, b=18: " ".join(word() for _ in range(r.randint(a, b))).capitalize() + r.choice((".", ".", ".", "?", "!", ""))
     para = lambda a=1, b=5: " ".join(sentence() for _ in range(r.randint(a, b)))
     cls = lambda *names: r.choice((f' class="{r.choice(names)}"', f' id="{r.choice(names)}"', f' class="{r.choice(names)} {word()}"', f' class="site-{r.choice(names)}"'))
@@ -207,7 +273,7 @@ def labelled_pages(n: int = 600, seed: int = 3) -> list[str]:
         body = {
             "menu": lambda: r.choice((f'<nav data-y="0"><ul>{links()}</ul></nav>', f'<div{cls("nav", "menu", "navbar", "breadcrumb")} data-y="0"><ul>{links()}</ul></div>', f'<ul{cls("menu", "tabs", "nav")} data-y="0">{links()}</ul>')),
             "head": lambda: r.choice((f'<header data-y="0"><a href="/">{word()}</a><p>{sentence(2, 6)}</p></header>', f'<header data-y="0">{para(1, 2)}</header>', f'<div{cls("header", "masthead", "topbar", "banner")} data-y="0">{sentence(2, 8)}</div>')),
-            "foot": lambda: r.choice((f'<footer data-y="0">&copy; {word()} &middot; {sentence(2, 24)}</footer>', f'<footer data-y="0">{para(1, 2)}</footer>', f'<footer data-y="0"><p>{para(1, 2)}</p></footer>', f'<div{cls("footer", "copyright", "legal")} data-y="0"><p>{sentence(3, 12)}</p><ul>{links(2, 5)}</ul></div>')),
+            "foot": lambda: r.choice((f'<footer data-y="0">{r.choice(("Copyright", "&copy; 20" + str(r.randint(10, 30)), "(c)", word()))} {word()}{r.choice((" | ", ", ", " - ", " &bull; ", ". "))}{sentence(2, 24)}</footer>', f'<footer data-y="0">{para(1, 2)}</footer>', f'<footer data-y="0"><p>{para(1, 2)}</p></footer>', f'<div{cls("footer", "copyright", "legal")} data-y="0"><p>{sentence(3, 12)}</p><ul>{links(2, 5)}</ul></div>')),
             "side": lambda: r.choice((f'<aside data-y="0"><h3>{word()}</h3><ul>{links()}</ul></aside>', f'<div{cls("sidebar", "widget", "related", "trending")} data-y="0"><h4>{sentence(1, 3)}</h4><p>{para(1, 2)}</p></div>', f'<aside data-y="0"><p>{para(1, 3)}</p></aside>')),
             "ad": lambda: f'<div{cls("ad", "ads", "advert", "promo", "sponsored", "advertisement")} data-y="0">{r.choice((para(1, 2), f"<p>{para(1, 2)}</p>", sentence()))}</div>',
             "note": lambda: f'<{(t := r.choice(("div", "section", "dialog")))}{cls("cookie", "consent", "notice", "newsletter", "popup", "alert")} data-y="0"><p>{para(1, 2)}</p>{r.choice(("", "<button>ok</button>"))}</{t}>',
@@ -228,15 +294,16 @@ def labelled_pages(n: int = 600, seed: int = 3) -> list[str]:
         close = r.random() < 0.8
         parts = [f"<h{r.choice('112')}>{sentence(2, 9)}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.choice((1, 1, 1, 1, 2, 2, 3, 5, 8, 14))):
-            parts.append(r.choices((f"<p>{para()}{'</p>' if close else ''}", f"<p><b>{sentence()}<br><p>{para()}</p>", f"<h2>{sentence(1, 6)}</h2><p>{para()}</p>", f"<blockquote>{para(1, 3)}</blockquote>", f"<ul>{''.join(f'<li>{sentence()}</li>' for _ in range(r.randint(2, 5)))}</ul>", f"<div>{para()}</div>", f'<p>{para(1, 2)} <a href="/{word()}">{word()}</a> {para(1, 2)}</p>', f"<p>{word()}</p>", f"<pre>{para(1, 2)}</pre>", f"<table><tr><td>{word()}<td>{sentence(1, 5)}</table>"), (12, 3, 3, 1, 1, 2, 3, 1, 1, 1))[0])
+            parts.append(r.choices((f"<p>{para()}{'</p>' if close else ''}", f"<p><{(b := r.choice(('b', 'i', 'em', 'span')))}>{sentence()}{r.choice(('<br>', f'</{b}>', '<br><br>'))}{r.choice(('<p>', '</p><p>'))}{para()}</p>", f"<h2>{sentence(1, 6)}</h2><p>{para()}</p>", f"<blockquote>{para(1, 3)}</blockquote>", f"<ul>{''.join(f'<li>{sentence()}</li>' for _ in range(r.randint(2, 5)))}</ul>", f"<div>{para()}</div>", f'<p>{para(1, 2)} <a href="/{word()}">{word()}</a> {para(1, 2)}</p>', f"<p>{word()}</p>", f"<pre>{para(1, 2)}</pre>", f"<table><tr><td>{word()}<td>{sentence(1, 5)}</table>"), (12, 3, 3, 1, 1, 2, 3, 1, 1, 1))[0])
         if inner:
             parts.insert(r.randint(1, len(parts)), other(inner))
-        tag, attr = r.choice((("article", ""), ("article", ""), ("article", cls("post", "entry")), ("main", ""), ("div", cls("content", "article", "post", "story", "entry")), ("section", cls("content", "main")), ("div", "")))
+        mixed = f' id="{r.choice([w for v in BAD.values() for w in v.split()])}-{r.choice(("wrapper", "wrap", "area", "page"))}" class="{r.choice(GOOD)}-{r.choice(GOOD)}"'
+        tag, attr = r.choice((("div", mixed), ("article", ""), ("article", ""), ("article", cls("post", "entry")), ("main", ""), ("div", cls("content", "article", "post", "story", "entry")), ("section", cls("content", "main")), ("div", "")))
         body = f'<{tag}{attr} data-y="1">{"".join(parts)}</{tag}>'
         if r.random() < 0.3:
             wrap = r.choice(("div", "main", "section"))
-            body = f"<{wrap}{r.choice(('', cls('container', 'wrapper', 'page')))}>{body}{other('side') if r.random() < 0.4 else ''}</{wrap}>"
-        head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{sentence(2, 6)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head>'
+            body = f"<{wrap}{r.choice(('', cls('container', 'wrapper', 'page'), cls('container', 'wrapper', 'page'), mixed))}>{body}{other('side') if r.random() < 0.4 else ''}</{wrap}>"
+        head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{sentence(2, 6)}</title>{r.choice(("", "<style>.x {{ color: red }}</style>"))}</head>'
         return head + "<body>" + "".join(map(other, top)) + body + "".join(map(other, end)) + r.choice(("</body></html>", "</body></html>", ""))
 
     return [page() for _ in range(n)]

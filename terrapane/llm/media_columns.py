@@ -55,25 +55,35 @@ def decode(blob: bytes) -> np.ndarray:
     kind, at, head = int(blob[1:2]), 2, []
     for _ in range(2 if kind in (1, 4) else 3):
         m = _TOKEN.match(blob, at)
-        if not m:
-            raise ValueError("cut off")
+        if not m or not re.fullmatch(rb"[0-9]{1,9}", m[1]):
+            raise ValueError("cut off, or not a size")
         head.append(int(m[1]))
         at = m.end()
     (w, h), top = head[:2], (head + [1])[2]
     if w <= 0 or h <= 0 or not 0 < top < 256:
         raise ValueError("only 8-bit samples")
     depth = 3 if kind in (3, 6) else 1
+    if len(blob) < (w + 7) // 8 * h:
+        raise ValueError("cut off")
     if kind == 4:
         bits = np.unpackbits(np.frombuffer(blob, np.uint8, (w + 7) // 8 * h, at + 1).reshape(h, -1), axis=1)[:, :w]
         return (1 - bits) * np.uint8(255)
     if kind >= 5:
         flat = np.frombuffer(blob, np.uint8, w * h * depth, at + 1)
     elif kind == 1:
-        flat = 1 - np.array([int(c) for c in re.sub(rb"#[^\n]*|\s", b"", blob[at:]).decode()][: w * h], np.uint8)
+        flat = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", blob[at:])[: w * h], np.uint8) - np.uint8(48)
+        if (flat > 1).any():
+            raise ValueError("a bit that is neither 0 nor 1")
+        flat = 1 - flat
     else:
-        flat = np.array(re.sub(rb"#[^\n]*", b"", blob[at:]).split()[: w * h * depth], dtype=np.int64)
+        words = re.sub(rb"#[^\n]*", b"", blob[at:]).split()[: w * h * depth]
+        if not all(re.fullmatch(rb"0*[0-9]{1,3}", x) for x in words):
+            raise ValueError("not a sample")
+        flat = np.array(words, dtype=np.int64)
     if flat.size < w * h * depth:
         raise ValueError("cut off")
+    if kind != 1 and flat.size and flat.max() > top:
+        raise ValueError("a sample above the maximum")
     if top != 255:
         flat = (flat.astype(np.int64) * 255 // top).astype(np.uint8)
     return flat.astype(np.uint8, copy=False).reshape((h, w, 3) if depth == 3 else (h, w))
@@ -122,7 +132,7 @@ def tiles(images: DataFrame, id_col: str, image_col: str, side: int = 32) -> Dat
                 try:
                     px = decode(blob)
                     rows.append((i, px.shape[1], px.shape[0], npy_bytes(np.rint(area_resize(px, side, side)).astype(np.uint8)), difference_hash(px), None))
-                except (ValueError, TypeError, struct.error) as e:
+                except (ValueError, TypeError, OverflowError, MemoryError, struct.error) as e:
                     rows.append((i, None, None, None, None, str(e)[:200]))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
