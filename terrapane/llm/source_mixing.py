@@ -1,17 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in a hashed order, form blocks.  With weight w, block j (from 1) of a source may run from slot
-floor((j-1)/w) and must run before slot ceil(j/w); earliest deadline first over the released blocks then keeps every source
-within less than one block of its share in every prefix.  Weights are multiples of 1/quantum, so the schedule repeats after
-``quantum`` slots: the driver schedules one such period over the sources (metadata, never documents), and a document's slot
-follows from its rank in its source by arithmetic.  When a source runs out, the others go on with their weights scaled up
-(a new segment), so every document gets a slot.
-
-Ranks are counted without gathering a source: a source is split into hashed buckets of a few thousand rows, ranked inside
+Each source's documents, in a hashed order, form blocks; one block runs in a slot.  In the ideal (fluid) mixture every source that is not used up gets its
+weight's share of each slot, and when a source is used up the others go on with their shares scaled up.  Block j (from 1) of a source
+is released in the slot in which the fluid mixture begins it, floor((j-1)/w) while all sources last, and its deadline is the slot in
+which that has ended it, ceil(j/w).  Earliest deadline first over the released blocks meets every deadline (unit jobs with whole
+windows that a fluid schedule fits), so every source stays within less than one block of its share of the given weights in every prefix.
+
+The driver schedules blocks, never documents: blocks have ``block`` documents, or as many as make ``slots`` of them in all, so the
+schedule is of bounded size (slots and one partly filled block a source) at any size of the corpus.  A document's slot follows from
+its rank in its source.
+
+Ranks are counted without gathering a source: a source is split into hashed buckets of a few hundred rows, ranked inside
 the bucket, and bucket sizes are summed up.
 
 Defined cases: a null source is a source of its own; repeated ids rank by turns; empty tables give no rows; null ids rank last
-in their bucket.
+in their bucket; more than MOST_SOURCES sources are an error.
 """
 
 from __future__ import annotations
@@ -19,81 +22,68 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import shared
-
-BUCKET_ROWS = 4096
-MOST_SOURCES = 20_000
-
-
-def in_units(weights: dict[str, float], quantum: int) -> dict[str, int]:
-    """Weights as whole units of 1/quantum that sum up to quantum: largest remainder, one at least."""
-    total, names = sum(weights.values()), sorted(weights)
-    exact = {s: weights[s] / total * quantum for s in names}
-    units = {s: max(1, int(exact[s])) for s in names}
-    for s in sorted(names, key=lambda s: (units[s] - exact[s], s)) * 2:
-        if sum(units.values()) < quantum:
-            units[s] += 1
-    while (over := sum(units.values()) - quantum) > 0:
-        most = max(names, key=lambda s: (units[s] - exact[s] if units[s] > 1 else -quantum, s))
-        units[most] -= min(over, max(1, int(units[most] - exact[most])), units[most] - 1)
-    return units
-
-
-def period(units: dict[str, int]) -> dict[str, np.ndarray]:
-    """The slots of each source's blocks in one period of earliest deadline first."""
-    q = sum(units.values())
-    out: dict[str, list[int]] = {s: [] for s in units}
-    waiting, ready = [(0, s, 1) for s in sorted(units)], []
-    heapq.heapify(waiting)
-    for slot in range(q):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * q // units[s]), s, j))
-        deadline, s, j = heapq.heappop(ready)
-        assert slot < deadline, "earliest deadline first missed a deadline"
-        out[s].append(slot)
-        if j < units[s]:
-            heapq.heappush(waiting, (j * q // units[s], s, j + 1))
-    return {s: np.array(v) for s, v in out.items()}
-
-
-def segments(blocks: dict[str, int], weights: dict[str, float], quantum: int) -> list[tuple]:
-    """(source, first block, end block, first slot, units, quantum, pattern) until all blocks have slots."""
-    left, done, slot0, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        q = max(quantum, 4 * len(left))
-        units = in_units({s: weights[s] for s in left}, q)
-        slots = period(units)
-        length = min((n - 1) // units[s] * q + int(slots[s][(n - 1) % units[s]]) + 1 for s, n in left.items())
-        for s in sorted(left):
-            n = length // q * units[s] + int(np.searchsorted(slots[s], length % q))
-            out.append((s, done[s], done[s] + n, slot0, units[s], q, slots[s].tolist()))
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        slot0 += length
-    return out
-
-
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block: int = 64, quantum: int = 1024, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """doc_id, source, source_rank, block, slot, position, target_weight (in its segment); position orders the mixture.
+BUCKET_ROWS = 512
+MOST_SOURCES = 200_000
+SLACK = 1e-6  # for the rounding of floats
+
+
+def windows(blocks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(source, number from 0, release, deadline) of each block: the slots in which the fluid mixture begins and has ended it.
+
+    At virtual time v source s has had min(v * weight, blocks), so slot(v) is the sum of these, linear between the ends blocks / weight of the sources.
+    """
+    weights = weights / weights.sum()
+    ends = blocks / weights
+    order = np.argsort(ends)
+    rest = weights.sum() - np.concatenate(([0.0], np.cumsum(weights[order])[:-1]))  # the weight that is still there before each end
+    at = np.concatenate(([0.0], ends[order]))
+    slot = np.concatenate(([0.0], np.cumsum(np.maximum(rest, 0.0) * np.diff(at))))
+    slot *= blocks.sum() / max(slot[-1], 1e-300)
+    source = np.repeat(np.arange(len(blocks)), blocks)
+    number = np.arange(len(source)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin, end = (np.interp((number + k) / weights[source], at, slot) for k in (0, 1))
+    return source, number, np.floor(begin + SLACK).astype(np.int64), np.ceil(end - SLACK).astype(np.int64)
+
+
+def schedule(blocks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source, number, slot) of all blocks by earliest deadline first."""
+    source, number, release, deadline = windows(blocks, weights)
+    order = np.argsort(release, kind="stable")
+    opens, due = release[order].tolist(), deadline[order].tolist()
+    slots, ready, nxt = np.zeros(len(source), np.int64), [], 0
+    for slot in range(len(source)):
+        while nxt < len(opens) and opens[nxt] <= slot:
+            heapq.heappush(ready, (due[nxt], nxt))
+            nxt += 1
+        end, i = heapq.heappop(ready)
+        assert slot < end, "earliest deadline first missed a deadline"
+        slots[order[i]] = slot
+    return source, number, slots
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block: int = 64, slots: int = 1 << 20, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """doc_id, source, source_rank, block, slot, position, target_weight; position orders the mixture.
 
     weights: by source; None: rows to the power ``temper``.  A source without a weight gets the least one.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source")).withColumn("key", F.coalesce(F.col("source"), F.lit("\0")))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source")).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     total = rows.groupBy("key").count().limit(MOST_SOURCES + 1).collect()
     if len(total) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    count = {r["key"]: r["count"] for r in total}
-    given = {("\0" if s is None else s): float(w) for s, w in (weights or {s: n**temper for s, n in count.items()}).items()}
-    given = {s: given.get(s, min(given.values())) for s in count}
+    count = {r["key"]: r["count"] for r in sorted(total)}
+    given = {("n" if s is None else f"s{s}"): float(w) for s, w in weights.items()} if weights else {s: n**temper for s, n in count.items()}
     if any(w <= 0 for w in given.values()):
         raise ValueError("weights must be positive")
-    plan = segments({s: -(-n // block) for s, n in count.items()}, given, quantum)
+    share = np.array([given.get(s, min(given.values())) for s in count])
+    block = max(block, -(-sum(count.values()) // slots))
+    source, number, slot = schedule(np.array([-(-n // block) for n in count.values()], np.int64), share) if count else (np.zeros(0, np.int64),) * 3
+    names, share = np.array(list(count), object), share / max(share.sum(), 1e-300)
+    plan = spark.createDataFrame(pd.DataFrame({"key": names[source], "block": number, "slot": slot, "target_weight": share[source]}), "key string, block long, slot long, target_weight double")
 
     buckets = max(1, -(-max(count.values(), default=0) // BUCKET_ROWS))
     rows = rows.withColumn("mixed", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("mixed", F.lit(buckets)).cast("int"))
@@ -102,9 +92,5 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     starts = sizes.select("key", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("key", "bucket").orderBy("mixed", F.col("doc_id").asc_nulls_last())
     ranked = rows.withColumn("at", F.row_number().over(inside)).join(starts, ["key", "bucket"]).withColumn("source_rank", (F.col("start") + F.col("at") - 1).cast("long"))
-
-    table = spark.createDataFrame(plan, "key string, first long, end long, slot0 long, units int, quantum int, pattern array<int>")
-    n = F.col("block") - F.col("first")
-    slot = F.col("slot0") + F.floor(n / F.col("units")) * F.col("quantum") + F.get("pattern", (n % F.col("units")).cast("int"))
-    out = ranked.withColumn("block", F.floor(F.col("source_rank") / block)).join(F.broadcast(table) if sum(len(p[6]) for p in plan) < 2_000_000 else table, "key")
-    return out.where("block >= first and block < end").select("doc_id", "source", "source_rank", "block", slot.cast("long").alias("slot"), (slot * block + F.col("source_rank") % block).cast("long").alias("position"), (F.col("units") / F.col("quantum")).alias("target_weight"))
+    out = ranked.withColumn("block", F.floor(F.col("source_rank") / block)).join(F.broadcast(plan), ["key", "block"])
+    return out.select("doc_id", "source", "source_rank", "block", "slot", (F.col("slot") * block + F.col("source_rank") % block).alias("position"), "target_weight")

@@ -195,7 +195,7 @@ def test_lm_with_one_hot_context(spark):
 
 
 def test_mixing(spark, odd):
-    got = source_mixing.mix_sources(odd, {"a": 3.0, "b": 1.0}, block=2, quantum=16).collect()
+    got = source_mixing.mix_sources(odd, {"a": 3.0, "b": 1.0}, block=2).collect()
     assert len(got) == len(ODD) and len({r["position"] for r in got}) == len(ODD)
     ranks = Counter((r["source"], r["source_rank"]) for r in got)
     assert max(ranks.values()) == 1 and {s: max(r for t, r in ranks if t == s) + 1 for s in ("a", "b", None)} == Counter(s for _, _, _, s, _ in ODD)

@@ -176,27 +176,39 @@ def test_suffix_automaton_parse_is_greedy():
 
 
 def test_schedule_stays_within_a_block():
-    from terrapane.llm.source_mixing import in_units, period, segments
+    """Against the given weights, in every prefix, also after sources have run out."""
+    from terrapane.llm.source_mixing import schedule
 
     rng = np.random.default_rng(2)
-    for _ in range(20):
-        names = [f"s{i}" for i in range(rng.integers(1, 9))]
-        units = in_units({s: float(rng.uniform(0.01, 5)) for s in names}, 64)
-        slots = period(units)
-        assert sum(units.values()) == 64 and sorted(x for v in slots.values() for x in v) == list(range(64))
-        for s in names:
-            taken = np.zeros(65)
-            taken[slots[s] + 1] = 1
-            assert (np.abs(np.cumsum(taken) - np.arange(65) * units[s] / 64) < 1).all()
-    blocks = {"a": 7, "b": 300, "c": 1, "d": 0}
-    plan = segments(blocks, {"a": 1.0, "b": 2.0, "c": 0.5, "d": 1.0}, 32)
-    used = {}
-    for s, first, end, slot0, u, q, pattern in plan:
-        for j in range(first, end):
-            slot = slot0 + (j - first) // u * q + pattern[(j - first) % u]
-            assert slot not in used
-            used[slot] = s
-    assert sorted(used) == list(range(308))
+    cases = [(np.array([60_000] * 3), np.ones(3)), (np.array([100_000, 40, 3]), np.array([1.0, 0.0001, 0.37])), (np.array([7, 300, 1]), np.array([1.0, 2.0, 0.5]))]
+    cases += [(rng.integers(1, 400, n), rng.uniform(0.001, 5, n)) for n in (1, 2, 5, 9, 30)]
+    for blocks, weights in cases:
+        source, number, slot = schedule(blocks, weights)
+        assert sorted(slot.tolist()) == list(range(int(blocks.sum()))) and np.bincount(source).tolist() == blocks.tolist()
+        ideal, left = np.zeros(len(blocks)), blocks.astype(float)
+        order, taken = source[np.argsort(slot)], np.zeros(len(blocks))
+        for s in order.tolist():
+            taken[s] += 1
+            room = 1.0  # one slot of the fluid mixture, over the sources that are not used up
+            while room > 1e-9 and (live := left > 1e-9).any():
+                share = np.where(live, weights, 0) / weights[live].sum()
+                step = min(room, (left[live] / share[live]).min())
+                left -= step * share
+                ideal += step * share
+                room -= step
+            assert np.abs(taken - ideal).max() < 1 + 1e-4
+        assert all((np.diff(slot[source == s]) > 0).all() for s in range(len(blocks)))
+
+
+def test_many_sources_are_scheduled_fast():
+    import time
+
+    from terrapane.llm.source_mixing import schedule
+
+    rng, began = np.random.default_rng(3), time.process_time()
+    blocks = rng.integers(1, 30, 20_000)
+    schedule(blocks, rng.uniform(0.01, 3, 20_000))
+    assert time.process_time() - began < 30
 
 
 def test_forest_tells_new_findings():
