@@ -79,6 +79,8 @@ def sql(body: str) -> str:
     if not used:
         return body
     head, rest = "with ", body
+    if body.lstrip().startswith("with recursive "):
+        return "with recursive " + ", ".join(used) + ", " + body.lstrip()[15:]
     if body.lstrip().startswith("with "):
         rest = body.lstrip()[5:]
         return head + ", ".join(used) + ", " + rest

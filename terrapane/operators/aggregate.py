@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands
@@ -36,13 +36,27 @@ def ndvi_composite(red: DataFrame, nir: DataFrame, pixel: Sequence[str]) -> Data
     return index.groupBy(*pixel, F.col("ts").cast("date").alias("obs_date")).agg(F.max("ndvi").alias("ndvi"), F.count("*").alias("n_times"))
 
 
-def reliability(rows: DataFrame, key: Sequence[str], index: str, band: str) -> DataFrame:
-    """key, ndvi_p75, ndvi_std, flagged: the share of values further than 3 median deviations from the band's median."""
-    over = Window.partitionBy(*key)
-    mid = rows.withColumn("mid", F.median(band).over(over)).withColumn("off", F.abs(F.col(band) - F.col("mid")))
-    spread = mid.withColumn("mad", F.median("off").over(over))
-    odd = (F.col("off") / (F.col("mad") + 1e-6) > 3).cast("int")
-    return spread.groupBy(*key).agg(F.percentile(index, F.lit(0.75)).alias("ndvi_p75"), F.stddev_pop(index).alias("ndvi_std"), F.avg(odd).alias("flagged"))
+def _quantile(ordered: Column, q: float) -> Column:
+    """The linearly interpolated quantile of a sorted array without nulls."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    first = F.get(ordered, low)
+    return first + (F.get(ordered, F.least(low + 1, F.size(ordered) - 1)) - first) * (at - low)
+
+
+def reliability(rows: DataFrame, key: Sequence[str], index: str, band: str, slots: int = 5) -> DataFrame:
+    """key, ndvi_p75, ndvi_std, flagged: the share of slots further than 3 median deviations from the band's median.
+
+    Each key has ``slots`` slots at least; those without an observation, and nulls, count as zeros in all three.  One shuffle, then arrays.
+    """
+    lists = rows.groupBy(*key).agg(*(F.collect_list(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(n) for c, n in ((index, "index_"), (band, "band_"))))
+    pad = lambda c: F.array_sort(F.concat(c, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), slots - F.size(c)))))
+    full = lists.withColumn("index_", pad(F.col("index_"))).withColumn("band_", pad(F.col("band_"))).withColumn("mid", _quantile(F.col("band_"), 0.5))
+    off = full.withColumn("off", F.array_sort(F.transform("band_", lambda x: F.abs(x - F.col("mid")))))
+    odd = F.size(F.filter("off", lambda x: x / (F.col("mad") + 1e-6) > 3)) / F.size("off")
+    mean = F.aggregate("index_", F.lit(0.0), lambda t, x: t + x) / F.size("index_")
+    square = F.aggregate("index_", F.lit(0.0), lambda t, x: t + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("index_")
+    return off.withColumn("mad", _quantile(F.col("off"), 0.5)).withColumn("mean", mean).select(*key, _quantile(F.col("index_"), 0.75).alias("ndvi_p75"), F.sqrt(square).alias("ndvi_std"), odd.alias("flagged"))
 
 
 def month_noise(rows: DataFrame, most: float = 0.1) -> DataFrame:

@@ -57,14 +57,15 @@ def land_share(points: DataFrame, boxes: DataFrame, percent: float) -> DataFrame
 
 
 def extract_windows(pixels: DataFrame, centres: DataFrame, tile: Sequence[str], half: int, size: int, most_null: float = 0.1, value: str = "v") -> DataFrame:
-    """Square windows of tiles: centres (tile columns, cell_id, row, col) joined with pixels (tile columns, r, c, value).
+    """Square windows of tiles: centres (tile columns, cell_id, row, col) joined with pixels (tile columns, r, c, value) by tile and place.
 
     Windows that leave the size x size tile are rejected, and those with a larger share of nulls than most_null.
     Result: cell_id, pr, pc (in the window), value.
     """
     fits = (F.col("row") >= half) & (F.col("col") >= half) & (F.col("row") + half <= size) & (F.col("col") + half <= size)
-    near = F.col("r").between(F.col("row") - half, F.col("row") + half - 1) & F.col("c").between(F.col("col") - half, F.col("col") + half - 1)
-    rows = pixels.join(centres.where(fits), list(tile)).where(near).select("cell_id", (F.col("r") - F.col("row") + half).alias("pr"), (F.col("c") - F.col("col") + half).alias("pc"), value)
+    wanted = centres.where(fits).select("cell_id", *tile, "row", "col", F.explode(F.sequence(F.lit(0), F.lit(2 * half - 1))).alias("pr")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2 * half - 1))).alias("pc"))
+    wanted = wanted.withColumn("r", F.col("row") - half + F.col("pr")).withColumn("c", F.col("col") - half + F.col("pc"))
+    rows = pixels.join(wanted, [*tile, "r", "c"]).select("cell_id", "pr", "pc", value)
     good = rows.groupBy("cell_id").agg(F.avg(F.col(value).isNull().cast("int")).alias("null_share")).where(F.col("null_share") <= most_null)
     return rows.join(good.select("cell_id"), "cell_id", "left_semi")
 

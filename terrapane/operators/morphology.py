@@ -10,24 +10,26 @@ from pyspark.sql import functions as F
 from ..functions import bands
 
 
-def _square(reach: int) -> list:
-    return [F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
-
-
-def _spread(true: DataFrame, key: Sequence[str], size: int, reach: int) -> DataFrame:
-    """(key, r, c) of every pixel in the square around each true pixel, inside the raster."""
-    near = true.select(*key, "r", "c", F.explode(F.array(*_square(reach))).alias("step_")).select(*key, (F.col("r") + F.col("step_.dr")).alias("r"), (F.col("c") + F.col("step_.dc")).alias("c"))
-    return near.where(f"r between 0 and {size - 1} and c between 0 and {size - 1}")
+def _spread(rows: DataFrame, key: Sequence[str], size: int, reach: int, axis: str) -> DataFrame:
+    """(key, r, c) of the pixels within reach along an axis, inside the raster."""
+    steps = F.explode(F.sequence(F.greatest(F.lit(0), F.col(axis) - reach), F.least(F.lit(size - 1), F.col(axis) + reach))).alias(axis)
+    return rows.select(*key, *[c for c in ("r", "c") if c != axis], steps)
 
 
 def dilated(true: DataFrame, key: Sequence[str], size: int, reach: int = 2) -> DataFrame:
-    """The true pixels after dilation by a square of 2 * reach + 1."""
-    return _spread(true, key, size, reach).distinct()
+    """The true pixels after dilation by a square of 2 * reach + 1: along columns, then along rows.  Dealt by key once; nothing else is shuffled."""
+    rows = true.select(*key, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).repartition(*key)
+    for axis in ("c", "r"):
+        rows = _spread(rows, key, size, reach, axis).distinct()
+    return rows.select(*key, "r", "c")
 
 
 def eroded(true: DataFrame, key: Sequence[str], size: int, reach: int = 2) -> DataFrame:
     """The pixels whose whole square is true; outside the raster counts as false."""
-    return _spread(true, key, size, reach).groupBy(*key, "r", "c").count().where(F.col("count") == (2 * reach + 1) ** 2).select(*key, "r", "c")
+    rows = true.select(*key, "r", "c")
+    for axis in ("c", "r"):
+        rows = _spread(rows, key, size, reach, axis).groupBy(*key, "r", "c").count().where(F.col("count") == 2 * reach + 1).select(*key, "r", "c")
+    return rows
 
 
 def closed(true: DataFrame, key: Sequence[str], size: int, reach: int = 2) -> DataFrame:

@@ -13,62 +13,69 @@ from pyspark.sql import functions as F
 
 DETECTOR_GRID = tuple(round(1.0 + 0.2 * i, 1) for i in range(20))
 GENERIC_GRID = tuple(round(-1.0 + 0.5 * i, 1) for i in range(13))
-BUCKET_SERIES = 256
+BUCKET_SERIES = 64
 
 
 def solve(y: np.ndarray, w: np.ndarray, lam: np.ndarray) -> np.ndarray:
-    """z of (W + lambda D'D) z = W y along the last axis; y, w and lam broadcast over the others.  Series need three steps."""
-    y, w = np.broadcast_arrays(y, w)
-    n = y.shape[-1]
-    lam = np.broadcast_to(lam, y.shape[:-1])
+    """z of (W + lambda D'D) z = W y along the first axis; y, w and lam broadcast over the others.  Series need three steps; those without weight give zeros."""
+    shape = np.broadcast_shapes(y.shape, w.shape)
+    y, w, n = np.broadcast_to(y, shape), np.broadcast_to(w, shape), shape[0]
     main, one = np.full(n, 6.0), np.full(n - 1, -4.0)
     main[[0, -1]], one[[0, -1]] = 1.0, -2.0
     if n > 3:
         main[[1, -2]] = 5.0
     else:
         main[1] = 4.0
-    d, e, f, z = (np.zeros(y.shape) for _ in range(4))
+    d, e, f, z = (np.empty(shape) for _ in range(4))
+    idle = 1e-12 + 1.0 - w.any(axis=0)  # keeps the system of a series without weight regular
     for i in range(n):
-        a, b = w[..., i] + lam * main[i] + 1e-12, lam * one[i] if i < n - 1 else 0.0
-        rhs = w[..., i] * y[..., i]
+        a, b = w[i] + lam * main[i] + idle, lam * one[i] if i < n - 1 else 0.0
+        rhs = w[i] * y[i]
         if i:
-            a = a - d[..., i - 1] * e[..., i - 1] ** 2
-            b = b - d[..., i - 1] * e[..., i - 1] * f[..., i - 1]
-            rhs = rhs - e[..., i - 1] * z[..., i - 1]
+            a -= d[i - 1] * e[i - 1] ** 2
+            b = b - d[i - 1] * e[i - 1] * f[i - 1]
+            rhs -= e[i - 1] * z[i - 1]
         if i > 1:
-            a = a - d[..., i - 2] * f[..., i - 2] ** 2
-            rhs = rhs - f[..., i - 2] * z[..., i - 2]
-        d[..., i], e[..., i], f[..., i], z[..., i] = a, b / a, (lam / a if i < n - 2 else 0.0), rhs
-    z = z / d
+            a -= d[i - 2] * f[i - 2] ** 2
+            rhs -= f[i - 2] * z[i - 2]
+        d[i], e[i], z[i] = a, b / a, rhs
+        f[i] = lam / a if i < n - 2 else 0.0
+    z /= d
     for i in range(n - 2, -1, -1):
-        z[..., i] -= e[..., i] * z[..., i + 1]
+        z[i] -= e[i] * z[i + 1]
         if i < n - 2:
-            z[..., i] -= f[..., i] * z[..., i + 2]
+            z[i] -= f[i] * z[i + 2]
     return z
 
 
 def smooth(y: np.ndarray, w: np.ndarray, grid: tuple[float, ...] = DETECTOR_GRID, p: float | None = 0.99, rounds: int = 10) -> np.ndarray:
-    """(series, steps): the smoothed series at the best penalty of the grid (log10); series without weight are nan."""
-    y = np.where(np.isfinite(y) & (w > 0), y, 0.0)
+    """(series, steps): the smoothed series at the best penalty of the grid (log10); series without weight are nan.
+
+    Inside, arrays are (steps, penalties, series), so each step of the recurrences is a contiguous block; series that have converged leave the later rounds.
+    """
+    y = np.where(np.isfinite(y) & (w > 0), y, 0.0).T[:, None, :]
+    base = np.ascontiguousarray(w.T, float)[:, None, :]
     lam = 10.0 ** np.array(grid)[:, None]
-    wide_y, wide_w = y[None], np.broadcast_to(w, (len(grid), *w.shape))
-    z = solve(wide_y, wide_w, lam)
+    weight = np.repeat(base, len(grid), axis=1)
+    z = solve(y, weight, lam)
+    live = np.arange(y.shape[2])
     for _ in range(rounds if p is not None else 0):
-        sided = np.where(wide_y > z, p, 1 - p) * w
-        new = solve(wide_y, sided, lam)
-        done = np.abs(new - z).max(initial=0.0) < 1e-8
-        z, wide_w = new, sided
-        if done:
+        sided = np.where(y[:, :, live] > z[:, :, live], p, 1 - p) * base[:, :, live]
+        new = solve(y[:, :, live], sided, lam)
+        moved = np.abs(new - z[:, :, live]).max(axis=(0, 1), initial=0.0) >= 1e-8
+        z[:, :, live], weight[:, :, live] = new, sided
+        live = live[moved]
+        if not len(live):
             break
-    tiny = 1e-30
-    fit, rough = np.log(np.maximum((wide_w * (wide_y - z) ** 2).sum(axis=-1), tiny)), np.log(np.maximum((np.diff(z, 2, axis=-1) ** 2).sum(axis=-1), tiny))
     if len(grid) > 1:
+        tiny = 1e-30
+        fit, rough = np.log(np.maximum((weight * (y - z) ** 2).sum(axis=0), tiny)), np.log(np.maximum((np.diff(z, 2, axis=0) ** 2).sum(axis=0), tiny))
         best = np.sqrt(np.diff(fit, axis=0) ** 2 + np.diff(rough, axis=0) ** 2).argmin(axis=0)
         middle = 10.0 ** ((np.array(grid)[best] + np.array(grid)[best + 1]) / 2)
-        z = solve(y, np.take_along_axis(wide_w, best[None, :, None], axis=0)[0], middle)
+        z = solve(y[:, 0], np.take_along_axis(weight, best[None, None, :], axis=1)[:, 0], middle)
     else:
-        z = z[0]
-    return np.where((w > 0).any(axis=-1)[:, None], np.clip(z, -1.0, 1.0), np.nan)
+        z = z[:, 0]
+    return np.where((w > 0).any(axis=-1)[:, None], np.clip(z.T, -1.0, 1.0), np.nan)
 
 
 def whittaker(rows: DataFrame, series: int, grid: tuple[float, ...] = DETECTOR_GRID, p: float | None = 0.99) -> DataFrame:

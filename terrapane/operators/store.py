@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: A partition of the store is written by so many tasks, so a global day of a variable is not one task and one file.
+SLICES = 8
+
+
 def upsert(current: DataFrame, update: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of update replace rows of current with the same key; both have unique keys."""
     return current.join(update.select(*key), list(key), "left_anti").select(current.columns).unionByName(update.select(current.columns))
@@ -23,13 +28,54 @@ def keep_latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
 
 def write_patches(patches: DataFrame, path: str, by: Sequence[str] = ("variable", "obs_date")) -> None:
     """Overwrites only the partitions that patches touches, so a batch can run again."""
-    patches.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
-
-
-def complete_dates(patches: DataFrame, variables: Sequence[str], day: str = "obs_date", variable: str = "variable") -> DataFrame:
-    """The days that have every one of the variables."""
-    found = patches.where(F.col(variable).isin(*variables)).groupBy(day).agg(F.count_distinct(variable).alias("n"))
-    return found.where(F.col("n") == len(set(variables))).select(day)
+    rest = [c for c in patches.columns if c not in by]
+    patches.repartition(*by, F.pmod(F.xxhash64(*rest), F.lit(SLICES))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
+
+
+def complete_dates(patches: DataFrame, variables: Sequence[str], key: Sequence[str] = ("obs_date",), variable: str = "variable") -> DataFrame:
+    """The keys (days, or days of a cell) that have every one of the variables."""
+    found = patches.where(F.col(variable).isin(*variables)).groupBy(*key).agg(F.count_distinct(variable).alias("n"))
+    return found.where(F.col("n") == len(set(variables))).select(*key)
+
+
+def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The entries of an index of processed days; empty where there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def merge_index(entries: DataFrame, path: str) -> None:
+    """Adds the entries that the index lacks; a run that is repeated adds nothing."""
+    new = entries.distinct()
+    have = read_index(entries.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema))
+    new.join(have, new.columns, "left_anti").write.mode("append").parquet(path)
+
+
+def write_dense(rows: DataFrame, path: str, time: str, key: Sequence[str], mode: str = "append") -> None:
+    """A dense store (time, key, one column for each variable), partitioned by time.
+
+    overwrite: a new store.  append: days that are not there yet are added, those that are there stay.  variables: rows bring
+    further variables for days and keys of the store; cells that they lack are null, and the days they touch are written anew.
+    """
+    spark = rows.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    there = read_index(spark, path, schema) if mode == "append" else None
+    if mode == "append":
+        rows = rows.join(there.select(time).distinct(), time, "left_anti").select(rows.columns)
+    if mode == "variables":
+        old = spark.read.parquet(path)
+        touched = rows.select(time).distinct()
+        rows = old.drop(*[c for c in rows.columns if c not in (time, *key)]).join(touched, time, "left_semi").join(rows, [time, *key], "full")
+    how = "overwrite" if mode == "overwrite" else "append"
+    out = rows.repartition(time, F.pmod(F.xxhash64(*key), F.lit(SLICES))).write.option("compression", "zstd").partitionBy(time)
+    if mode == "variables":
+        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        out.mode(how).parquet(path)
 
 
 def calendar(spark: SparkSession, start: date, end: date, day: str = "obs_date") -> DataFrame:

@@ -66,7 +66,7 @@ def sequences(rows: DataFrame, n: int, value: str) -> DataFrame:
 
 
 def detected(rows: DataFrame, k: Column | float = 2.0, floor: float = 0.02, drop: float = 0.10, most: float = 0.1, least_clear: int = 3) -> DataFrame:
-    """Cloud by residuals y - z: adds month, sigma, uncertain, cloud.  weight > 0 marks clear steps.
+    """Cloud by residuals y - z: adds month, sigma, uncertain, cloud.  weight > 0.5 marks clear steps.
 
     A step is cloud below -k sigma of its month (and beyond floor), or below -drop.  Months with fewer than least_clear
     clear steps are uncertain and have no cloud; so is a pixel without any weight.
@@ -75,7 +75,7 @@ def detected(rows: DataFrame, k: Column | float = 2.0, floor: float = 0.02, drop
     rows = rows.withColumn("month", thirty_day_month(F.col("doy"))).withColumn("residual", F.col("y") - F.col("z"))
     use = F.when((F.col("residual") > 0) & (F.col("residual") <= most), F.col("residual"))
     sigma = F.when(F.count(use).over(month) > 1, F.stddev_pop(use).over(month)).otherwise(0.001) * 1.2533141373155001
-    uncertain = (F.sum((F.col("weight") > 0).cast("int")).over(month) < least_clear) | (F.sum("weight").over(whole()) == 0)
+    uncertain = (F.sum((F.col("weight") > 0.5).cast("int")).over(month) < least_clear) | (F.sum("weight").over(whole()) == 0)
     r = F.col("residual")
     k = k if isinstance(k, Column) else F.lit(float(k))
     low = ((r < -k * F.col("sigma")) & (F.abs(r) >= floor)) | (r < -drop)

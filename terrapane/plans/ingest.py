@@ -12,17 +12,14 @@ from ..operators import store
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """obs_date of the days that are done; empty where there is no log yet."""
-    try:
-        return spark.read.schema("obs_date date").parquet(path).distinct()
-    except Exception as e:  # noqa: BLE001 - no log yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], "obs_date date")
+    return store.read_index(spark, path, "obs_date date")
 
 
 def ingest(observations: DataFrame, start: date, end: date, store_path: str, log_path: str, days: int = 7, variable: str = "variable") -> int:
     """Stores the days of observations (variable, obs_date, ...) that the log lacks, in batches of so many days; returns the number of batches.
 
+    Only days that had rows are logged, so days whose data arrive later are ingested by a later run.
+
     The loop is over date ranges (metadata); each batch is one distributed job.  A batch that fails is not in the log and runs again.
     """
     spark = observations.sparkSession
@@ -33,5 +30,5 @@ def ingest(observations: DataFrame, start: date, end: date, store_path: str, log
     for b in batches:
         mine = observations.where(F.col("obs_date").between(b["batch_start"], b["batch_end"]))
         store.write_patches(mine, store_path, (variable, "obs_date"))
-        store.calendar(spark, b["batch_start"], b["batch_end"]).write.mode("append").parquet(log_path)
+        store.merge_index(mine.select("obs_date"), log_path)
     return len(batches)

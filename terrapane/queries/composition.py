@@ -67,12 +67,12 @@ def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "t08_sync_sample",
-    "select grid_id, obs_date, len(composite) as n, round(list_sum(composite),5) as composite_sum, round(composite[1],6) as first, round(patch[64],6) as last from (select vec_id % 100 as grid_id, cast(date '2024-01-01' + cast(vec_id % 3 as int) as date) as obs_date, first(embedding order by vec_id)::double[] as patch, list(m order by p) as composite from (select vec_id, embedding, p, max(v) over (partition by vec_id % 100, vec_id % 3, p) as m from (select vec_id, embedding, unnest(range(64)) p, cast(unnest(embedding) as double) v from embeddings)) where vec_id < 300 group by 1,2)",
+    "select grid_id, obs_date, len(composite) as n, round(list_sum(composite),5) as composite_sum, round(composite[1],6) as first, round(patch[64],6) as last from (select vec_id % 100 as grid_id, cast(date '2024-01-01' + cast(vec_id % 3 as int) as date) as obs_date, first(embedding order by vec_id)::double[] as patch, list(m order by p) as composite from (select vec_id, embedding, p, max(v) over (partition by vec_id % 100, vec_id % 3, p) as m from (select vec_id, embedding, unnest(range(64)) p, cast(unnest(embedding) as double) v from embeddings) qualify vec_id = min(vec_id) over (partition by vec_id % 100, vec_id % 3)) group by 1,2)",
 )
 def t08(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.patch(spark, sf_dir).withColumn("grid_id", C("patch_id") % 100).withColumn("obs_date", F.date_add(F.lit("2024-01-01").cast("date"), (C("patch_id") % 3).cast("int")))
     composites = rows.groupBy("grid_id", "obs_date", "r", "c").agg(F.max("v").alias("v"))
-    patches = rows.where("patch_id < 300").select("grid_id", "obs_date", "r", "c", "v")
+    patches = rows.groupBy("grid_id", "obs_date", "r", "c").agg(F.min_by("v", "patch_id").alias("v"))
     samples = training.synchronous_samples(patches.select("grid_id", "obs_date").distinct(), composites, patches)
     total = F.aggregate("composite", F.lit(0.0), lambda a, v: a + v)
     return samples.select("grid_id", "obs_date", F.size("composite").cast("long").alias("n"), F.round(total, 5).alias("composite_sum"), r6(C("composite")[0]).alias("first"), r6(C("patch")[63]).alias("last"))

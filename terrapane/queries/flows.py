@@ -19,8 +19,8 @@ def st01(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fixtures.table(spark, sf_dir, "events").schema
     stream = daily.file_stream(spark, sf_dir, "events.parquet", schema)
     out = work_path(spark, "daily")
-    daily.run_available(daily.daily_composites(stream, ["user_id"], "value"), daily.replace_days(out, ["obs_date"]), work_path(spark, "daily-checkpoint"))
-    return spark.read.parquet(out).select("user_id", "obs_date", r6(F.col("value")).alias("value"), "n")
+    daily.run_available(daily.daily_composites(stream, ["user_id"], "value"), daily.keep_updates(out), work_path(spark, "daily-checkpoint"))
+    return daily.current(spark, out, ["user_id", "obs_date"]).select("user_id", "obs_date", r6(F.col("value")).alias("value"), "n")
 
 
 @query("k18_batch_ingest", "select variable, obs_date, count(*) as n, round(sum(nir),6) as nir from f_obs where obs_date between date '2024-01-03' and date '2024-01-20' group by 1,2")

@@ -176,8 +176,12 @@ def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k05_processed_index", "select distinct pixel_id, obs_date from f_obs where obs_id % 2 = 0 or obs_id % 5 = 0")
 def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = lambda m: obs(spark, sf_dir).where(C("obs_id") % m == 0).select("pixel_id", "obs_date")
-    return log(2).unionByName(log(5)).distinct()
+    from ..workdir import work_path
+
+    path = work_path(spark, "index")
+    for m in (2, 5):  # two runs whose days overlap
+        store.merge_index(obs(spark, sf_dir).where(C("obs_id") % m == 0).select("pixel_id", "obs_date"), path)
+    return store.read_index(spark, path, "pixel_id long, obs_date date")
 
 
 @query("k06_processed_dates", "select variable, obs_date from f_obs where nir is not null group by 1,2 having count(*) > 0")
@@ -185,9 +189,9 @@ def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs(spark, sf_dir).groupBy("variable", "obs_date").agg(F.count("nir").alias("n")).where("n > 0").select("variable", "obs_date")
 
 
-@query("k07_all_variables", "select obs_date from f_obs where pixel_id <= 20 and variable in ('click','view','purchase') group by 1 having count(distinct variable) = 3")
+@query("k07_all_variables", "select pixel_id, obs_date from f_obs where variable in ('click','view','purchase') group by 1, 2 having count(distinct variable) = 3")
 def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.complete_dates(obs(spark, sf_dir).where("pixel_id <= 20"), ["click", "view", "purchase"])
+    return store.complete_dates(obs(spark, sf_dir), ["click", "view", "purchase"], ["pixel_id", "obs_date"])
 
 
 @query("k08_remaining_files", f"select obs_id, h, v from {_CATALOG} where obs_id % 4 <> 0")
@@ -270,7 +274,7 @@ def a04b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.groupBy("pixel_id", F.trunc("obs_date", "MM").alias("month")).agg(r6(F.avg("ndvi")).alias("ndvi"), F.count("*").alias("n_days"))
 
 
-@query("a05_reliability", "with a as (select *, (nir-red)/nullif(nir+red,0) as ndvi, median(red) over (partition by pixel_id, obs_date) as mid from f_obs), b as (select *, abs(red-mid) as off from a), c as (select *, median(off) over (partition by pixel_id, obs_date) as mad from b) select pixel_id, obs_date, round(quantile_cont(ndvi, 0.75),6) as ndvi_p75, round(stddev_pop(ndvi),6) as ndvi_std, round(avg(case when off/(mad + 1e-6) > 3 then 1.0 else 0.0 end),6) as flagged from c group by 1,2")
+@query("a05_reliability", "with g as (select pixel_id, obs_date, list(coalesce(red, 0.0)) as reds, list(coalesce((nir-red)/nullif(nir+red,0), 0.0)) as indexes from f_obs group by 1,2), e as (select pixel_id, obs_date, unnest(list_concat(reds, list_transform(range(greatest(0, 5 - len(reds))), lambda x: 0.0::double))) as red, unnest(list_concat(indexes, list_transform(range(greatest(0, 5 - len(reds))), lambda x: 0.0::double))) as ndvi from g), a as (select *, median(red) over (partition by pixel_id, obs_date) as mid from e), b as (select *, abs(red-mid) as off from a), c as (select *, median(off) over (partition by pixel_id, obs_date) as mad from b) select pixel_id, obs_date, round(quantile_cont(ndvi, 0.75),6) as ndvi_p75, round(stddev_pop(ndvi),6) as ndvi_std, round(avg(case when off/(mad + 1e-6) > 3 then 1.0 else 0.0 end),6) as flagged from c group by 1,2")
 def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = obs(spark, sf_dir).withColumn("ndvi", bands.ndvi(red=C("red"), nir=C("nir")))
     out = aggregate.reliability(rows, ["pixel_id", "obs_date"], "ndvi", "red")

@@ -26,17 +26,22 @@ def daily_composites(stream: DataFrame, key: Sequence[str], value: str, late: st
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(*key, day).agg(F.max(value).alias(value), F.count("*").alias("n")).select(*key, F.col("day.start").cast("date").alias("obs_date"), value, "n")
 
 
-def replace_days(path: str, by: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that overwrites only the partitions of the batch, so a batch that runs again changes nothing."""
+def keep_updates(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of the keys that a batch changed, one partition a batch, so a batch that runs again changes nothing."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        store.write_patches(batch, path, by)
+    def write(batch: DataFrame, n: int) -> None:
+        store.write_patches(batch.withColumn("batch_id", F.lit(n)), path, ("batch_id",))
 
     return write
 
 
-def run_available(result: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Processes what is there now and stops; the checkpoint remembers what has been done."""
+def current(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
+    """The last state of each key in the updates."""
+    return store.keep_latest(spark.read.parquet(path), key, ["batch_id"]).drop("batch_id")
+
+
+def run_available(result: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Processes what is there now and stops; the checkpoint remembers what has been done.  In update mode, state older than the watermark is dropped."""
     query = result.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

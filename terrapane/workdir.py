@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, or below a temporary folder where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrapane-")
+    """A fresh path below spark.checkpoint.dir, or below a temporary folder where that is unset in local mode (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="terrapane-")
     return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrapane.operators import grid, morphology, resample, smooth, store, temporal
+from terrapane.plans.ingest import ingest
 
 C = F.col
 
@@ -152,7 +153,7 @@ def test_smoother_solves_the_system(n):
     y, w = rng.normal(size=(6, n)), rng.integers(0, 2, (6, n)).astype(float)
     w[:, [0, -1]] = 1
     for lam in (0.1, 10.0, 1e4):
-        got = smooth.solve(y, w, np.full(6, lam))
+        got = smooth.solve(y.T, w.T, np.full(6, lam)).T
         assert np.allclose(got, [dense(a, b, lam) for a, b in zip(y, w, strict=True)], atol=1e-5)
 
 
@@ -174,11 +175,47 @@ def test_asymmetric_envelope_lies_above_dips():
 
 
 def test_ingest_resumes(spark, tmp_path):
-    from terrapane.plans.ingest import ingest
-
     rows = spark.createDataFrame([("a", dt.date(2024, 1, d), d) for d in range(1, 11)], "variable string, obs_date date, v int")
     where = str(tmp_path / "store"), str(tmp_path / "log")
     assert ingest(rows, dt.date(2024, 1, 1), dt.date(2024, 1, 5), *where, days=3) == 2
     assert ingest(rows, dt.date(2024, 1, 1), dt.date(2024, 1, 10), *where, days=3) == 2
     assert ingest(rows, dt.date(2024, 1, 1), dt.date(2024, 1, 10), *where, days=3) == 0
     assert sorted(r["v"] for r in spark.read.parquet(where[0]).collect()) == list(range(1, 11))
+
+
+def test_days_whose_data_arrive_late_are_ingested(spark, tmp_path):
+    where = str(tmp_path / "store"), str(tmp_path / "log")
+    day = lambda n: dt.date(2024, 1, n)
+    first = spark.createDataFrame([("a", day(1), 1.0), ("a", day(4), 2.0)], "variable string, obs_date date, v double")
+    late = first.unionByName(spark.createDataFrame([("a", day(2), 3.0)], first.schema))
+    ingest(first, day(1), day(5), *where, days=7)
+    ingest(late, day(1), day(5), *where, days=7)
+    assert sorted(r["obs_date"].day for r in spark.read.parquet(where[0]).collect()) == [1, 2, 4]
+    assert sorted(r["obs_date"].day for r in spark.read.parquet(where[1]).collect()) == [1, 2, 4]
+
+
+def test_clear_steps_have_more_than_half_a_weight(spark):
+    rows = [(1, float(d), 20, 0.5, 0.5, 0.3 if d < 2 else 0.6) for d in range(4)]
+    df = spark.createDataFrame(rows, "pixel_id int, day_no double, doy int, y double, z double, weight double")
+    assert {r["uncertain"] for r in temporal.detected(df).collect()} == {True}  # two clear steps of four
+
+
+def test_five_slots_are_padded_with_zeros(spark):
+    from terrapane.operators import aggregate
+
+    df = spark.createDataFrame([(1, 0.5, 0.4), (1, 0.7, 0.4), (1, None, 0.4)], "k int, ndvi double, red double")
+    got = aggregate.reliability(df, ["k"], "ndvi", "red").first()
+    index, band = np.array([0.5, 0.7, 0, 0, 0]), np.array([0.4, 0.4, 0.4, 0, 0])
+    off = np.abs(band - np.median(band))
+    assert got["ndvi_p75"] == pytest.approx(np.percentile(index, 75)) and got["ndvi_std"] == pytest.approx(index.std())
+    assert got["flagged"] == pytest.approx((off / (np.median(off) + 1e-6) > 3).mean())
+
+
+def test_dense_store_modes(spark, tmp_path):
+    path, schema = str(tmp_path / "dense"), "time date, y int, x int, ndvi double"
+    day = lambda n: dt.date(2024, 1, n)
+    store.write_dense(spark.createDataFrame([(day(1), 0, 0, 0.1), (day(1), 0, 1, 0.2)], schema), path, "time", ["y", "x"], "overwrite")
+    store.write_dense(spark.createDataFrame([(day(1), 0, 0, 9.0), (day(2), 0, 0, 0.3)], schema), path, "time", ["y", "x"])
+    store.write_dense(spark.createDataFrame([(day(2), 0, 0, 0.7)], "time date, y int, x int, evi double"), path, "time", ["y", "x"], "variables")
+    got = sorted((r["time"].day, r["x"], r["ndvi"], r["evi"]) for r in spark.read.option("mergeSchema", "true").parquet(path).collect())
+    assert got == [(1, 0, 0.1, None), (1, 1, 0.2, None), (2, 0, 0.3, 0.7)]
