@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import math
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .graph import components
-from .words import Words, mix, slices
+from .words import Words, mix, pack, slices, unpack
 
 RATIO = 1.6
 SMALL = 6
@@ -47,7 +46,7 @@ MARK = 255  # the slack of a row that only says that its key is frequent
 SHARD_KEYS = 1_000_000
 BROADCAST_CLASSES = 500_000
 FLUSH = 2_000_000
-DEFLATED_BYTES = 1 << 19
+PACKED_BYTES = 1 << 19
 _BITS = np.uint64((1 << 20) - 1)
 _32, _BAND, _CHECK = np.uint64(32), np.uint64(63), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -297,7 +296,7 @@ def _paired(percent: int, trial: int | None):
 
 
 def class_texts(rows: DataFrame, k: int, wanted: DataFrame, renamed: dict[tuple[int, int], int]) -> DataFrame:
-    """class, body (deflated text of one member) of the wanted classes; a task sends each class once."""
+    """class, body (packed text of one member) of the wanted classes; a task sends each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -307,7 +306,7 @@ def class_texts(rows: DataFrame, k: int, wanted: DataFrame, renamed: dict[tuple[
                 _, first = np.unique(ids, return_index=True)
                 first = np.array([i for i in first[~np.isin(ids[first], seen)] if len(sets[i])], np.int64)
                 seen = np.union1d(seen, ids[first])[-FLUSH:]
-                body = [zlib.compress(part.column(1)[int(i)].as_py().encode("utf-8", "replace"), 1) for i in first]
+                body = [pack(part.column(1)[int(i)].as_py().encode("utf-8", "replace")) for i in first]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first], pa.int64()), pa.array(body, pa.binary())], names=["class", "body"])
 
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
@@ -319,8 +318,8 @@ def verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "body_a", DEFLATED_BYTES):
-                one, two = (Words(pa.array([zlib.decompress(b.as_py()) for b in part.column(c)], pa.binary())).shingle_sets(k) for c in (2, 3))
+            for part in slices(batch, "body_a", PACKED_BYTES):
+                one, two = (Words(pa.array([unpack(b.as_py()) for b in part.column(c)], pa.binary())).shingle_sets(k) for c in (2, 3))
                 both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two, strict=True)], np.int64)
                 total = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], np.int64) - both
                 yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * total))

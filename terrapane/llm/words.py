@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 SLICE_BYTES = 3 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -43,6 +44,14 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - (off[0] if len(off) else 0)
 
 
+def pack(body: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=5).compress(body)
+
+
+def unpack(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     """The batch in row ranges whose texts have about ``most`` bytes (one row at least)."""
     if not batch.num_rows:
