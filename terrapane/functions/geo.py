@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,42 @@ def azimuthal_inverse(x: Column, y: Column, lat0: Column, lon0: Column) -> tuple
     return F.degrees(lat), F.degrees(lon)
 
 
+def azimuthal(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
+    """(x, y) of a point in the spherical azimuthal equidistant projection around (lat0, lon0)."""
+    phi, phi0, d = F.radians(lat), F.radians(lat0), F.radians(lon - lon0)
+    c = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(phi0) * F.sin(phi) + F.cos(phi0) * F.cos(phi) * F.cos(d))))
+    k = RADIUS * F.coalesce(c / F.nullif(F.sin(c), F.lit(0.0)), F.lit(1.0))
+    return k * F.cos(phi) * F.sin(d), k * (F.cos(phi0) * F.sin(phi) - F.sin(phi0) * F.cos(phi) * F.cos(d))
+
+
+def sinusoidal_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """(lat, lon) of a point of the sinusoidal land grid."""
+    phi = y / RADIUS
+    return F.degrees(phi), F.degrees(x / (RADIUS * F.cos(phi)))
+
+
+# The WGS84 ellipsoid, and the standard parallel of the global cylindrical equal-area grid (EPSG:6933).
+AXIS, ECC2, PARALLEL = 6378137.0, 0.0066943799901413165, 30.0
+_ECC = math.sqrt(ECC2)
+CEA_SCALE = math.cos(math.radians(PARALLEL)) / math.sqrt(1 - ECC2 * math.sin(math.radians(PARALLEL)) ** 2)
+CEA_POLE = 1 - (1 - ECC2) / (2 * _ECC) * math.log((1 - _ECC) / (1 + _ECC))
+#: The series from authalic to geographic latitude (Snyder 1987, 3-18).
+CEA_SERIES = (ECC2 / 3 + 31 * ECC2**2 / 180 + 517 * ECC2**3 / 5040, 23 * ECC2**2 / 360 + 251 * ECC2**3 / 3780, 761 * ECC2**3 / 45360)
+
+
+def equal_area(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """(x, y) in the cylindrical equal-area projection of the ellipsoid (Snyder 1987, 10-13 to 10-15)."""
+    s = F.sin(F.radians(lat))
+    q = (1 - ECC2) * (s / (1 - ECC2 * s * s) - F.log((1 - _ECC * s) / (1 + _ECC * s)) / (2 * _ECC))
+    return AXIS * CEA_SCALE * F.radians(lon), AXIS * q / (2 * CEA_SCALE)
+
+
+def equal_area_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * y * CEA_SCALE / (AXIS * CEA_POLE))))
+    lat = beta + CEA_SERIES[0] * F.sin(2 * beta) + CEA_SERIES[1] * F.sin(4 * beta) + CEA_SERIES[2] * F.sin(6 * beta)
+    return F.degrees(lat), F.degrees(x / (AXIS * CEA_SCALE))
+
+
 def utm_epsg(lat: Column, lon: Column) -> Column:
     zone = ((lon + 180) / 6).cast("int") + 1
     return F.when(lat >= 0, 32600 + zone).otherwise(32700 + zone)

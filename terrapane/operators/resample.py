@@ -35,17 +35,62 @@ def nearest_within(targets: DataFrame, samples: DataFrame, metres: float, target
 
 
 def bilinear(points: DataFrame, raster: DataFrame, key: Sequence[str], point_id: str, rows: int, cols: int, value: str = "v", outside: float | None = 0.0) -> DataFrame:
-    """Samples a raster (key, r, c, value) at fractional (fr, fc): key, point_id, value; points outside give ``outside``."""
+    """Samples a raster (key, r, c, value) at fractional (fr, fc): key, point_id, value; points outside, and those with a null corner, give ``outside``."""
     inside = F.col("fr").between(0, rows - 1) & F.col("fc").between(0, cols - 1)
     r0, c0 = F.least(F.floor("fr"), F.lit(rows - 2)).cast("int"), F.least(F.floor("fc"), F.lit(cols - 2)).cast("int")
     p = points.withColumn("inside", inside).withColumn("r0", r0).withColumn("c0", c0)
     wr, wc = F.col("fr") - F.col("r0"), F.col("fc") - F.col("c0")
     corners = F.array(*[F.struct((F.col("r0") + i).alias("r"), (F.col("c0") + j).alias("c"), ((wr if i else 1 - wr) * (wc if j else 1 - wc)).alias("w")) for i in (0, 1) for j in (0, 1)])
     spread = p.where("inside").select(*key, point_id, F.explode(corners).alias("corner_")).select(*key, point_id, "corner_.*")
-    found = spread.join(raster, [*key, "r", "c"]).groupBy(*key, point_id).agg(F.sum(F.col("w") * F.col(value)).alias(value))
+    found = spread.join(raster, [*key, "r", "c"]).groupBy(*key, point_id).agg(F.when(F.count(value) == F.count("*"), F.sum(F.col("w") * F.col(value))).alias(value))
     return points.select(*key, point_id).join(found, [*key, point_id], "left").withColumn(value, F.coalesce(value, F.lit(outside)) if outside is not None else F.col(value))
 
 
+def _forward(kind: str, lat: Column, lon: Column) -> tuple[Column, Column]:
+    return {"degrees": lambda: (lon, lat), "sinusoidal": lambda: geo.sinusoidal(lat, lon), "equal_area": lambda: geo.equal_area(lat, lon), "azimuthal": lambda: geo.azimuthal(lat, lon, F.col("lat0"), F.col("lon0"))}[kind]()
+
+
+def _inverse(kind: str, x: Column, y: Column) -> tuple[Column, Column]:
+    return {"degrees": lambda: (y, x), "sinusoidal": lambda: geo.sinusoidal_inverse(x, y), "equal_area": lambda: geo.equal_area_inverse(x, y), "azimuthal": lambda: geo.azimuthal_inverse(x, y, F.col("lat0"), F.col("lon0"))}[kind]()
+
+
+def reprojected(raster: DataFrame, frames: DataFrame, key: Sequence[str], source: str, target: str, shape: tuple[int, int], step: float, source_shape: tuple[int, int], source_step: float, method: str = "bilinear", value: str = "v") -> DataFrame:
+    """Rasters (key, r, c, value) of one projection on a grid of another: key, r, c, lat, lon, value; null outside the raster and beside nulls.
+
+    frames: key, west, north (the target grid's corner in its projection), source_west, source_north, and lat0, lon0 where a projection is
+    ``azimuthal``.  Projections: degrees, sinusoidal, equal_area, azimuthal.  Each target pixel's centre is taken back to the source (inverse map), then
+    its nearest pixel or four neighbours are joined by place.
+    """
+    grid = frames.withColumn("point_id", F.explode(F.sequence(F.lit(0), F.lit(shape[0] * shape[1] - 1)))).withColumn("tr", F.floor(F.col("point_id") / shape[1]).cast("int")).withColumn("tc", (F.col("point_id") % shape[1]).cast("int"))
+    lat, lon = _inverse(target, F.col("west") + (F.col("tc") + 0.5) * step, F.col("north") - (F.col("tr") + 0.5) * step)
+    grid = grid.withColumn("lat", lat).withColumn("lon", lon)
+    x, y = _forward(source, F.col("lat"), F.col("lon"))
+    grid = grid.withColumn("fr", (F.col("source_north") - y) / source_step - 0.5).withColumn("fc", (x - F.col("source_west")) / source_step - 0.5)
+    points = grid.select(*key, "point_id", F.col("tr").alias("r"), F.col("tc").alias("c"), "lat", "lon", "fr", "fc")
+    if method == "nearest":
+        near = points.withColumn("tr", F.col("r")).withColumn("tc", F.col("c")).withColumn("r", F.floor(F.col("fr") + 0.5).cast("int")).withColumn("c", F.floor(F.col("fc") + 0.5).cast("int"))
+        return near.join(raster.select(*key, "r", "c", value), [*key, "r", "c"], "left").select(*key, F.col("tr").alias("r"), F.col("tc").alias("c"), "lat", "lon", value)
+    if method != "bilinear":
+        raise ValueError(f"unknown method {method}")
+    found = bilinear(points.select(*key, "point_id", "fr", "fc"), raster, key, "point_id", *source_shape, value, outside=None)
+    return points.drop("fr", "fc").join(found, [*key, "point_id"]).select(*key, "r", "c", "lat", "lon", value)
+
+
+def clipped(pixels: DataFrame, key: Sequence[str], box: tuple[float, float, float, float]) -> DataFrame:
+    """The pixels (key, r, c, lat, lon, ...) inside (lon_min, lat_min, lon_max, lat_max); rasters that would keep one row or column at most are not clipped."""
+    inside = F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])
+    kept = pixels.where(inside).groupBy(*key).agg(F.count_distinct("r").alias("rows_"), F.count_distinct("c").alias("cols_")).where("rows_ > 1 and cols_ > 1").select(*key, F.lit(True).alias("clip_"))
+    return pixels.join(kept, list(key), "left").where(inside | F.col("clip_").isNull()).drop("clip_")
+
+
+def of_shape(pixels: DataFrame, key: Sequence[str], rows: int, cols: int) -> DataFrame:
+    """The same pixels; a raster of another shape is an error when it is read."""
+    n = pixels.groupBy(*key).agg(F.count("*").alias("n_"), (F.max("r") + 1).alias("rows_"), (F.max("c") + 1).alias("cols_"))
+    wrong = (F.col("n_") != rows * cols) | (F.col("rows_") != rows) | (F.col("cols_") != cols)
+    checked = n.where(F.when(wrong, F.raise_error(F.concat(F.lit(f"a raster is not {rows} x {cols}: "), F.to_json(F.struct(*key))))).otherwise(True).cast("boolean")).select(*key)
+    return pixels.join(checked, list(key), "left_semi")
+
+
 def mosaic(pieces: DataFrame, key: Sequence[str], order: str, value: str = "v") -> DataFrame:
     """Overlapping pieces as one raster: the last piece in order that has a value wins."""
     return pieces.where(F.col(value).isNotNull()).groupBy(*key).agg(F.max_by(value, order).alias(value))

@@ -93,5 +93,5 @@ def whittaker(rows: DataFrame, series: int, grid: tuple[float, ...] = DETECTOR_G
         return pd.DataFrame({"pixel_id": frame["pixel_id"], "day_no": frame["day_no"], "z": z})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.select("pixel_id", "day_no", "y", "weight", F.pmod(F.xxhash64("pixel_id"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(lambda f: run(f), f"pixel_id {kinds['pixel_id']}, day_no {kinds['day_no']}, z double")
+    out = rows.select("pixel_id", "day_no", "y", "weight", F.pmod(F.xxhash64("pixel_id"), F.lit(buckets)).alias("bucket")).repartition(min(buckets, 4 * rows.sparkSession.sparkContext.defaultParallelism), "bucket").groupBy("bucket").applyInPandas(lambda f: run(f), f"pixel_id {kinds['pixel_id']}, day_no {kinds['day_no']}, z double")
     return out.withColumn("z", F.nanvl("z", F.lit(None).cast("double")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..functions import bands
+from ..functions import bands, geo
 from ..operators import resample, temporal
 from ..sources import training
 from .registry import query, r6
@@ -87,9 +87,71 @@ def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.available_to_all(click.catalog(), [view, TableSource(rows, None)])
 
 
-@query("g19_reproject_patch")
+_FRAMES = "select c.cell_id as patch_id, lat as lat0, lon as lon0, 6371007.181*radians(lon)*cos(radians(lat)) as sx, 6371007.181*radians(lat) as sy from f_cells c join embeddings e on e.vec_id = c.cell_id"
+_Q = f"(1-{geo.ECC2!r})*(s/(1-{geo.ECC2!r}*s*s) - ln((1-sqrt({geo.ECC2!r})*s)/(1+sqrt({geo.ECC2!r})*s))/(2*sqrt({geo.ECC2!r})))"
+_GRID6 = "(select unnest(range(36)) as k)"
+
+
+def _sampled(points: str, method: str) -> str:
+    """SQL: points (patch_id, r, c, lat, lon, fr, fc) with the value of f_patch, null below -0.12, at (fr, fc)."""
+    value = "(select patch_id, r, c, case when v >= -0.12 then v end as v from f_patch)"
+    if method == "nearest":
+        return f"{points} select p.patch_id, p.r, p.c, round(v, 6) as v from p left join {value} t on t.patch_id = p.patch_id and t.r = floor(fr + 0.5) and t.c = floor(fc + 0.5)"
+    return f"""{points}, q as (select *, least(floor(fr), 6) as r0, least(floor(fc), 6) as c0 from p where fr between 0 and 7 and fc between 0 and 7),
+ s as (select q.patch_id, q.r, q.c, case when count(t.v) = 4 then sum((case when t.r = r0 then 1 - (fr - r0) else fr - r0 end) * (case when t.c = c0 then 1 - (fc - c0) else fc - c0 end) * t.v) end as v from q join {value} t on t.patch_id = q.patch_id and t.r in (r0, r0 + 1) and t.c in (c0, c0 + 1) group by 1,2,3)
+ select p.patch_id, p.r, p.c, round(s.v, 6) as v from p left join s using (patch_id, r, c)"""
+
+
+_R = 6371007.181
+_TO_SINUSOIDAL = f"(sy + 4000.0 - {_R}*radians(lat)) / 1000.0 - 0.5 as fr, ({_R}*radians(lon)*cos(radians(lat)) - (sx - 4000.0)) / 1000.0 - 0.5 as fc"
+_BETA = " + ".join(["b", *(f"{k!r}*sin({n}*b)" for k, n in zip(geo.CEA_SERIES, (2, 4, 6), strict=True))])
+_EQUAL_AREA = f"""with f as (select *, sin(radians(lat0)) as s from ({_FRAMES})), g as (select *, {geo.AXIS * geo.CEA_SCALE!r}*radians(lon0) - 3000.0 + (k % 6 + 0.5) * 1000.0 as x, {geo.AXIS / 2 / geo.CEA_SCALE!r}*({_Q}) + 3000.0 - (k // 6 + 0.5) * 1000.0 as y, cast(k // 6 as int) as r, cast(k % 6 as int) as c from f cross join {_GRID6}),
+ h as (select *, asin(2*y*{geo.CEA_SCALE!r}/{geo.AXIS * geo.CEA_POLE!r}) as b, degrees(x/{geo.AXIS * geo.CEA_SCALE!r}) as lon from g), i as (select *, degrees({_BETA}) as lat from h), p as (select patch_id, r, c, lat, lon, {_TO_SINUSOIDAL} from i)"""
+_AZIMUTHAL = f"""with f as ({_FRAMES}), g as (select *, (k % 6 - 3 + 0.5) * 1000.0 as x, (3 - k // 6 - 0.5) * 1000.0 as y, radians(lat0) as p0, cast(k // 6 as int) as r, cast(k % 6 as int) as c from f cross join {_GRID6}), h as (select *, sqrt(x*x+y*y) as rho, sqrt(x*x+y*y)/{_R} as cc from g),
+ i as (select *, degrees(asin(cos(cc)*sin(p0) + y*sin(cc)*cos(p0)/rho)) as lat, degrees(radians(lon0) + atan2(x*sin(cc), rho*cos(p0)*cos(cc) - y*sin(p0)*sin(cc))) as lon from h), p as (select patch_id, r, c, lat, lon, {_TO_SINUSOIDAL} from i)"""
+_FROM_EQUAL_AREA = f"""with f as (select *, sin(radians(lat0)) as s from ({_FRAMES})), e as (select *, {geo.AXIS * geo.CEA_SCALE!r}*radians(lon0) - 4000.0 as ex, {geo.AXIS / 2 / geo.CEA_SCALE!r}*({_Q}) + 4000.0 as ey from f),
+ g as (select patch_id, ex, ey, cast(k // 6 as int) as r, cast(k % 6 as int) as c, lon0 - 0.03 + (k % 6 + 0.5) * 0.01 as lon, lat0 + 0.03 - (k // 6 + 0.5) * 0.01 as lat from e cross join {_GRID6}), h as (select *, sin(radians(lat)) as s from g),
+ p as (select patch_id, r, c, lat, lon, (ey - {geo.AXIS / 2 / geo.CEA_SCALE!r}*({_Q})) / 1000.0 - 0.5 as fr, ({geo.AXIS * geo.CEA_SCALE!r}*radians(lon) - ex) / 1000.0 - 0.5 as fc from h)"""
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = fixtures.table(spark, sf_dir, "embeddings").select(C("vec_id").alias("patch_id"))
+    rows = fixtures.cells(spark, sf_dir).select(C("cell_id").alias("patch_id"), C("lat").alias("lat0"), C("lon").alias("lon0")).join(ids, "patch_id", "left_semi")
+    x, y = geo.sinusoidal(C("lat0"), C("lon0"))
+    ex, ey = geo.equal_area(C("lat0"), C("lon0"))
+    return rows.withColumns({"source_west": x - 4000.0, "source_north": y + 4000.0, "west": ex - 3000.0, "north": ey + 3000.0})
+
+
+def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.patch(spark, sf_dir).withColumn("v", F.when(C("v") >= -0.12, C("v")))
+
+
+def _rounded(pixels: DataFrame) -> DataFrame:
+    return pixels.select("patch_id", "r", "c", r6(C("v")).alias("v"))
+
+
+@query("g14_reproject_nearest", _sampled(_EQUAL_AREA, "nearest"))
+def g14n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sinusoidal patches on the global equal-area grid."""
+    return _rounded(resample.reprojected(_valid(spark, sf_dir), _frames(spark, sf_dir), ["patch_id"], "sinusoidal", "equal_area", (6, 6), 1000.0, (8, 8), 1000.0, "nearest"))
+
+
+@query("g14_reproject_clip", f"select patch_id, r, c, v from ({_sampled(_EQUAL_AREA, 'bilinear')}) join (select patch_id, r, c, lat, lon, count(distinct case when ok then r end) over w as nr, count(distinct case when ok then c end) over w as nc, ok from (select *, lon between -60 and 60 and lat between 0 and 60 as ok from ({_EQUAL_AREA} select * from p)) window w as (partition by patch_id)) using (patch_id, r, c) where ok or nr <= 1 or nc <= 1")
+def g14c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.reprojected(_valid(spark, sf_dir), _frames(spark, sf_dir), ["patch_id"], "sinusoidal", "equal_area", (6, 6), 1000.0, (8, 8), 1000.0)
+    return _rounded(resample.clipped(out, ["patch_id"], (-60.0, 0.0, 60.0, 60.0)))
+
+
+@query("g15_regrid", _sampled(_FROM_EQUAL_AREA, "bilinear"))
+def g15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal-area patches on a grid of degrees; null where a neighbour is."""
+    frames = _frames(spark, sf_dir).select("patch_id", (C("west") - 1000.0).alias("source_west"), (C("north") + 1000.0).alias("source_north"), (C("lon0") - 0.03).alias("west"), (C("lat0") + 0.03).alias("north"))
+    return _rounded(resample.reprojected(_valid(spark, sf_dir), frames, ["patch_id"], "equal_area", "degrees", (6, 6), 0.01, (8, 8), 1000.0))
+
+
+@query("g19_reproject_patch", _sampled(_AZIMUTHAL, "bilinear"))
 def g19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patches on a grid half as fine, sampled bilinearly at its pixel centres."""
-    ids = fixtures.table(spark, sf_dir, "embeddings").select(C("vec_id").alias("patch_id"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
-    points = ids.select("patch_id", C("k").alias("point_id"), (F.floor(C("k") / 4) * 2 + 0.5).alias("fr"), ((C("k") % 4) * 2 + 0.5).alias("fc"))
-    return resample.bilinear(points, fixtures.patch(spark, sf_dir), ["patch_id"], "point_id", 8, 8).withColumn("v", r6(C("v")))
+    """Sinusoidal patches on the azimuthal grid around their cell, of a strict shape."""
+    frames = _frames(spark, sf_dir).drop("west", "north").withColumns({"west": F.lit(-3000.0), "north": F.lit(3000.0)})
+    out = resample.reprojected(_valid(spark, sf_dir), frames, ["patch_id"], "sinusoidal", "azimuthal", (6, 6), 1000.0, (8, 8), 1000.0)
+    return _rounded(resample.of_shape(out, ["patch_id"], 6, 6))

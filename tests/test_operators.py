@@ -219,3 +219,27 @@ def test_dense_store_modes(spark, tmp_path):
     store.write_dense(spark.createDataFrame([(day(2), 0, 0, 0.7)], "time date, y int, x int, evi double"), path, "time", ["y", "x"], "variables")
     got = sorted((r["time"].day, r["x"], r["ndvi"], r["evi"]) for r in spark.read.option("mergeSchema", "true").parquet(path).collect())
     assert got == [(1, 0, 0.1, None), (1, 1, 0.2, None), (2, 0, 0.3, 0.7)]
+
+
+def test_projections_invert_and_match_published_extents(spark):
+    from terrapane.functions import geo
+
+    df = spark.createDataFrame([(45.0, 10.0), (-33.3, 151.2), (0.0, -70.0), (71.0, 25.0)], "lat double, lon double")
+    x, y = geo.equal_area(F.col("lat"), F.col("lon"))
+    u, w = geo.sinusoidal(F.col("lat"), F.col("lon"))
+    p, q = geo.azimuthal(F.col("lat"), F.col("lon"), F.col("lat") + 0.5, F.col("lon") - 0.5)
+    back = df.select("lat", "lon", *geo.equal_area_inverse(x, y), *geo.sinusoidal_inverse(u, w), *geo.azimuthal_inverse(p, q, F.col("lat") + 0.5, F.col("lon") - 0.5))
+    for r in back.collect():
+        assert list(r[2:]) == pytest.approx([r[0], r[1]] * 3, abs=1e-6)
+    edge = spark.range(1).select(*geo.equal_area(F.lit(90.0), F.lit(180.0))).first()
+    assert (edge[0], edge[1]) == pytest.approx((17367530.45, 7314540.83), abs=0.02)
+
+
+def test_clip_keeps_what_would_collapse_and_shapes_are_strict(spark):
+    rows = [(k, r, c, 10.0 + r, 20.0 + c + 50 * k, 1.0) for k in (0, 1) for r in range(3) for c in range(3)]
+    df = spark.createDataFrame(rows, "k int, r int, c int, lat double, lon double, v double")
+    got = resample.clipped(df, ["k"], (20.5, 10.5, 60.0, 13.0)).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in got} == {0: 4, 1: 9}
+    assert resample.of_shape(df, ["k"], 3, 3).count() == 18
+    with pytest.raises(Exception, match="not 3 x 4"):
+        resample.of_shape(df, ["k"], 3, 4).count()
