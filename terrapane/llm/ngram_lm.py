@@ -400,6 +400,8 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     *sizes, total = word_shards(shared.texts(training, id_col, text_col), folder, shards)
     vocabulary = Vocabulary(folder, sizes)
     distinct = int(vocabulary.base[-1])
+    if distinct >= 1 << 32:
+        raise ValueError("more words than the 32 bits of an id in a packed bigram can tell apart")
     splits = even_splits(vocabulary, total, shards)
     if total:
         bigram_shards(shared.texts(training, id_col, text_col), folder, vocabulary, shards, splits)

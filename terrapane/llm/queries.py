@@ -23,7 +23,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    found = score(docs, docs.where(fold != 1))
+    found = score(docs, docs.where(F.coalesce(fold, F.lit(0)) != 1))  # a null id has no remainder, so it is not held out
     return found.withColumn("held_out", F.coalesce(fold == 1, F.lit(False))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary")
 
 
@@ -81,7 +81,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    model = sample(docs.where(fold != 1), "lang")
+    model = sample(docs.where(F.coalesce(fold, F.lit(0)) != 1), "lang")
     found = identify(docs, model).select("doc_id", "lang_pred", "score")
     return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
