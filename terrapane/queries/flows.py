@@ -41,3 +41,16 @@ def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "patches")
     write_patches(patches, path)
     return spark.read.parquet(path).select("variable", "obs_date", "grid_id", F.size("data").cast("long").alias("n"))
+
+
+@query("k04_dense_store", "select pixel_id, obs_date, round(max(nir),6) as nir, round(max(red),6) as red from f_obs group by 1,2")
+def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new store of some days, then the other days, then a further variable."""
+    from ..operators.store import write_dense
+
+    rows = fixtures.obs(spark, sf_dir).groupBy("pixel_id", "obs_date").agg(F.max("nir").alias("nir"), F.max("red").alias("red"))
+    path = work_path(spark, "dense")
+    write_dense(rows.select("pixel_id", "obs_date", "nir").where("obs_date < date '2024-01-10'"), path, "obs_date", ["pixel_id"], "overwrite")
+    write_dense(rows.select("pixel_id", "obs_date", "nir"), path, "obs_date", ["pixel_id"])
+    write_dense(rows.select("pixel_id", "obs_date", "red"), path, "obs_date", ["pixel_id"], "variables")
+    return spark.read.option("mergeSchema", "true").parquet(path).select("pixel_id", "obs_date", r6(F.col("nir")).alias("nir"), r6(F.col("red")).alias("red"))
