@@ -75,3 +75,11 @@ def yearly_presence(rows: DataFrame, countries: Sequence[str], level: str) -> Da
 def raster_metadata(pixels: DataFrame, key: Sequence[str]) -> DataFrame:
     """Height, width, bounds and value range of rasters."""
     return pixels.groupBy(*key).agg((F.max("r") - F.min("r") + 1).alias("height"), (F.max("c") - F.min("c") + 1).alias("width"), F.count_distinct("r").alias("n_rows"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def raster_geometry(pixels: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Width, height, pixel size and outer bounds of rasters of pixel centres (key, x, y); one column or row has no size, and bounds of null."""
+    size = lambda c: (F.max(c) - F.min(c)) / F.nullif(F.count_distinct(c) - 1, F.lit(0))
+    out = pixels.groupBy(*key).agg(F.count_distinct("x").alias("width"), F.count_distinct("y").alias("height"), size("x").alias("pixel_size_x"), size("y").alias("pixel_size_y"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    half = lambda c: F.col(f"pixel_size_{c}") / 2
+    return out.select(*key, "width", "height", "pixel_size_x", "pixel_size_y", (F.col("x0") - half("x")).alias("west"), (F.col("y0") - half("y")).alias("south"), (F.col("x1") + half("x")).alias("east"), (F.col("y1") + half("y")).alias("north"))

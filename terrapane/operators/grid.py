@@ -50,6 +50,40 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, degrees: float = 10.0)
     return dealt.join(spread, ["lat_bucket", "lon_bucket"]).where(inside).drop("lat_bucket", "lon_bucket")
 
 
+def selected(regions: DataFrame, names: Sequence[str], column: str) -> DataFrame:
+    """The regions with one of the names; a missing column is an error."""
+    if column not in regions.columns:
+        raise ValueError(f"no column {column} among {regions.columns}")
+    return regions.where(F.col(column).isin(*names))
+
+
+def bounds(regions: DataFrame) -> DataFrame:
+    """One row lon_min, lat_min, lon_max, lat_max around all corners of regions (rings); no region is an error when it is read."""
+    corners = regions.select(F.explode(F.flatten("rings")).alias("p"))
+    box = corners.agg(F.count("*").alias("n_"), *(f(f"p.{c}").alias(f"{c}_{e}") for e, f in (("min", F.min), ("max", F.max)) for c in ("lon", "lat")))
+    return box.where(F.when(F.col("n_") == 0, F.raise_error(F.lit("no region is selected")).cast("boolean")).otherwise(True)).select("lon_min", "lat_min", "lon_max", "lat_max")
+
+
+def in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """points (lat, lon) joined with the regions that they are in, by the even-odd rule over all rings, so holes and several parts are allowed.
+
+    regions: any columns, and rings, an array of closed rings of (lon, lat), the first corner not repeated.  A point on a west or south edge is
+    inside.  The join is by degree buckets of the regions' boxes, then by boxes, then by a ray to the east.
+    """
+    edge = lambda ring: F.transform(ring, lambda p, i: F.struct(p["lon"].alias("x0"), p["lat"].alias("y0"), F.get(ring, (i + 1) % F.size(ring))["lon"].alias("x1"), F.get(ring, (i + 1) % F.size(ring))["lat"].alias("y1")))
+    of = lambda f, c: f(F.transform(F.flatten("rings"), lambda p: p[c]))
+    boxes = regions.withColumns({"edges_": F.flatten(F.transform("rings", edge)), "lon_min": of(F.array_min, "lon"), "lon_max": of(F.array_max, "lon"), "lat_min": of(F.array_min, "lat"), "lat_max": of(F.array_max, "lat")}).drop("rings")
+    lat, lon = F.col("lat"), F.col("lon")
+    crossed = F.filter("edges_", lambda e: ((e["y0"] > lat) != (e["y1"] > lat)) & (lon < (e["x1"] - e["x0"]) * (lat - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"]))
+    return points_in_boxes(points, boxes).where(F.size(crossed) % 2 == 1).drop("edges_", "lon_min", "lon_max", "lat_min", "lat_max")
+
+
+def clipped_to_regions(points: DataFrame, regions: DataFrame, key: Sequence[str], invert: bool = False) -> DataFrame:
+    """The points (key, lat, lon, ...) inside any region; invert: those outside all.  A point in several regions comes once."""
+    inside = in_regions(points.select(*key, "lat", "lon"), regions.select("rings")).select(*key)
+    return points.join(inside, list(key), "left_anti" if invert else "left_semi")
+
+
 def land_share(points: DataFrame, boxes: DataFrame, percent: float) -> DataFrame:
     """box_id, n, land_percent of the boxes whose points (with a 0/1 land column) are land to percent or more."""
     found = points_in_boxes(points, boxes).groupBy("box_id").agg(F.count("*").alias("n"), (F.avg("land") * 100).alias("land_percent"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import grid, morphology
 
 
 def _on_sphere(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
@@ -15,23 +16,23 @@ def _on_sphere(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     return geo.RADIUS * F.cos(phi) * F.cos(lam), geo.RADIUS * F.cos(phi) * F.sin(lam), geo.RADIUS * F.sin(phi)
 
 
-def nearest_within(targets: DataFrame, samples: DataFrame, metres: float, target_id: str, sample_id: str) -> DataFrame:
-    """For each target, the sample nearest by chord within a radius (ties: least id): target_id, sample_id, metres.
+def nearest_within(targets: DataFrame, samples: DataFrame, metres: float, target_id: str, sample_id: str, key: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """For each target, the sample of the same key nearest by chord within a radius (ties: least id): key, target_id, sample_id, metres, carry.
 
-    Both are points (lat, lon).  Space is cut into cubes as wide as the radius, and each target looks into the 27 around it, so poles and
-    the date line need no care and the join is by equality.
+    Both are points (key, lat, lon); carry names further columns of the sample.  Space is cut into cubes as wide as the radius, and each target
+    looks into the 27 around it, so poles and the date line need no care and the join is by equality.
     """
 
-    def cubes(df: DataFrame, name: str) -> DataFrame:
+    def cubes(df: DataFrame, name: str, *more: str) -> DataFrame:
         x, y, z = _on_sphere(F.col("lat"), F.col("lon"))
-        return df.select(F.col(name), x.alias(f"{name}_x"), y.alias(f"{name}_y"), z.alias(f"{name}_z")).withColumns({k: F.floor(F.col(f"{name}_{k[1]}") / metres) for k in ("bx", "by", "bz")})
+        return df.select(*key, F.col(name), *more, x.alias(f"{name}_x"), y.alias(f"{name}_y"), z.alias(f"{name}_z")).withColumns({k: F.floor(F.col(f"{name}_{k[1]}") / metres) for k in ("bx", "by", "bz")})
 
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
     t = cubes(targets, target_id).withColumn("step_", F.explode(steps)).withColumns({"bx": F.col("bx") + F.col("step_.i"), "by": F.col("by") + F.col("step_.j"), "bz": F.col("bz") + F.col("step_.k")}).drop("step_")
-    near = t.join(cubes(samples, sample_id), ["bx", "by", "bz"])
+    near = t.join(cubes(samples, sample_id, *carry), [*key, "bx", "by", "bz"])
     far = F.sqrt(sum((F.col(f"{target_id}_{k}") - F.col(f"{sample_id}_{k}")) ** 2 for k in "xyz"))
-    best = near.select(target_id, sample_id, far.alias("metres")).where(F.col("metres") <= metres).groupBy(target_id).agg(F.min(F.struct("metres", sample_id)).alias("best"))
-    return best.select(target_id, F.col(f"best.{sample_id}").alias(sample_id), F.col("best.metres").alias("metres"))
+    best = near.select(*key, target_id, sample_id, *carry, far.alias("metres")).where(F.col("metres") <= metres).groupBy(*key, target_id).agg(F.min(F.struct("metres", sample_id, *carry)).alias("best"))
+    return best.select(*key, target_id, f"best.{sample_id}", "best.metres", *[f"best.{c}" for c in carry])
 
 
 def bilinear(points: DataFrame, raster: DataFrame, key: Sequence[str], point_id: str, rows: int, cols: int, value: str = "v", outside: float | None = 0.0) -> DataFrame:
@@ -96,12 +97,62 @@ def mosaic(pieces: DataFrame, key: Sequence[str], order: str, value: str = "v")
     return pieces.where(F.col(value).isNotNull()).groupBy(*key).agg(F.max_by(value, order).alias(value))
 
 
+def daily_mosaic(pieces: DataFrame, calibration: Mapping[str, Callable[[Column], Column]], day: str = "obs_date", order: str = "piece", kind: str = "dtype", value: str = "raw") -> DataFrame:
+    """day, y, x and one calibrated column per variable, from overlapping pieces (day, variable, order, kind, y, x, value).
+
+    Of a day's pieces of a variable only those of the commonest kind count (ties: the kind that appears first); where they overlap, the last one
+    in order that has a value wins.  calibration maps each variable to a column function, applied once to the mosaic.  Variables are merged by
+    pixel in the same aggregation, so pixels are shuffled once; kinds are chosen among the pieces, which are few.
+    """
+    rows = pieces.where(F.col("variable").isin(*calibration))
+    kinds = dominant(rows.select(day, "variable", order, kind).distinct(), [day, "variable"], kind, order).select(day, "variable", kind)
+    used = rows.where(F.col(value).isNotNull()).join(kinds, [day, "variable", kind], "left_semi")
+    of = lambda c, v: F.when(F.col("variable") == v, F.col(c))
+    out = used.groupBy(day, "y", "x").agg(*[F.max_by(of(value, v), of(order, v)).alias(v) for v in calibration])
+    return out.select(day, "y", "x", *[f(F.col(f"`{v}`")).alias(v) for v, f in calibration.items()])
+
+
 def dominant(rows: DataFrame, group: Sequence[str], kind: str, order: str) -> DataFrame:
     """The commonest kind of each group; the one that appears first in order wins ties."""
     n = rows.groupBy(*group, kind).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     return n.groupBy(*group).agg(F.max_by(kind, F.struct("n", -F.col("first"))).alias(kind), F.max("n").alias("n"))
 
 
+def swath_patches(samples: DataFrame, cells: DataFrame, half: int, size: int, step: float = 0.01, metres: float = 1500.0, most_null: float = 0.1, value: str = "level", fill: int = 99) -> DataFrame:
+    """Patches of size x size around cells (cell_id, lat, lon) from swaths of samples (swath_id, obs_date, sample_id, lat, lon, value): obs_date, cell_id, r, c, value.
+
+    A swath's footprint is its box and two steps around it; a regular grid of that step covers it from the south-west, and each cell inside takes
+    the 2 half x 2 half nodes around its own, unless they leave the grid.  Only those nodes look for their nearest sample, within a radius.  Row 0
+    is north; nodes are repeated up to size and cut there.  Patches with more than most_null of their pixels empty are dropped, the other empty
+    pixels become ``fill``.  Where swaths of a day give a cell several patches, the one with the largest swath_id stays.
+    Samples without a place or a value count as missing; size is 2 half at least.
+    """
+    factor = -(-size // (2 * half))
+    seen = samples.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    low = lambda c: F.min(c) - 2 * step
+    high = lambda c: F.max(c) + 2 * step
+    boxes = seen.groupBy("swath_id", "obs_date").agg(low("lon").alias("lon_min"), high("lon").alias("lon_max"), low("lat").alias("lat_min"), high("lat").alias("lat_max"))
+    inside = grid.points_in_boxes(cells.select("cell_id", "lat", "lon"), boxes)
+    for axis, name in (("lat", "row"), ("lon", "col")):
+        n = F.ceil((F.col(f"{axis}_max") - F.col(f"{axis}_min")) / step)
+        inside = inside.withColumn(f"{name}s", n).withColumn(name, F.greatest(F.lit(0), F.least(F.rint((F.col(axis) - F.col(f"{axis}_min")) / step).cast("long"), n - 1)))
+    fits = (F.col("row") >= half) & (F.col("row") + half <= F.col("rows")) & (F.col("col") >= half) & (F.col("col") + half <= F.col("cols"))
+    wanted = inside.where(fits).select("swath_id", "obs_date", "cell_id", "row", "col", "lat_min", "lon_min", F.explode(F.sequence(F.lit(0), F.lit(4 * half * half - 1))).alias("k_"))
+    pr, pc = F.floor(F.col("k_") / (2 * half)).cast("int"), (F.col("k_") % (2 * half)).cast("int")
+    wanted = wanted.withColumn("r", 2 * half - 1 - pr).withColumn("c", pc).withColumn("gr", F.col("row") - half + pr).withColumn("gc", F.col("col") - half + pc)
+    wanted = wanted.withColumn("node", F.shiftleft(F.col("gr"), 32) + F.col("gc"))
+    nodes = wanted.select("swath_id", "node", (F.col("lat_min") + F.col("gr") * step).alias("lat"), (F.col("lon_min") + F.col("gc") * step).alias("lon")).dropDuplicates(["swath_id", "node"])
+    found = nearest_within(nodes, seen.where(F.col(value).isNotNull()), metres, "node", "sample_id", ["swath_id"], [value])
+    native = wanted.select("swath_id", "obs_date", "cell_id", "node", "r", "c").join(found.select("swath_id", "node", value), ["swath_id", "node"], "left").drop("node")
+    # A node's pixels that are left after the cut, so the gate is taken before nodes are repeated.
+    left = lambda c: F.greatest(F.lit(0), F.least(F.lit(factor), F.lit(size) - F.col(c) * factor))
+    empty = F.sum(F.when(F.col(value).isNull(), left("r") * left("c")).otherwise(0)) / float(size * size)
+    passed = native.groupBy("obs_date", "cell_id", "swath_id").agg(empty.alias("empty")).where(F.col("empty") <= most_null)
+    last = passed.groupBy("obs_date", "cell_id").agg(F.max("swath_id").alias("swath_id"))
+    kept = native.join(last, ["obs_date", "cell_id", "swath_id"], "left_semi").select("obs_date", "cell_id", "r", "c", F.coalesce(F.col(value), F.lit(fill)).alias(value))
+    return morphology.upsampled(kept, factor, size)
+
+
 def lookup_tiles(points: DataFrame, tiles: DataFrame, pixels_per_tile: int, size: float, value: str = "v") -> DataFrame:
     """Nearest look-up of sinusoidal tiles (h, v, row, col, value) at points (lat, lon); no pixel: 0."""
     x, y = geo.sinusoidal(F.col("lat"), F.col("lon"))

@@ -82,6 +82,32 @@ def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.nearest_within(rows, samples, 150000.0, "cell_id", "sample_id").withColumn("metres", F.round("metres", 3))
 
 
+_SWATHS = """select patch_id as swath_id, cast(date '2024-01-01' + cast(patch_id % 3 as int) as date) as obs_date, r * 8 + c as sample_id, lat0 + (3.5 - r) * cast(0.012 as double) + (c % 3) * cast(0.001 as double) as lat,
+ lon0 + (c - 3.5) * cast(0.013 as double) + (r % 2) * cast(0.001 as double) as lon, (cast(abs(floor(v * 1000)) as int) >> 1) & 3 as level from f_patch join (select cell_id, lat as lat0, lon as lon0 from f_cells) on cell_id = patch_id where v >= -0.12"""
+
+
+@query(
+    "g06_swath_patches",
+    f"""with s as materialized ({_SWATHS}), b as (select swath_id, obs_date, min(lon) - 2 * cast(0.01 as double) as x0, max(lon) + 2 * cast(0.01 as double) as x1, min(lat) - 2 * cast(0.01 as double) as y0, max(lat) + 2 * cast(0.01 as double) as y1 from s group by 1,2),
+ i as (select *, ceil((y1-y0)/0.01::double) as ny, ceil((x1-x0)/0.01::double) as nx from b join f_cells on lat between y0 and y1 and lon between x0 and x1),
+ w as (select *, greatest(0, least(round_even((lat-y0)/0.01::double, 0), ny-1)) as row, greatest(0, least(round_even((lon-x0)/0.01::double, 0), nx-1)) as col from i),
+ n as (select swath_id, obs_date, cell_id, k // 6 as pr, k % 6 as pc, y0 + (row - 3 + k // 6) * 0.01::double as lat, x0 + (col - 3 + k % 6) * 0.01::double as lon from w cross join (select unnest(range(36)) as k) where row >= 3 and row + 3 <= ny and col >= 3 and col + 3 <= nx),
+ t as (select swath_id, obs_date, cell_id, pr, pc, {_XYZ} from n), q as (select swath_id, sample_id, level, {_XYZ} from s),
+ d as (select t.swath_id, obs_date, cell_id, pr, pc, level, row_number() over (partition by t.swath_id, obs_date, cell_id, pr, pc order by case when far <= 900 then far end nulls last, sample_id) as k, far from (select t.*, q.sample_id, q.level, sqrt((t.x-q.x)*(t.x-q.x) + (t.y-q.y)*(t.y-q.y) + (t.z-q.z)*(t.z-q.z)) as far from t join q on q.swath_id = t.swath_id) t),
+ p as (select swath_id, obs_date, cell_id, (5 - pr) * 3 + a as r, pc * 3 + b as c, case when far <= 900 then level end as level from d cross join (select unnest([0,1,2]) as a) cross join (select unnest([0,1,2]) as b) where k = 1 and (5 - pr) * 3 + a < 16 and pc * 3 + b < 16),
+ o as (select obs_date, cell_id, swath_id from p group by 1,2,3 having sum(case when level is null then 1 else 0 end) / cast(256 as double) <= 0.1 qualify swath_id = max(swath_id) over (partition by obs_date, cell_id))
+ select obs_date, cell_id, r, c, coalesce(level, 99) as level from p join o using (obs_date, cell_id, swath_id)""",
+)
+def g06p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swaths of 8 x 8 samples with gaps; nodes a hundredth of a degree apart, a radius of 900 m, patches of 16 x 16."""
+    centres = fixtures.cells(spark, sf_dir).select(C("cell_id").alias("patch_id"), C("lat").alias("lat0"), C("lon").alias("lon0"))
+    rows = patch(spark, sf_dir).where("v >= -0.12").join(centres, "patch_id")
+    lat, lon = C("lat0") + (3.5 - C("r")) * 0.012 + (C("c") % 3) * 0.001, C("lon0") + (C("c") - 3.5) * 0.013 + (C("r") % 2) * 0.001
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (C("patch_id") % 3).cast("int"))
+    samples = rows.select(C("patch_id").alias("swath_id"), day.alias("obs_date"), (C("r") * 8 + C("c")).alias("sample_id"), lat.alias("lat"), lon.alias("lon"), bits.bit_field(F.abs(F.floor(C("v") * 1000)).cast("int"), 1, 2).alias("level"))
+    return resample.swath_patches(samples, fixtures.cells(spark, sf_dir), 3, 16, 0.01, 900.0)
+
+
 @query("g08_upsample", "select patch_id, r*2+i as r, c*2+j as c, round(v,6) as v from f_patch cross join (values (0),(1)) a(i) cross join (values (0),(1)) b(j)")
 def g08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.upsampled(patch(spark, sf_dir), 2).select("patch_id", "r", "c", r6(C("v")).alias("v"))
@@ -141,6 +167,23 @@ def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.mosaic(rows, ["lc_class", "r", "c"], "patch_id").withColumn("v", r6(C("v")))
 
 
+@query(
+    "g13_daily_mosaic",
+    """with p as (select patch_id as piece, cast(date '2024-01-01' + cast(patch_id % 7 as int) as date) as obs_date, case when (patch_id // 7) % 2 = 0 then 'red' else 'nir' end as variable, case when patch_id % 5 < 2 then 'float' else 'int16' end as dtype, r as y, c + (lc_class % 4) * 6 as x, case when v >= -0.12 then floor(v * 10000) end as raw from f_patch),
+ k as (select obs_date, variable, dtype from (select obs_date, variable, dtype, count(distinct piece) as n, min(piece) as first from p group by 1,2,3) qualify row_number() over (partition by obs_date, variable order by n desc, first) = 1),
+ m as (select obs_date, variable, y, x, raw from p join k using (obs_date, variable, dtype) where raw is not null qualify row_number() over (partition by obs_date, variable, y, x order by piece desc) = 1)
+ select obs_date, y, x, round(max(case when variable = 'red' then raw end) * 0.0001, 6)::double as red, round(case when count(case when variable = 'nir' then 1 end) > 0 then greatest(0.0, max(case when variable = 'nir' then raw end) * 0.0001 + 0.05) end, 6)::double as nir from m group by 1,2,3""",
+)
+def g13d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = C("patch_id")
+    pieces = patch(spark, sf_dir).select(
+        k.alias("piece"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 7).cast("int")).alias("obs_date"), F.when(F.floor(k / 7) % 2 == 0, "red").otherwise("nir").alias("variable"),
+        F.when(k % 5 < 2, "float").otherwise("int16").alias("dtype"), C("r").alias("y"), (C("c") + (C("lc_class") % 4) * 6).alias("x"), F.when(C("v") >= -0.12, F.floor(C("v") * 10000)).alias("raw"),
+    )
+    offset = F.lit(0.05)
+    return resample.daily_mosaic(pieces, {"red": lambda x: r6(x * 0.0001), "nir": lambda x: r6(F.when(x.isNotNull(), F.greatest(F.lit(0.0), x * 0.0001 + offset)))})
+
+
 _PTS = "select patch_id, k as point_id, (patch_id * 37 % 800) / 100.0::double - 0.5 + k as fr, (patch_id * 53 % 700) / 100.0::double as fc from (select distinct patch_id from f_patch) cross join (select unnest([0,1]) as k)"
 
 
@@ -206,6 +249,40 @@ def g21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.points_in_boxes(cells, boxes).groupBy(C("box_region").alias("region_key")).agg(F.count("*").alias("n"))
 
 
+_CORNERS = "select region_key, min(lon) as x0, max(lon) as x1, min(lat) as y0, max(lat) as y1 from f_cells where region_key in (3, 7) group by 1"
+_RINGS = """select region_key, [[(x0, y0), (x1, y0 + (y1-y0)/4), ((x0+x1)/2, y1)], [(x0 + (x1-x0)*0.375::double, y0 + (y1-y0)*0.3::double), (x0 + (x1-x0)*0.625::double, y0 + (y1-y0)*0.3::double), (x0 + (x1-x0)*0.5::double, y0 + (y1-y0)*0.6::double)]] as rings from c"""
+_EDGES = """select region_key, ring[k][1] as x0, ring[k][2] as y0, ring[k % 3 + 1][1] as x1, ring[k % 3 + 1][2] as y1 from (select region_key, unnest(rings) as ring from g) cross join (select unnest([1,2,3]) as k)"""
+_INSIDE = f"""with c as ({_CORNERS}), g as ({_RINGS}), e as ({_EDGES}), h as (select region_key, min(x0) as bx0, max(x0) as bx1, min(y0) as by0, max(y0) as by1 from e group by 1), i as (select cell_id, e.region_key from f_cells p join e on (e.y0 > lat) <> (e.y1 > lat) and lon < (e.x1-e.x0)*(lat-e.y0)/(e.y1-e.y0)+e.x0 group by 1,2 having count(*) % 2 = 1)"""
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangle with a triangular hole for each region."""
+    box = fixtures.cells(spark, sf_dir).groupBy("region_key").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
+    x0, x1, y0, y1 = (C(c) for c in ("x0", "x1", "y0", "y1"))
+    ring = lambda *corners: F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in corners])
+    outer = ring((x0, y0), (x1, y0 + (y1 - y0) / 4), ((x0 + x1) / 2, y1))
+    hole = ring((x0 + (x1 - x0) * 0.375, y0 + (y1 - y0) * 0.3), (x0 + (x1 - x0) * 0.625, y0 + (y1 - y0) * 0.3), (x0 + (x1 - x0) * 0.5, y0 + (y1 - y0) * 0.6))
+    return box.select("region_key", F.array(outer, hole).alias("rings"))
+
+
+@query("g21_polygon_clip", f"{_INSIDE} select region_key, cell_id from i")
+def g21p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = grid.selected(_regions(spark, sf_dir), [3, 7], "region_key")
+    return grid.in_regions(fixtures.cells(spark, sf_dir).select("cell_id", "lat", "lon"), regions).select("region_key", "cell_id")
+
+
+@query("g21_polygon_invert", f"{_INSIDE} select cell_id, lat, lon from f_cells where cell_id not in (select cell_id from i)")
+def g21i(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = grid.selected(_regions(spark, sf_dir), [3, 7], "region_key")
+    return grid.clipped_to_regions(fixtures.cells(spark, sf_dir).select("cell_id", "lat", "lon"), regions, ["cell_id"], invert=True)
+
+
+@query("g21_region_bounds", f"with c as ({_CORNERS}), g as ({_RINGS}), e as ({_EDGES}) select round(min(x0), 6) as lon_min, round(max(x0), 6) as lon_max, round(min(y0), 6) as lat_min, round(max(y0), 6) as lat_max from e")
+def g21b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = grid.bounds(grid.selected(_regions(spark, sf_dir), [3, 7], "region_key"))
+    return box.select([r6(C(c)).alias(c) for c in box.columns])
+
+
 @query("g22_land_fraction", f"select box_id, count(*) as n, round(avg(case when region_key % 3 = 0 then 1.0 else 0.0 end) * 100, 6) as land_percent from f_cells join {_BOXES} b on lat between lat_min and lat_max and lon between lon_min and lon_max group by 1 having avg(case when region_key % 3 = 0 then 1.0 else 0.0 end) * 100 >= 30")
 def g22(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fixtures.cells(spark, sf_dir).withColumn("land", (C("region_key") % 3 == 0).cast("int"))
@@ -248,3 +325,10 @@ def k16(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a14_raster_metadata", "select patch_id, max(r) - min(r) + 1 as height, max(c) - min(c) + 1 as width, count(distinct r) as n_rows, round(min(v),6) as low, round(max(v),6) as high from f_patch group by 1")
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.raster_metadata(patch(spark, sf_dir), ["patch_id"]).withColumns({"low": r6(C("low")), "high": r6(C("high"))})
+
+
+@query("a14_raster_geometry", "select patch_id, width, height, round(px,6) as pixel_size_x, round(py,6) as pixel_size_y, round(x0-px/2,6) as west, round(y0-py/2,6) as south, round(x1+px/2,6) as east, round(y1+py/2,6) as north from (select patch_id, count(distinct x) as width, count(distinct y) as height, (max(x)-min(x))/nullif(count(distinct x)-1,0) as px, (max(y)-min(y))/nullif(count(distinct y)-1,0) as py, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from (select patch_id, 100.0::double + (c + 0.5) * 0.25::double as x, 50.0::double - (r + 0.5) * 0.5::double as y from f_patch) group by 1)")
+def a14g(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centres = patch(spark, sf_dir).select("patch_id", (100.0 + (C("c") + 0.5) * 0.25).alias("x"), (50.0 - (C("r") + 0.5) * 0.5).alias("y"))
+    out = aggregate.raster_geometry(centres, ["patch_id"])
+    return out.select(*["patch_id", "width", "height"], *[r6(C(c)).alias(c) for c in out.columns[3:]])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrapane.operators import grid, morphology, resample, smooth, store, temporal
+from terrapane.operators import aggregate, grid, morphology, resample, smooth, store, temporal
 from terrapane.plans.ingest import ingest
 
 C = F.col
@@ -243,3 +243,55 @@ def test_clip_keeps_what_would_collapse_and_shapes_are_strict(spark):
     assert resample.of_shape(df, ["k"], 3, 3).count() == 18
     with pytest.raises(Exception, match="not 3 x 4"):
         resample.of_shape(df, ["k"], 3, 4).count()
+
+
+def test_polygons_with_holes_like_a_plain_ray_cast(spark):
+    rng = np.random.default_rng(5)
+    rings = [[(0.0, 0.0), (30.0, 2.0), (25.0, 31.0), (4.0, 24.0)], [(10.0, 8.0), (20.0, 9.0), (15.0, 18.0)], [(-20.0, -5.0), (-8.0, -5.0), (-14.0, 7.0)]]
+    pts = [(i, float(y), float(x)) for i, (y, x) in enumerate(rng.uniform(-25, 35, (400, 2)))] + [(400, 0.0, 0.0), (401, None, 3.0)]
+    inside = set()
+    for i, y, x in pts[:401]:
+        odd = False
+        for ring in rings:
+            for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True):
+                odd ^= (y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0
+        if odd:
+            inside.add(i)
+    points = spark.createDataFrame(pts, "k int, lat double, lon double")
+    regions = spark.createDataFrame([("a", rings), ("b", rings[2:])], "name string, rings array<array<struct<lon: double, lat: double>>>")
+    assert {r.k for r in grid.in_regions(points, grid.selected(regions, ["a"], "name")).collect()} == inside
+    assert {r.k for r in grid.clipped_to_regions(points, regions, ["k"]).collect()} == inside  # in both regions: once
+    assert {r.k for r in grid.clipped_to_regions(points, regions, ["k"], invert=True).collect()} == set(range(402)) - inside
+    assert tuple(grid.bounds(regions).first()) == (-20.0, -5.0, 30.0, 31.0)
+    with pytest.raises(Exception, match="no region is selected"):
+        grid.bounds(grid.selected(regions, ["c"], "name")).collect()
+    with pytest.raises(ValueError, match="no column"):
+        grid.selected(regions, ["a"], "country")
+
+
+def test_swath_patches_point_north_and_fill_gaps(spark):
+    # Sample rows run north to south, a hundredth of a degree apart; one is missing, another has no value.
+    rows = [(1, "d", 20 * i + j, 10.0 - 0.01 * i, 5.0 + 0.01 * j, 0 if i < 10 else 3) for i in range(20) for j in range(20)]
+    rows = [r for r in rows if r[2] != 20 * 8 + 10] + [(2, "d", 0, 60.0, 60.0, None), (2, "d", 1, None, None, 1)]
+    samples = spark.createDataFrame(rows, "swath_id int, obs_date string, sample_id int, lat double, lon double, level int")
+    cells = spark.createDataFrame([(1, 9.9049, 5.0949), (2, 10.0, 5.0), (3, 40.0, 40.0)], "cell_id int, lat double, lon double")
+    out = {(r.cell_id, r.r, r.c): r.level for r in resample.swath_patches(samples, cells, 4, 20, metres=400.0).collect()}
+    assert {k[0] for k in out} == {1} and len(out) == 400  # the second cell's patch is mostly empty, the third has no swath
+    assert out[1, 0, 0] == 0 and out[1, 19, 0] == 3
+    gaps = [k for k, v in out.items() if v == 99]
+    assert len(gaps) == 9 and {v for v in out.values()} == {0, 3, 99}
+    assert not resample.swath_patches(samples.limit(0), cells, 4, 20).collect()
+    more = samples.union(samples.where("swath_id = 1").withColumn("swath_id", F.lit(7)).withColumn("level", F.lit(2)))
+    assert {r.level for r in resample.swath_patches(more, cells, 4, 20, metres=400.0).collect()} == {2, 99}  # the later swath stays
+
+
+def test_daily_mosaic_takes_the_commonest_kind_and_the_last_piece(spark):
+    rows = [("d", "a", 1, "f", 0, 0, 9.0), ("d", "a", 2, "i", 0, 0, 5.0), ("d", "a", 3, "i", 0, 0, None), ("d", "a", 4, "i", 0, 1, 7.0), ("d", "b", 5, "f", 0, 1, 1.0), ("d", "b", 6, "i", 0, 1, 2.0), ("d", "c", 7, "i", 0, 1, 2.0), ("e", "b", 8, "i", 4, 4, None)]
+    pieces = spark.createDataFrame(rows, "obs_date string, variable string, piece int, dtype string, y int, x int, raw double")
+    out = resample.daily_mosaic(pieces, {"a": lambda x: x * 10, "b": lambda x: x})
+    assert {tuple(r) for r in out.collect()} == {("d", 0, 0, 50.0, None), ("d", 0, 1, 70.0, 1.0)}
+
+
+def test_geometry_of_a_raster_of_one_column(spark):
+    pixels = spark.createDataFrame([(1, 2.0, 3.0), (1, 2.0, 5.0)], "k int, x double, y double")
+    assert tuple(aggregate.raster_geometry(pixels, ["k"]).first()) == (1, 1, 2, None, 2.0, None, 2.0, None, 6.0)
