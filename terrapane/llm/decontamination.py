@@ -35,7 +35,7 @@ def item_sets(items: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, widths, sets = [], [], []
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 w = Words(part.column(1))
                 count = np.diff(w.first)
                 for width in np.unique(np.minimum(count, k)):
@@ -107,7 +107,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", 1 << 20):
                     found = index.value.search(part.column(1))
                     ids = part.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[n] for f in found], pa.int64()) for n in (1, 2, 3))], names=["doc_id", "item_id", "shared", "n_item"])
@@ -123,7 +123,7 @@ def without_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int =
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, text_col):
+                for part in slices(batch, text_col, 1 << 20):
                     keep = np.ones(part.num_rows, bool)
                     keep[[f[0] for f in index.value.search(part.column(part.schema.get_field_index(text_col)))]] = False
                     yield part.filter(pa.array(keep))

@@ -235,7 +235,7 @@ def identify(docs: DataFrame, texts_by_language: dict[str, list[str]], id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(key, sent.value)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 21):
+            for part in slices(batch, "text", 1 << 20):
                 names, score, rate = model.predict(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "phrase_rate"])
 
@@ -252,7 +252,7 @@ def keep_identified(docs: DataFrame, texts_by_language: dict[str, list[str]], te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(key, sent.value)
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 21):
+            for part in slices(batch, text_col, 1 << 20):
                 names, _, rate = model.predict(part.column(part.schema.get_field_index(text_col)))
                 yield part.filter(pa.array([n != "und" and r <= most_rate for n, r in zip(names, rate, strict=True)], pa.bool_()))
 
