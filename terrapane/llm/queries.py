@@ -92,6 +92,19 @@ def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries(write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), end_id=2))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    more = (F.col("n_chars").cast("decimal(38,0)") + 1).cast("string")  # no overflow
+    return manifest(table(spark, sf_dir, "documents"), changed={"n_chars": more}, where=F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
@@ -104,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
     "op11_token_store": op11_token_store,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
@@ -124,4 +139,30 @@ ORACLE_SQL: dict[str, str] = {
         both_ways as (select a, b from link union select b, a from link),
         reach as (select doc_id, doc_id as r from docs union select reach.doc_id, b from reach join both_ways on a = r)
         select reach.doc_id, cast(coalesce(any_value(n), 0) as bigint) as n_shingles, min(r) as component_id from reach left join size on size.doc_id = reach.doc_id group by 1""",
+    "op12_filter_audit": r"""
+        with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        f as (select w.doc_id, part, text, len(w) < 200 as a, 100 * len(list_distinct(w)) < 50 * len(w) as b, 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text) as c, regexp_matches(text, '[#$%&*|]') as d from w),
+        e as (select f.*, f.doc_id > min(f.doc_id) over (partition by text) as e from f),
+        l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+        s as (select part, [x[1] for x in [('A', a), ('B', b), ('C', c), ('D', d), ('E', coalesce(e, false))] if x[2]] as failed, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, count(*) as n from e left join l using (doc_id) group by all),
+        x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x), o as (select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        t as (select filter_order, cast(step as int) as step, filter_order[step] as own, string_split(filter_order[1 : step - 1], '') as before from o, (select unnest([1, 2, 3, 4, 5]) as step)),
+        r as (select part, filter_order, step, own, sum(case when not list_contains(failed, own) and not list_has_any(failed, before) then n else 0 end)::bigint as kept, sum(case when list_contains(failed, own) and not list_has_any(failed, before) then n else 0 end)::bigint as removed,
+          sum(case when list_contains(failed, own) and list_has_any(failed, before) then n else 0 end)::bigint as redundant, sum(case when failed = [own] then n else 0 end)::bigint as unique_fails,
+          sum(case when list_contains(failed, own) and not list_has_any(failed, before) then n * good else 0 end)::bigint as good_lost, sum(case when list_contains(failed, own) and not list_has_any(failed, before) then n * toxic else 0 end)::bigint as toxic_lost from s, t group by all)
+        select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from r""",
+    "op13_merkle_manifest": r"""
+        with recursive f as (select doc_id, lang, n_chars, [case when v is null then '-' else octet_length(encode(v)) || ':' || v end for v in [doc_id::varchar, source, lang]] as head, case when text is null then '-' else octet_length(encode(text)) || ':' || text end as tail from documents),
+        crc as (select doc_id, xor(list_reduce(list_prepend(4294967295, [ord(x)::bigint for x in string_split(doc_id::varchar, '')]), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, i: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)), 4294967295) as crc from f),
+        g as (select f.*, sha256(array_to_string(head, '') || case when n_chars is null then '-' else len(n_chars::varchar) || ':' || n_chars end || tail) as leaf, sha256(array_to_string(head, '') || case when n_chars is null then '-' else len((n_chars + 1)::varchar) || ':' || (n_chars + 1) end || tail) as other from f),
+        p as (select g.*, case when crc % 7 = 0 then other else leaf end as seen, row_number() over (partition by lang order by doc_id, leaf) - 1 as pos, count(*) over (partition by lang) as total, dense_rank() over (order by lang nulls first) - 1 as grp from g left join crc using (doc_id)),
+        low as (select grp, 0 as level, pos, total, leaf as h from p union all select grp, level + 1, pos // 2, (total + 1) // 2, sha256(string_agg(h, '' order by pos)) from low where total > 1 group by grp, level, pos // 2, total),
+        sub as (select grp, h, max(level) as level from low where total = 1 group by all), n as (select count(*) as n from sub),
+        high as (select 0 as level, grp as pos, n as total, h from sub, n union all select level + 1, pos // 2, (total + 1) // 2, sha256(string_agg(h, '' order by pos)) from high where total > 1 group by level, pos // 2, total),
+        nodes as (select grp, level, pos, h, case when total = 2 then grp else pos // 2 end as up from low where total > 1 union all select sub.grp, sub.level + high.level, high.pos, high.h, high.pos // 2 from high, sub where high.total > 1),
+        pairs as (select *, coalesce(case when pos % 2 = 1 then lag(h) over w else lead(h) over w end, '') as beside from nodes window w as (partition by grp, level order by pos)),
+        fold as (select doc_id, grp, 0::bigint as level, case when total > 1 then pos else grp end as pos, seen as h, '' as proof from p
+          union all select f.doc_id, f.grp, f.level + 1, n.up, sha256(case when f.pos % 2 = 1 then n.beside || f.h else f.h || n.beside end), f.proof || n.beside from fold f join pairs n on n.grp = f.grp and n.level = f.level and n.pos = f.pos),
+        done as (select doc_id, arg_max(h, level) as folded_root, sha256(arg_max(proof, level)) as proof_sha256 from fold group by 1)
+        select doc_id, leaf, sub.h as subroot, r.h as root, proof_sha256, folded_root, folded_root = r.h as verified from p join done using (doc_id) join sub using (grp), (select h from high where total = 1) r""",
 }
