@@ -15,7 +15,7 @@ percent of the code points; D any of ``symbols``; E the text of a smaller id.
 
 Defined cases: null text: empty (fails A; all empty texts are copies of each other).  A null id is no smaller and no larger
 than another, so such rows never fail E.  Rows that share an id are audited each; they don't make each other fail E, and a label counts for each.  Several
-labels of one id: it is good (toxic) if one says so.  Null source: the part is the empty string, as for an empty one.  Empty
+labels of one id: it is good (toxic) if one says so.  A label without an id belongs to no row.  Null source: the part is the empty string, as for an empty one.  Empty
 table: no rows.  Extra columns are ignored.
 """
 
