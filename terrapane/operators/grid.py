@@ -90,6 +90,30 @@ def land_share(points: DataFrame, boxes: DataFrame, percent: float) -> DataFrame
     return found.where(F.col("land_percent") >= percent)
 
 
+def with_grid_cell(points: DataFrame, km: float) -> DataFrame:
+    """points (lat, lon) with the grid_id of the cell they are in; no catalog of cells is needed."""
+    row, col = geo.grid_indices_of(F.col("lat"), F.col("lon"), km)
+    return points.withColumn("row_", row).withColumn("col_", col).withColumn("grid_id", geo.grid_name(F.col("row_"), F.col("col_"))).drop("row_", "col_")
+
+
+def grid_points_in_boxes(boxes: DataFrame, km: float) -> DataFrame:
+    """The points of the global grid in each box (lon_min, lat_min, lon_max, lat_max, edges included): columns of the box, grid_id, lat, lon.
+
+    Rows and columns of a box are counted off from its edges; nothing outside is made.  A box from 170 to -170 goes across the date line.
+    """
+    n = geo.grid_rows(km)
+    edge = lambda c, f, size: f(F.col(c) * size / 360.0).cast("long")
+    south, north = F.greatest(F.lit(-(n // 2)), F.ceil(F.col("lat_min") * n / 180.0 - 1e-9)), F.least(F.lit(n - n // 2 - 1), F.floor(F.col("lat_max") * n / 180.0 + 1e-9))
+    rows = boxes.where(south <= north).withColumn("row_", F.explode(F.sequence(south.cast("long"), north.cast("long")))).withColumn("m_", geo.grid_columns(F.col("row_"), km))
+    first, last = -F.floor(F.col("m_") / 2), F.col("m_") - F.floor(F.col("m_") / 2) - 1
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    west, east = F.greatest(first, edge("lon_min", F.ceil, F.col("m_"))), F.least(last, edge("lon_max", F.floor, F.col("m_")))
+    cols = F.when(F.col("lon_min") <= F.col("lon_max"), span(west, east)).otherwise(F.concat(span(west, last), span(first, east)))
+    cells = rows.withColumn("col_", F.explode(cols))
+    lat, lon = geo.grid_point(F.col("row_"), F.col("col_"), km)
+    return cells.select(*boxes.columns, geo.grid_name(F.col("row_"), F.col("col_")).alias("grid_id"), lat.alias("lat"), lon.alias("lon"))
+
+
 def extract_windows(pixels: DataFrame, centres: DataFrame, tile: Sequence[str], half: int, size: int, most_null: float = 0.1, value: str = "v") -> DataFrame:
     """Square windows of tiles: centres (tile columns, cell_id, row, col) joined with pixels (tile columns, r, c, value) by tile and place.
 
@@ -104,6 +128,41 @@ def extract_windows(pixels: DataFrame, centres: DataFrame, tile: Sequence[str],
     return rows.join(good.select("cell_id"), "cell_id", "left_semi")
 
 
+def blocked(tiles: DataFrame, tile: Sequence[str], size: int, block: int, value: str = "data") -> DataFrame:
+    """Square tiles (tile columns, value: size * size numbers, row by row) as square blocks: tile columns, br, bc, data."""
+    if size % block:
+        raise ValueError(f"a tile of {size} is not a whole number of blocks of {block}")
+    n = size // block
+    places = tiles.select(*tile, F.col(value).alias("tile_"), F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("place_"))
+    br, bc = F.floor(F.col("place_") / n).cast("int"), (F.col("place_") % n).cast("int")
+    lines = F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda k: F.slice("tile_", (br * block + k) * size + bc * block + 1, F.lit(block)))
+    return places.select(*tile, br.alias("br"), bc.alias("bc"), F.flatten(lines).alias("data"))
+
+
+def extract_block_windows(blocks: DataFrame, centres: DataFrame, tile: Sequence[str], half: int, size: int, block: int, most_null: float = 0.1) -> DataFrame:
+    """Square windows of blocked tiles: cell_id, data (2 half x 2 half numbers, row by row), around centres (tile columns, cell_id, row, col).
+
+    Windows that leave the size x size tile are rejected, and those with a larger share of nulls than most_null.  A window is joined with
+    the blocks that it touches, (2 half / block + 1) squared at most, and put together from slices of their lines; pixels are never rows.
+    """
+    wide = 2 * half
+    fits = (F.col("row") >= half) & (F.col("col") >= half) & (F.col("row") + half <= size) & (F.col("col") + half <= size)
+    top, left = F.col("row") - half, F.col("col") - half
+    touched = lambda at: F.sequence(F.floor(at / block).cast("int"), F.floor((at + wide - 1) / block).cast("int"))
+    wanted = centres.where(fits).select("cell_id", *tile, top.alias("top_"), left.alias("left_"), F.explode(touched(top)).alias("br")).withColumn("bc", F.explode(touched(F.col("left_"))))
+    # The part of the block that is in the window: lines r0 .. r1 - 1 and, in each, places c0 .. c1 - 1.
+    edge = lambda at, b, f, over: f(F.lit(over), at + (wide if over else 0) - F.col(b) * block)
+    r0, r1, c0, c1 = edge(F.col("top_"), "br", F.greatest, 0), edge(F.col("top_"), "br", F.least, block), edge(F.col("left_"), "bc", F.greatest, 0), edge(F.col("left_"), "bc", F.least, block)
+    lines = F.transform(F.sequence(r0, r1 - 1), lambda k: F.slice("data", k * block + c0 + 1, c1 - c0))
+    parts = wanted.join(blocks, [*tile, "br", "bc"]).select("cell_id", *tile, "br", "bc", lines.alias("lines"))
+    held = parts.groupBy("cell_id", *tile).agg(F.sort_array(F.collect_list(F.struct("br", "bc", "lines"))).alias("parts_"))
+    # Blocks of a row of blocks side by side: the k-th lines of all of them, from west to east, make a line of the window.
+    bands = F.transform(F.array_distinct(F.transform("parts_", lambda p: p["br"])), lambda b: F.filter("parts_", lambda p: p["br"] == b))
+    band = lambda ps: F.flatten(F.transform(F.sequence(F.lit(0), F.size(F.get(ps, 0)["lines"]) - 1), lambda k: F.flatten(F.transform(ps, lambda p: F.get(p["lines"], k)))))
+    made = held.select("cell_id", F.flatten(F.transform(bands, band)).alias("data"))
+    return made.where(F.size(F.filter("data", lambda v: v.isNull())) <= most_null * F.size("data"))
+
+
 def gated(rows: DataFrame, key: Sequence[str], value: str, most_null: float) -> DataFrame:
     """key, null_share of the groups that pass the null gate."""
     return rows.groupBy(*key).agg(F.avg(F.col(value).isNull().cast("int")).alias("null_share")).where(F.col("null_share") <= most_null)

@@ -47,26 +47,17 @@ def bilinear(points: DataFrame, raster: DataFrame, key: Sequence[str], point_id:
     return points.select(*key, point_id).join(found, [*key, point_id], "left").withColumn(value, F.coalesce(value, F.lit(outside)) if outside is not None else F.col(value))
 
 
-def _forward(kind: str, lat: Column, lon: Column) -> tuple[Column, Column]:
-    return {"degrees": lambda: (lon, lat), "sinusoidal": lambda: geo.sinusoidal(lat, lon), "equal_area": lambda: geo.equal_area(lat, lon), "azimuthal": lambda: geo.azimuthal(lat, lon, F.col("lat0"), F.col("lon0"))}[kind]()
-
-
-def _inverse(kind: str, x: Column, y: Column) -> tuple[Column, Column]:
-    return {"degrees": lambda: (y, x), "sinusoidal": lambda: geo.sinusoidal_inverse(x, y), "equal_area": lambda: geo.equal_area_inverse(x, y), "azimuthal": lambda: geo.azimuthal_inverse(x, y, F.col("lat0"), F.col("lon0"))}[kind]()
-
-
 def reprojected(raster: DataFrame, frames: DataFrame, key: Sequence[str], source: str, target: str, shape: tuple[int, int], step: float, source_shape: tuple[int, int], source_step: float, method: str = "bilinear", value: str = "v") -> DataFrame:
     """Rasters (key, r, c, value) of one projection on a grid of another: key, r, c, lat, lon, value; null outside the raster and beside nulls.
 
     frames: key, west, north (the target grid's corner in its projection), source_west, source_north, and lat0, lon0 where a projection is
-    ``azimuthal``.  Projections: degrees, sinusoidal, equal_area, azimuthal.  Each target pixel's centre is taken back to the source (inverse map), then
+    ``azimuthal``, epsg where one is ``utm``.  Projections: degrees, sinusoidal, equal_area, azimuthal, utm.  Each target pixel's centre is taken back to the source (inverse map), then
     its nearest pixel or four neighbours are joined by place.
     """
     grid = frames.withColumn("point_id", F.explode(F.sequence(F.lit(0), F.lit(shape[0] * shape[1] - 1)))).withColumn("tr", F.floor(F.col("point_id") / shape[1]).cast("int")).withColumn("tc", (F.col("point_id") % shape[1]).cast("int"))
-    lat, lon = _inverse(target, F.col("west") + (F.col("tc") + 0.5) * step, F.col("north") - (F.col("tr") + 0.5) * step)
-    grid = grid.withColumn("lat", lat).withColumn("lon", lon)
-    x, y = _forward(source, F.col("lat"), F.col("lon"))
-    grid = grid.withColumn("fr", (F.col("source_north") - y) / source_step - 0.5).withColumn("fc", (x - F.col("source_west")) / source_step - 0.5)
+    grid = geo.unprojected(grid, target, F.col("west") + (F.col("tc") + 0.5) * step, F.col("north") - (F.col("tr") + 0.5) * step)
+    grid = geo.projected(grid, source, F.col("lat"), F.col("lon"))
+    grid = grid.withColumn("fr", (F.col("source_north") - F.col("y")) / source_step - 0.5).withColumn("fc", (F.col("x") - F.col("source_west")) / source_step - 0.5)
     points = grid.select(*key, "point_id", F.col("tr").alias("r"), F.col("tc").alias("c"), "lat", "lon", "fr", "fc")
     if method == "nearest":
         near = points.withColumn("tr", F.col("r")).withColumn("tc", F.col("c")).withColumn("r", F.floor(F.col("fr") + 0.5).cast("int")).withColumn("c", F.floor(F.col("fc") + 0.5).cast("int"))
@@ -84,6 +75,23 @@ def clipped(pixels: DataFrame, key: Sequence[str], box: tuple[float, float, floa
     return pixels.join(kept, list(key), "left").where(inside | F.col("clip_").isNull()).drop("clip_")
 
 
+def clipped_to_boxes(pixels: DataFrame, frames: DataFrame, key: Sequence[str], target: str, step: float) -> DataFrame:
+    """The pixels (key, r, c, lat, lon, ...) of rasters in a projection that touch the box of their frame, which is projected first.
+
+    frames: key, lon_min, lat_min, lon_max, lat_max in degrees (two corners are projected), west and north of the raster, and lat0, lon0 or epsg as in
+    ``reprojected``.  A pixel touches the box if its centre is at most half a step outside.  Rasters that would keep one row or
+    column at most are not clipped; those without a box keep all their pixels.
+    """
+    boxes = geo.projected(frames, target, F.col("lat_min"), F.col("lon_min"), "x0_", "y0_")
+    boxes = geo.projected(boxes, target, F.col("lat_max"), F.col("lon_max"), "x1_", "y1_").select(*key, F.col("west").alias("west_"), F.col("north").alias("north_"), "x0_", "y0_", "x1_", "y1_")
+    x, y = F.col("west_") + (F.col("c") + 0.5) * step, F.col("north_") - (F.col("r") + 0.5) * step
+    inside = F.coalesce(x.between(F.col("x0_") - step / 2, F.col("x1_") + step / 2) & y.between(F.col("y0_") - step / 2, F.col("y1_") + step / 2), F.lit(True))
+    # A box of axes keeps whole rows and columns, so it keeps one of either at most, or none, if its rows or columns are no more.
+    marked = pixels.join(boxes, list(key)).withColumn("in_", inside)
+    kept = marked.where("in_").groupBy(*key).agg((F.min("r") < F.max("r")).alias("rows_"), (F.min("c") < F.max("c")).alias("cols_")).where("rows_ and cols_").select(*key, F.lit(True).alias("clip_"))
+    return marked.join(kept, list(key), "left").where(F.col("in_") | F.col("clip_").isNull()).select(pixels.columns)
+
+
 def of_shape(pixels: DataFrame, key: Sequence[str], rows: int, cols: int) -> DataFrame:
     """The same pixels; a raster of another shape is an error when it is read."""
     n = pixels.groupBy(*key).agg(F.count("*").alias("n_"), (F.max("r") + 1).alias("rows_"), (F.max("c") + 1).alias("cols_"))
@@ -166,12 +174,11 @@ def lookup_tiles(points: DataFrame, tiles: DataFrame, pixels_per_tile: int, size
 
 
 def azimuthal_centres(cells: DataFrame, n: int, metres: float) -> DataFrame:
-    """The n x n pixel centres of a patch around each cell (row 0 north): cell columns, r, c, lat, lon."""
+    """The n x n pixel centres of a patch around each cell (row 0 north), on WGS84: cell columns, r, c, lat, lon."""
     cell = [c for c in cells.columns if c not in ("lat", "lon")]
     grid = cells.select(*cell, F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("place_"))
-    r, c = F.floor(F.col("place_") / n).cast("int"), (F.col("place_") % n).cast("int")
-    lat, lon = geo.azimuthal_inverse((c - n / 2 + 0.5) * metres, (n / 2 - r - 0.5) * metres, F.col("lat0"), F.col("lon0"))
-    return grid.select(*cell, r.alias("r"), c.alias("c"), lat.alias("lat"), lon.alias("lon"))
+    grid = grid.withColumns({"r": F.floor(F.col("place_") / n).cast("int"), "c": (F.col("place_") % n).cast("int")})
+    return geo.unprojected(grid, "azimuthal", (F.col("c") - n / 2 + 0.5) * metres, (n / 2 - F.col("r") - 0.5) * metres).select(*cell, "r", "c", "lat", "lon")
 
 
 def block_means(pixels: DataFrame, key: Sequence[str], factor: int, value: str = "v") -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import bands, geo
 from ..operators import resample, temporal
 from ..sources import training
 from .registry import query, r6
+from .spatial import on_ellipsoid
 from .timeline import _GAP, flagged
 
 C = F.col
@@ -107,8 +108,20 @@ _TO_SINUSOIDAL = f"(sy + 4000.0 - {_R}*radians(lat)) / 1000.0 - 0.5 as fr, ({_R}
 _BETA = " + ".join(["b", *(f"{k!r}*sin({n}*b)" for k, n in zip(geo.CEA_SERIES, (2, 4, 6), strict=True))])
 _EQUAL_AREA = f"""with f as (select *, sin(radians(lat0)) as s from ({_FRAMES})), g as (select *, {geo.AXIS * geo.CEA_SCALE!r}*radians(lon0) - 3000.0 + (k % 6 + 0.5) * 1000.0 as x, {geo.AXIS / 2 / geo.CEA_SCALE!r}*({_Q}) + 3000.0 - (k // 6 + 0.5) * 1000.0 as y, cast(k // 6 as int) as r, cast(k % 6 as int) as c from f cross join {_GRID6}),
  h as (select *, asin(2*y*{geo.CEA_SCALE!r}/{geo.AXIS * geo.CEA_POLE!r}) as b, degrees(x/{geo.AXIS * geo.CEA_SCALE!r}) as lon from g), i as (select *, degrees({_BETA}) as lat from h), p as (select patch_id, r, c, lat, lon, {_TO_SINUSOIDAL} from i)"""
-_AZIMUTHAL = f"""with f as ({_FRAMES}), g as (select *, (k % 6 - 3 + 0.5) * 1000.0 as x, (3 - k // 6 - 0.5) * 1000.0 as y, radians(lat0) as p0, cast(k // 6 as int) as r, cast(k % 6 as int) as c from f cross join {_GRID6}), h as (select *, sqrt(x*x+y*y) as rho, sqrt(x*x+y*y)/{_R} as cc from g),
- i as (select *, degrees(asin(cos(cc)*sin(p0) + y*sin(cc)*cos(p0)/rho)) as lat, degrees(radians(lon0) + atan2(x*sin(cc), rho*cos(p0)*cos(cc) - y*sin(p0)*sin(cc))) as lon from h), p as (select patch_id, r, c, lat, lon, {_TO_SINUSOIDAL} from i)"""
+_AZIMUTHAL = f"""with f as ({_FRAMES}), g as (select *, (k % 6 - 3 + 0.5) * 1000.0 as x, (3 - k // 6 - 0.5) * 1000.0 as y, cast(k // 6 as int) as r, cast(k % 6 as int) as c from f cross join {_GRID6}),
+ i as ({on_ellipsoid("select * from g", "patch_id, r, c, sx, sy")}), p as (select patch_id, r, c, lat, lon, {_TO_SINUSOIDAL} from i)"""
+_sines = lambda at, factors, by="", f="sin": " + ".join(f"({k!r})*{f}({2 * j}*{at})" + (f"*{by[0]}({2 * j}*{by[1]})" if by else "") for j, k in enumerate(factors, 1))
+_UTM_XY = f"""select *, 500000 + {geo.UTM_RADIUS!r}*(eta + {_sines("xi", geo.KRUEGER, ("sinh", "eta"), "cos")}) as x, south + {geo.UTM_RADIUS!r}*(xi + {_sines("xi", geo.KRUEGER, ("cosh", "eta"))}) as y
+ from (select *, atan2(t, cos(turn)) as xi, asinh(sin(turn)/sqrt(t*t + cos(turn)*cos(turn))) as eta from (select *, sinh(atanh(s) - {geo._ECC!r}*atanh({geo._ECC!r}*s)) as t from (select *, sin(radians(lat)) as s, radians(lon - middle) as turn from"""
+_UTM_END = ")))"
+_UTM = f"""with z as (select *, cast(trunc((lon0 + 180) / 6) as int) * 6 - 177.0::double as middle, case when lat0 >= 0 then 0.0 else 10000000.0 end::double as south from ({_FRAMES})),
+ corner as (select patch_id, which, x, y from ({_UTM_XY} (select patch_id, middle, south, k as which, lat0 + (k - 1) * 0.02 as lat, lon0 + (k - 1) * 0.02 as lon from z cross join (select unnest([0, 1, 2]) as k)) {_UTM_END})),
+ f as (select z.*, a.x0, a.y0, b.x1, b.y1, m.mx - 3000.0 as west, m.my + 3000.0 as north from z join (select patch_id, x as x0, y as y0 from corner where which = 0) a using (patch_id) join (select patch_id, x as x1, y as y1 from corner where which = 2) b using (patch_id) join (select patch_id, x as mx, y as my from corner where which = 1) m using (patch_id)),
+ g as (select *, cast(k // 6 as int) as r, cast(k % 6 as int) as c, west + (k % 6 + 0.5) * 1000.0 as x, north - (k // 6 + 0.5) * 1000.0 as y from f cross join {_GRID6}), h as (select *, (y - south)/{geo.UTM_RADIUS!r} as n, (x - 500000)/{geo.UTM_RADIUS!r} as e from g),
+ i as (select *, n - ({_sines("n", geo.KRUEGER_INVERSE, ("cosh", "e"))}) as xi, e - ({_sines("n", geo.KRUEGER_INVERSE, ("sinh", "e"), "cos")}) as eta from h), j as (select *, asin(sin(xi)/cosh(eta)) as chi from i),
+ l as (select *, degrees(chi + {_sines("chi", geo.CONFORMAL)}) as lat, middle + degrees(atan2(sinh(eta), cos(xi))) as lon, x between x0 - 500 and x1 + 500 and y between y0 - 500 and y1 + 500 as inside from j),
+ o as (select *, max(case when inside then r end) over w > min(case when inside then r end) over w and max(case when inside then c end) over w > min(case when inside then c end) over w as clips from l window w as (partition by patch_id)),
+ p as (select patch_id, r, c, lat, lon, {_TO_SINUSOIDAL} from o where inside or not coalesce(clips, false))"""
 _FROM_EQUAL_AREA = f"""with f as (select *, sin(radians(lat0)) as s from ({_FRAMES})), e as (select *, {geo.AXIS * geo.CEA_SCALE!r}*radians(lon0) - 4000.0 as ex, {geo.AXIS / 2 / geo.CEA_SCALE!r}*({_Q}) + 4000.0 as ey from f),
  g as (select patch_id, ex, ey, cast(k // 6 as int) as r, cast(k % 6 as int) as c, lon0 - 0.03 + (k % 6 + 0.5) * 0.01 as lon, lat0 + 0.03 - (k // 6 + 0.5) * 0.01 as lat from e cross join {_GRID6}), h as (select *, sin(radians(lat)) as s from g),
  p as (select patch_id, r, c, lat, lon, (ey - {geo.AXIS / 2 / geo.CEA_SCALE!r}*({_Q})) / 1000.0 - 0.5 as fr, ({geo.AXIS * geo.CEA_SCALE!r}*radians(lon) - ex) / 1000.0 - 0.5 as fc from h)"""
@@ -142,6 +155,16 @@ def g14c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(resample.clipped(out, ["patch_id"], (-60.0, 0.0, 60.0, 60.0)))
 
 
+@query("g14_reproject_utm", _sampled(_UTM, "bilinear"))
+def g14u(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sinusoidal patches on the grid of the UTM zone of their cell, clipped to the cell's box, which is projected first."""
+    frames = _frames(spark, sf_dir).drop("west", "north").withColumn("epsg", geo.utm_epsg(C("lat0"), C("lon0")))
+    frames = geo.projected(frames, "utm", C("lat0"), C("lon0")).withColumns({"west": C("x") - 3000.0, "north": C("y") + 3000.0}).drop("x", "y")
+    frames = frames.withColumns({"lon_min": C("lon0") - 0.02, "lat_min": C("lat0") - 0.02, "lon_max": C("lon0") + 0.02, "lat_max": C("lat0") + 0.02})
+    out = resample.reprojected(_valid(spark, sf_dir), frames, ["patch_id"], "sinusoidal", "utm", (6, 6), 1000.0, (8, 8), 1000.0)
+    return _rounded(resample.clipped_to_boxes(out, frames, ["patch_id"], "utm", 1000.0))
+
+
 @query("g15_regrid", _sampled(_FROM_EQUAL_AREA, "bilinear"))
 def g15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal-area patches on a grid of degrees; null where a neighbour is."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..functions import bits
+from ..functions import bits, geo
 from ..operators import aggregate, grid, morphology, resample
 from .registry import query, r6
 from .relational import _BOXES, _boxes
@@ -23,6 +23,13 @@ def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(spark).select("box_id", *[r6(C(c)).alias(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")])
 
 
+_REGION_BOXES = "select region_key, min(lon) as lon_min, min(lat) as lat_min, max(lon) as lon_max, max(lat) as lat_max from f_cells group by 1"
+
+
+def _region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.cells(spark, sf_dir).groupBy("region_key").agg(*[f(c).alias(f"{c}_{e}") for e, f in (("min", F.min), ("max", F.max)) for c in ("lon", "lat")])
+
+
 _D = "(cast(50000 as double) * 7 / 111320.0)"
 
 
@@ -51,20 +58,53 @@ def g04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.cells(spark, sf_dir).select("cell_id", F.greatest(F.lit(0), 5120 - spacing).alias("overlap"), F.greatest(F.lit(0), spacing - 5120).alias("gap"))
 
 
+_KM = 400.0
+_ROWS = "cast(ceil(pi() * 6378.137 / 400.0) as bigint)"
+_COLS = "cast(ceil(2 * pi() * 6378.137 * cos(radians(lat)) / 400.0) as bigint)"
+_ROW_LINES = f"select i, i * 180.0::double / n as lat from (select {_ROWS} as n, unnest(range(-({_ROWS} // 2), {_ROWS} - {_ROWS} // 2)) as i)"
+_POINTS = f"""select i, j, case when i < 0 then -i || 'D' else i || 'U' end || '_' || case when j < 0 then -j || 'L' else j || 'R' end as grid_id, lat, j * 360.0::double / m as lon, m
+ from (select i, lat, m, unnest(range(-(m // 2), m - m // 2)) as j from (select *, {_COLS} as m from ({_ROW_LINES})))"""
+
+
+@query("g04_global_grid", f"with b as ({_REGION_BOXES}), p as materialized ({_POINTS}) select region_key, grid_id, round(lat, 6) as lat, round(lon, 6) as lon from p join b on lat between lat_min and lat_max and lon between lon_min and lon_max")
+def g04g(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the grid of 400 km in the box of each region."""
+    found = grid.grid_points_in_boxes(_region_boxes(spark, sf_dir), _KM)
+    return found.select("region_key", "grid_id", r6(C("lat")).alias("lat"), r6(C("lon")).alias("lon"))
+
+
+@query(
+    "g04_cell_of_point",
+    f"""with p as materialized ({_POINTS}), r as materialized (select i, lat as south, lead(lat, 1, 91) over (order by i) as north from ({_ROW_LINES})), c as (select cell_id, f.lat, f.lon, r.i from f_cells f join r on f.lat >= south and f.lat < north),
+ q as (select p.*, 360.0::double / m as width, row_number() over (partition by cell_id order by p.lon desc) as k, cell_id, c.lat as y, c.lon as x from c join p on p.i = c.i and (p.lon <= c.lon or p.j = m - m // 2 - 1) and (p.lon > c.lon - 2 * 360.0::double / m or p.j = m - m // 2 - 1)),
+ s as (select *, case when lon <= x and x < lon + width then 0 when j = m - m // 2 - 1 and x + 360 >= lon then 1 end as how from q) select cell_id, grid_id, round(lat, 6) as lat, round(lon, 6) as lon from s where how is not null qualify row_number() over (partition by cell_id order by how) = 1""",
+)
+def g04c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell that each point is in, by arithmetic alone, and the cell's own point from its id."""
+    cells = grid.with_grid_cell(fixtures.cells(spark, sf_dir).select("cell_id", "lat", "lon"), _KM)
+    lat, lon = geo.grid_point(*geo.grid_indices(C("grid_id")), _KM)
+    return cells.select("cell_id", "grid_id", r6(lat).alias("lat"), r6(lon).alias("lon"))
+
+
+_WINDOWS = "select patch_id * 3 + k as cell_id, patch_id, cast((patch_id + 3 * k) % 8 as int) as row, cast((patch_id // 8 + 2 * k) % 8 as int) as col from (select vec_id as patch_id, unnest([0, 1, 2]) as k from embeddings)"
 _V = "case when v < -0.12 then null else v end"
 
 
 @query(
     "g05_patch_extract",
-    f"""with c as (select cell_id, cell_id % 499 as patch_id, cast(cell_id % 8 as int) as row, cast((cell_id // 8) % 8 as int) as col from f_cells), w as (select c.cell_id, p.r - c.row + 2 as pr, p.c - c.col + 2 as pc, {_V} as v
+    f"""with c as ({_WINDOWS}), w as (select c.cell_id, p.r - c.row + 2 as pr, p.c - c.col + 2 as pc, {_V} as v
  from c join f_patch p on p.patch_id = c.patch_id and p.r between c.row - 2 and c.row + 1 and p.c between c.col - 2 and c.col + 1 where c.row >= 2 and c.col >= 2 and c.row + 2 <= 8 and c.col + 2 <= 8),
  ok as (select cell_id from w group by 1 having avg(case when v is null then 1.0 else 0.0 end) <= 0.1) select cell_id, pr, pc, round(v,6) as v from w join ok using (cell_id)""",
 )
 def g05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = C("cell_id")
-    centres = fixtures.cells(spark, sf_dir).select("cell_id", (k % 499).alias("patch_id"), (k % 8).cast("int").alias("row"), (F.floor(k / 8) % 8).cast("int").alias("col"))
-    pixels = patch(spark, sf_dir).withColumn("v", F.when(C("v") >= -0.12, C("v")))
-    return grid.extract_windows(pixels, centres, ["patch_id"], 2, 8).withColumn("v", r6(C("v")))
+    """Three windows of 4 x 4 in each tile of 8 x 8, which is stored as four blocks."""
+    k, p = C("k"), C("patch_id")
+    ids = fixtures.table(spark, sf_dir, "embeddings").select(C("vec_id").alias("patch_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    centres = ids.select((p * 3 + k).alias("cell_id"), "patch_id", ((p + 3 * k) % 8).cast("int").alias("row"), ((F.floor(p / 8) + 2 * k) % 8).cast("int").alias("col"))
+    tiles = fixtures.table(spark, sf_dir, "embeddings").select(C("vec_id").alias("patch_id"), F.transform("embedding", lambda v: F.when(v.cast("double") >= -0.12, v.cast("double"))).alias("data"))
+    windows = grid.extract_block_windows(grid.blocked(tiles, ["patch_id"], 8, 4), centres, ["patch_id"], 2, 8, 4)
+    place = windows.select("cell_id", F.posexplode("data").alias("place", "v"))
+    return place.select("cell_id", F.floor(C("place") / 4).cast("int").alias("pr"), (C("place") % 4).alias("pc"), r6(C("v")).alias("v"))
 
 
 _XYZ = "6371007.181*cos(radians(lat))*cos(radians(lon)) as x, 6371007.181*cos(radians(lat))*sin(radians(lon)) as y, 6371007.181*sin(radians(lat)) as z"
@@ -206,8 +246,29 @@ def g18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bilinear(_points(spark, sf_dir), patch(spark, sf_dir), ["patch_id"], "point_id", 8, 8).withColumn("v", r6(C("v")))
 
 
-_CENTRES = """select cell_id, r, c, degrees(asin(cos(cc)*sin(p0) + y*sin(cc)*cos(p0)/rho)) as lat, degrees(radians(lon0) + atan2(x*sin(cc), rho*cos(p0)*cos(cc) - y*sin(p0)*sin(cc))) as lon from (select *, sqrt(x*x+y*y) as rho, sqrt(x*x+y*y)/6371007.181 as cc, radians(lat0) as p0 from
- (select cell_id, lat as lat0, lon as lon0, k // 4 as r, k % 4 as c, ((k % 4) - 2 + 0.5) * 500.0 as x, (2 - (k // 4) - 0.5) * 500.0 as y from f_cells cross join (select unnest(range(16)) as k)))"""
+_B, _FL, _E2 = geo._POLAR, geo._FLAT, geo.ECC2
+_N3 = _FL / (2 - _FL)
+
+
+def on_ellipsoid(rows: str, keep: str) -> str:
+    """SQL: the latitude and longitude of points (x, y) around (lat0, lon0) in the azimuthal equidistant projection of WGS84."""
+    wave = lambda at, *k: " + ".join(f"({c})*sin({2 * j}*{at})" for j, c in enumerate(k, 1))
+    c3 = (f"({0.25 - _N3 / 4!r})*e + e*e/8", f"({1 / 16 - 3 * _N3 / 32!r})*e*e")
+    for step in (
+        f"*, atan2(x, y) as az, sqrt(x*x+y*y) as far, atan2({1 - _FL!r}*sin(radians(lat0)), cos(radians(lat0))) as b1",
+        "*, sin(az)*cos(b1) as s0, sqrt(cos(az)*cos(az) + sin(az)*sin(az)*sin(b1)*sin(b1)) as c0, atan2(sin(b1), cos(az)*cos(b1)) as g1",
+        f"*, {_E2 / (1 - _E2)!r}*c0*c0 as k2",
+        "*, k2/(2*(1+sqrt(1+k2))+k2) as e",
+        f"*, far/{_B!r}*(1-e)/(1+e*e/4) + g1 + {wave('g1', '-e/2 + 3*e*e*e/16', '-e*e/16', '-e*e*e/48')} as tau",
+        f"*, tau + {wave('tau', 'e/2 - 9*e*e*e/32', '5*e*e/16', '29*e*e*e/96')} as g2",
+        f"*, atan2(s0*sin(g2), cos(g2)) - atan2(s0*sin(g1), cos(g1)) - {_FL!r}*s0*(1 - {0.5 - _N3 / 2!r}*e - {0.25 + _N3 / 8!r}*e*e)*(g2 - g1 + {wave('g2', *c3)} - ({wave('g1', *c3)})) as turn",
+        f"{keep}, degrees(atan2(c0*sin(g2), {1 - _FL!r}*sqrt(c0*c0*cos(g2)*cos(g2) + s0*s0))) as lat, lon0 + degrees(atan2(sin(turn), cos(turn))) as lon",
+    ):
+        rows = f"select {step} from ({rows})"
+    return rows
+
+
+_CENTRES = on_ellipsoid("select cell_id, lat as lat0, lon as lon0, k // 4 as r, k % 4 as c, ((k % 4) - 2 + 0.5) * 500.0 as x, (2 - (k // 4) - 0.5) * 500.0 as y from f_cells cross join (select unnest(range(16)) as k)", "cell_id, r, c")
 
 
 def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,8 +296,6 @@ def g17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g20_patch_origin", f"select cell_id, cast(trunc((10007555 - v*1111950 - y)/(cast(1111950 as double)/4800)) as int) - 256 as row0, cast(trunc((x + 20015109 - h*1111950)/(cast(1111950 as double)/4800)) as int) - 256 as col0 from (select cell_id, 6371007.181*radians(lon)*cos(radians(lat)) as x, 6371007.181*radians(lat) as y, {_HV} from f_cells)")
 def g20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import geo
-
     x, y = geo.sinusoidal(C("lat"), C("lon"))
     row, col = geo.tile_pixel(x, y, C("h"), C("v"))
     return grid.with_tiles(fixtures.cells(spark, sf_dir)).select("cell_id", (row - 256).alias("row0"), (col - 256).alias("col0"))
