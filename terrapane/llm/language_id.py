@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -201,22 +201,26 @@ def model_of(key: str, texts: dict[str, list[str]]) -> Model:
 
 
 def sample(docs: DataFrame, lang_col: str, id_col: str = "doc_id", text_col: str = "text", docs_each: int = TRAIN_DOCS) -> dict[str, list[str]]:
-    """About docs_each labelled texts a language, chosen by a hash of the id; DOC_CHARS from the middle of each, TRAIN_CHARS a language at most.
+    """About docs_each labelled texts a language, chosen by a hash of id and text; DOC_CHARS from the middle of each, TRAIN_CHARS a language at most.
 
-    These bounds concern only the fitting of the classifier.  The rows of a language are counted first (a scan of one column), so that
-    the share that is drawn fits the language.  More than LABELS languages are an error.
+    These bounds concern only the fitting of the classifier.  The different rows of a language are counted first (about), so that
+    the share that is drawn fits the language; repeated rows are drawn once, and at most 4 * docs_each of a language reach the driver.  More than LABELS
+    languages are an error.
     """
     rows = shared.texts(docs, id_col, text_col, lang_col).withColumnRenamed(lang_col, "label").where(F.col("label").isNotNull())
-    count = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(LABELS + 1).collect()}
+    drawn = F.xxhash64("id", "text", F.lit(7))
+    count = {r["label"]: max(1, r["n"]) for r in rows.groupBy("label").agg(F.approx_count_distinct(drawn).alias("n")).limit(LABELS + 1).collect()}
     if len(count) > LABELS:
         raise ValueError(f"more than {LABELS} languages are labelled")
     if not count:
         return {}
-    draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40))
+    draw = F.pmod(drawn, F.lit(1 << 40))
     limit = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, min(1 << 40, int((1 << 40) * 2 * docs_each / n)))])
     picked = rows.where(draw < limit[F.col("label")]).where(F.col("text").rlike(r"\p{L}"))
     start = F.greatest(F.lit(1), F.floor((F.length("text") - DOC_CHARS) / 2) + 1).cast("int")
-    got = picked.select("label", draw.alias("draw"), F.substr("text", start, F.lit(DOC_CHARS)).alias("text")).collect()
+    once = picked.select("label", draw.alias("draw"), F.substr("text", start, F.lit(DOC_CHARS)).alias("text")).distinct()
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "text"))
+    got = once.withColumn("place", place).where(F.col("place") <= 4 * docs_each).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r["draw"], r["text"])):
         mine = out.setdefault(r["label"], [])

@@ -334,8 +334,8 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(_U).ravel().cumsum(dtype=_U)
 
 
-def bigram_shards(rows: DataFrame, folder: str, vocabulary: Vocabulary, shards: int, splits: np.ndarray) -> None:
-    """Counts the training bigrams and writes the second level; splits: the first packed bigram of each shard but the first."""
+def bigram_shards(rows: DataFrame, folder: str, vocabulary: Vocabulary, shards: int, splits: np.ndarray) -> frozenset[int]:
+    """Counts the training bigrams and writes the second level; the shards that have any.  splits: the first packed bigram of each shard but the first."""
     import zlib
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +369,8 @@ def bigram_shards(rows: DataFrame, folder: str, vocabulary: Vocabulary, shards:
         write_file(f"{folder}/pairs-{key[0].as_py()}", SuccessorShard.arrays(h, w, n / (total[back] + MASS), int(vocabulary.base[-1])))
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "size": pa.array([len(pair)], pa.int64())})
 
-    rows.mapInArrow(count, "shard int, pairs binary, counts binary").groupBy("shard").applyInArrow(merge, "shard int, size long").agg(F.sum("size")).collect()
+    made = rows.mapInArrow(count, "shard int, pairs binary, counts binary").groupBy("shard").applyInArrow(merge, "shard int, size long")
+    return frozenset(r["shard"] for r in made.collect())
 
 
 def context_counts(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
@@ -403,8 +404,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     if distinct >= 1 << 32:
         raise ValueError("more words than the 32 bits of an id in a packed bigram can tell apart")
     splits = even_splits(vocabulary, total, shards)
-    if total:
-        bigram_shards(shared.texts(training, id_col, text_col), folder, vocabulary, shards, splits)
+    written = bigram_shards(shared.texts(training, id_col, text_col), folder, vocabulary, shards, splits) if total else frozenset()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = math.log10(total + 0.5 * (distinct + 1)) if total else math.log10(0.5)
@@ -420,9 +420,9 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 kept = np.zeros(len(uniq))
                 cut = np.concatenate(([0], np.searchsorted(uniq, splits), [len(uniq)]))
                 for s in np.flatnonzero(np.diff(cut)):
-                    if os.path.exists(path := f"{folder}/pairs-{s}"):
+                    if int(s) in written:  # a file that was written and is gone is an error
                         mine = uniq[cut[s] : cut[s + 1]]
-                        kept[cut[s] : cut[s + 1]] = successor_shard(path).lookup((mine >> _U(32)).astype(np.int64), (mine & _U(0xFFFFFFFF)).astype(np.int64), distinct)
+                        kept[cut[s] : cut[s + 1]] = successor_shard(f"{folder}/pairs-{s}").lookup((mine >> _U(32)).astype(np.int64), (mine & _U(0xFFFFFFFF)).astype(np.int64), distinct)
                 p = CODES[quantised(MASS / (context + MASS))] * 10.0**base
                 p[known] += kept[at]
                 cells = [np.add.reduceat(x, off[:-1]) for x in (base, np.log10(np.minimum(p, 1.0)), (count > 0).astype(np.int64))]

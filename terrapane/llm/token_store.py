@@ -15,7 +15,7 @@ such runs (a bounded memo) and asks the library for those that it has not met; o
 are encoded whole.
 
 Defined cases: null or empty text: the end id alone.  Null ids come first.  Rows that share an id are next to each other, in an order fixed by
-the files; a very frequent id spans several shards.  Empty tables: no shard.  Extra columns are ignored.
+the files; a very frequent id, or many nulls, span several shards.  Empty tables: no shard.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +48,7 @@ SAMPLE = 256
 BLOCK = 1 << 22
 SHARD_BYTES = 256 << 20
 MAGIC = b"TPTOKEN1"
+NULL = -(1 << 63)
 _FOOT = struct.Struct("<8sHHqqqqqqqqq")
 _U, _ONE = np.uint64, np.uint64(1)
 
@@ -298,7 +299,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, folder: str | None = None
     rows = shared.texts(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     n = max(shared.parts(spark), -(-size // shard_bytes))
-    cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    cuts = rows.agg(F.percentile_approx(F.coalesce("id", F.lit(NULL)), [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
     cuts = np.array(cuts or [], np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,11 +307,12 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, folder: str | None = None
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = part.column(0)
-                known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+                known = ids.fill_null(NULL).to_numpy(zero_copy_only=False)
                 low, high = np.searchsorted(cuts, known, "left"), np.searchsorted(cuts, known, "right")
                 spread = (np.arange(seen, seen + len(ids), dtype=np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(33)).astype(np.int64)
                 seen += len(ids)
-                shard = np.where(ids.is_valid().to_numpy(zero_copy_only=False), low + spread % (high - low + 1), 0)
+                least = (known == NULL) & ids.is_valid().to_numpy(zero_copy_only=False)  # the least id there is comes after the nulls
+                shard = np.where(least, high, low + spread % (high - low + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(map(text_ids, part.column(1).to_pylist()), pa.binary())], names=["shard", "id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

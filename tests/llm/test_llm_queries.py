@@ -286,7 +286,7 @@ def test_empty_tables(spark, empty, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     cur = con.execute(queries.ORACLE_SQL[name])

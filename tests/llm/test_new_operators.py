@@ -6,13 +6,12 @@ import zlib
 from hashlib import sha256
 from itertools import permutations
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terrapane.llm import filter_audit, merkle, queries, token_store
+from terrapane.llm import filter_audit, language_id, merkle, ngram_lm, queries, shared, token_store
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, grp long, pos long, part int, shard int, failed int"
 ODD = [
@@ -120,6 +119,14 @@ def test_a_frequent_id_spans_shards(spark):
     assert [r["doc_id"] for r in got] == [7] * 400 + list(range(400, 600)) and got[-1]["start"] == 599 * 3
 
 
+def test_many_nulls_span_shards(spark):
+    docs = spark.range(300).select(F.when(F.col("id") == 299, -(2**63)).when(F.col("id") > 200, F.col("id")).alias("doc_id"), F.lit("same text").alias("text"))
+    shards = token_store.write_tokens(docs.repartition(3), queries.tokenizer_path(queries.TOKENIZER))
+    assert shards.where("n_docs > 150").isEmpty()
+    got = sorted(token_store.boundaries(shards).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 201 + [-(2**63)] + list(range(201, 299))
+
+
 # ---- filter audit ------------------------------------------------------------------------------------------------------
 
 
@@ -246,17 +253,29 @@ def test_empty_tables_of_the_new_operators(spark, empty):
     assert merkle.manifest(empty).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op12_filter_audit", "op13_merkle_manifest"])
-def test_queries_against_sql(spark, sf_dir, name):
-    con = duckdb.connect()
-    for t in ("documents", "labels"):
-        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
-    rel = con.sql(queries.ORACLE_SQL[name])
-    got = queries.QUERIES[name](spark, sf_dir).select(*rel.columns).collect()
-    assert sorted(map(tuple, got)) == sorted(rel.fetchall())
-
-
 def test_op11_against_the_library(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in queries.op11_token_store(spark, sf_dir).collect())
     assert got == [x[:4] for x in expected_tokens(docs)]
+
+
+# ---- mended operators --------------------------------------------------------------------------------------------------
+
+
+def test_a_lost_model_file_is_an_error(spark, odd, tmp_path, monkeypatch):
+    import glob
+    import os
+
+    monkeypatch.setattr(shared, "shared_dir", lambda s: f"file://{tmp_path}")
+    whole = ngram_lm.score(odd, odd)
+    files = glob.glob(f"{tmp_path}/terrapane-lm-*/pairs-*")
+    os.remove(max(files, key=os.path.getsize))
+    with pytest.raises(Exception, match="No such file"):
+        whole.collect()
+
+
+def test_sample_draws_rows_without_ids_and_repeated_rows_once(spark):
+    nulls = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    again = spark.range(4000).select(F.lit(7).alias("doc_id"), F.lit("le texte").alias("text"), F.lit("fr").alias("lang"))
+    got = language_id.sample(nulls.unionByName(again), "lang")
+    assert got["fr"] == ["le texte"] and len(got["en"]) > language_id.TRAIN_DOCS / 2
