@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import columns, composition, flows, relational, spatial, timeline  # noqa: F401
+from .queries import columns, composition, files, flows, relational, spatial, timeline  # noqa: F401
 from .queries.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]

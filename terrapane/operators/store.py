@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import patch_store
 
 #: A partition of the store is written by so many tasks, so a global day of a variable is not one task and one file.
 SLICES = 8
@@ -56,26 +57,8 @@ def merge_index(entries: DataFrame, path: str) -> None:
 
 
 def write_dense(rows: DataFrame, path: str, time: str, key: Sequence[str], mode: str = "append") -> None:
-    """A dense store (time, key, one column for each variable), partitioned by time.
-
-    overwrite: a new store.  append: days that are not there yet are added, those that are there stay.  variables: rows bring
-    further variables for days and keys of the store; cells that they lack are null, and the days they touch are written anew.
-    """
-    spark = rows.sparkSession
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    there = read_index(spark, path, schema) if mode == "append" else None
-    if mode == "append":
-        rows = rows.join(there.select(time).distinct(), time, "left_anti").select(rows.columns)
-    if mode == "variables":
-        old = spark.read.parquet(path)
-        touched = rows.select(time).distinct()
-        rows = old.drop(*[c for c in rows.columns if c not in (time, *key)]).join(touched, time, "left_semi").join(rows, [time, *key], "full")
-    how = "overwrite" if mode == "overwrite" else "append"
-    out = rows.repartition(time, F.pmod(F.xxhash64(*key), F.lit(SLICES))).write.option("compression", "zstd").partitionBy(time)
-    if mode == "variables":
-        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
-        out.mode(how).parquet(path)
+    """A dense store (time, key, one column for each variable), partitioned by time; see patch_store.write_variables."""
+    patch_store.write_variables(rows, path, time, key, mode, SLICES)
 
 
 def calendar(spark: SparkSession, start: date, end: date, day: str = "obs_date") -> DataFrame:
