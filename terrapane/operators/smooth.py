@@ -1,19 +1,22 @@
 """Whittaker smoothing of many series at once (Eilers 2003), with the V-curve choice of the penalty and asymmetric weights.
 
-Minimises sum w (y - z)^2 + lambda sum (second difference of z)^2.  Series are grouped into hashed buckets; a bucket's series
-are solved together: the pentadiagonal recurrences run over time once, for all series and all penalties as vectors.
+Minimises sum w (y - z)^2 + lambda sum (second difference of z)^2.  Rows are shuffled once, by series, and sorted; a task takes some series
+at a time and solves them together: the pentadiagonal recurrences run over time once, for all series and all penalties as vectors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 DETECTOR_GRID = tuple(round(1.0 + 0.2 * i, 1) for i in range(20))
-GENERIC_GRID = tuple(round(-1.0 + 0.5 * i, 1) for i in range(13))
-BUCKET_SERIES = 64
+GENERIC_GRID = tuple(round(-1.0 + 0.2 * i, 1) for i in range(30))
+BLOCK_SERIES = 64
 
 
 def solve(y: np.ndarray, w: np.ndarray, lam: np.ndarray) -> np.ndarray:
@@ -48,8 +51,8 @@ def solve(y: np.ndarray, w: np.ndarray, lam: np.ndarray) -> np.ndarray:
     return z
 
 
-def smooth(y: np.ndarray, w: np.ndarray, grid: tuple[float, ...] = DETECTOR_GRID, p: float | None = 0.99, rounds: int = 10) -> np.ndarray:
-    """(series, steps): the smoothed series at the best penalty of the grid (log10); series without weight are nan.
+def smooth(y: np.ndarray, w: np.ndarray, grid: tuple[float, ...] = DETECTOR_GRID, p: float | None = 0.99, rounds: int = 10, limits: tuple[float, float] = (-1.0, 1.0)) -> np.ndarray:
+    """(series, steps): the smoothed series at the best penalty of the grid (log10), cut to limits; series without weight are nan.
 
     Inside, arrays are (steps, penalties, series), so each step of the recurrences is a contiguous block; series that have converged leave the later rounds.
     """
@@ -75,23 +78,60 @@ def smooth(y: np.ndarray, w: np.ndarray, grid: tuple[float, ...] = DETECTOR_GRID
         z = solve(y[:, 0], np.take_along_axis(weight, best[None, None, :], axis=1)[:, 0], middle)
     else:
         z = z[:, 0]
-    return np.where((w > 0).any(axis=-1)[:, None], np.clip(z.T, -1.0, 1.0), np.nan)
+    return np.where((w > 0).any(axis=-1)[:, None], np.clip(z.T, *limits), np.nan)
+
 
+def whittaker(rows: DataFrame, grid: tuple[float, ...] = DETECTOR_GRID, p: float | None = 0.99, limits: tuple[float, float] = (-1.0, 1.0)) -> DataFrame:
+    """rows (pixel_id, day_no, y, weight, ...) with z, smoothed along the steps of each pixel; null for pixels without weight.
 
-def whittaker(rows: DataFrame, series: int, grid: tuple[float, ...] = DETECTOR_GRID, p: float | None = 0.99) -> DataFrame:
-    """pixel_id, day_no, z: rows (pixel_id, day_no, y, weight) smoothed along their steps; ``series`` is about how many pixels there are."""
-    buckets = max(1, -(-series // BUCKET_SERIES))
+    The default is the detector's upper envelope.  p = None weighs both sides alike; one penalty in the grid is taken as it is.
+    One shuffle by pixel; a task holds BLOCK_SERIES series at a time, so memory doesn't grow with the data.
+    """
+    kept = [c for c in rows.columns if c != "z"]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["pixel_id", "day_no"])
-        ids, at, n = np.unique(frame["pixel_id"].to_numpy(), return_inverse=True, return_counts=True)
-        place = np.arange(len(frame)) - np.repeat(np.cumsum(n) - n, n)
-        y, w = np.full((len(ids), max(3, n.max(initial=0))), np.nan), np.zeros((len(ids), max(3, n.max(initial=0))))
-        y[at, place], w[at, place] = frame["y"].to_numpy(float), np.nan_to_num(frame["weight"].to_numpy(float))
+    def solved(table: pa.Table) -> pa.Table:
+        ids = table.column("pixel_id").combine_chunks().dictionary_encode()
+        at = (ids if isinstance(ids, pa.Array) else ids.combine_chunks()).indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        n = np.bincount(at + 1)
+        n, at = (n, at + 1) if n[0] else (n[1:], at)  # a null is a pixel too
+        place = np.arange(len(at)) - np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))[np.concatenate(([0], np.cumsum(np.diff(at) != 0)))]
+        steps = max(3, n.max(initial=0))
+        y, w = np.full((len(n), steps), np.nan), np.zeros((len(n), steps))
+        number = lambda c: table.column(c).cast(pa.float64()).to_numpy()
+        y[at, place], w[at, place] = number("y"), np.nan_to_num(number("weight"))
         w[~np.isfinite(y)] = 0.0
-        z = smooth(y, w, grid, p)[at, place]
-        return pd.DataFrame({"pixel_id": frame["pixel_id"], "day_no": frame["day_no"], "z": z})
+        return table.append_column("z", pa.array(smooth(y, w, grid, p, limits=limits)[at, place], from_pandas=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        series, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_pylist()
+            begins = [i for i, k in enumerate(ids) if k != (ids[i - 1] if i else last)] if series else [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1])]
+            at = 0
+            for i in begins:
+                if series and series % BLOCK_SERIES == 0:  # the held series are whole
+                    if i > at:
+                        held.append(batch.slice(at, i - at))
+                    yield from solved(pa.Table.from_batches(held)).to_batches()
+                    held, at = [], i
+                series += 1
+            held.append(batch.slice(at))
+            last = ids[-1]
+        if held:
+            yield from solved(pa.Table.from_batches(held)).to_batches()
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.select("pixel_id", "day_no", "y", "weight", F.pmod(F.xxhash64("pixel_id"), F.lit(buckets)).alias("bucket")).repartition(min(buckets, 4 * rows.sparkSession.sparkContext.defaultParallelism), "bucket").groupBy("bucket").applyInPandas(lambda f: run(f), f"pixel_id {kinds['pixel_id']}, day_no {kinds['day_no']}, z double")
-    return out.withColumn("z", F.nanvl("z", F.lit(None).cast("double")))
+    ordered = rows.select("pixel_id", *[c for c in kept if c != "pixel_id"]).repartition("pixel_id").sortWithinPartitions("pixel_id", "day_no")
+    schema = StructType([*ordered.schema, StructField("z", DoubleType())])
+    return ordered.mapInArrow(run, schema).select(*kept, "z")
+
+
+def smoothed_series(rows: DataFrame, p: float | None = None, grid: tuple[float, ...] = GENERIC_GRID) -> DataFrame:
+    """Any series (pixel_id, day_no, y, ...) with z, smoothed along its steps; null values of y are missing and have no weight.
+
+    p over a half gives an upper envelope, under a half a lower one; None (both sides alike) is the default.  Values are not cut.
+    """
+    found = whittaker(rows.withColumn("weight", F.col("y").isNotNull().cast("double")), grid, p, (-np.inf, np.inf))
+    return found if "weight" in rows.columns else found.drop("weight")

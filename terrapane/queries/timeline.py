@@ -140,9 +140,7 @@ def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = series(spark, sf_dir).drop("z")
-    n = rows.select("pixel_id").distinct().count()
-    return rows.join(smooth.whittaker(rows, n), ["pixel_id", "day_no"])
+    return smooth.whittaker(series(spark, sf_dir).drop("z"))
 
 
 @query("w10_whittaker")
@@ -155,7 +153,7 @@ def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.detected(smoothed(spark, sf_dir)).select("pixel_id", "obs_date", r6(C("z")).alias("z"), "cloud", "uncertain")
 
 
-_NUMBERED = f"n as (select pixel_id, day_no, y, cast(case when y is null then 0.0 else weight end as double) as w, row_number() over (partition by pixel_id order by day_no) as i, count(*) over (partition by pixel_id) as m, bool_or(y is not null and weight > 0) over (partition by pixel_id) as some from {_Z})"
+_NUMBERED = f"n as materialized (select pixel_id, day_no, y, cast(case when y is null then 0.0 else weight end as double) as w, row_number() over (partition by pixel_id order by day_no) as i, count(*) over (partition by pixel_id) as m, bool_or(y is not null and weight > 0) over (partition by pixel_id) as some from {_Z})"
 _MAIN, _ONE = "(case when n.i in (1, n.m) then 1 when n.m = 3 then 4 when n.i in (2, n.m - 1) then 5 else 6 end)", "(case when n.i = n.m then 0 when n.i in (1, n.m - 1) then -2 else -4 end)"
 #: The pentadiagonal elimination at a penalty of 100, one step of all series in each round of the recursion, then back.
 _FIXED = f"""with recursive {_NUMBERED},
@@ -173,8 +171,12 @@ _FIXED = f"""with recursive {_NUMBERED},
 
 @query("w10_fixed_penalty", _FIXED)
 def w10b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = series(spark, sf_dir).drop("z")
-    n = rows.select("pixel_id").distinct().count()
-    return smooth.whittaker(rows, n, (2.0,), None).withColumn("z", r6(C("z")))
+    return smooth.whittaker(series(spark, sf_dir).drop("z"), (2.0,), None).select("pixel_id", "day_no", r6(C("z")).alias("z"))
+
+
+@query("w10_symmetric")
+def w10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generic smoother: both sides alike, at the penalty that the V-curve finds between 0.1 and 60,000."""
+    return smooth.smoothed_series(series(spark, sf_dir).select("pixel_id", "day_no", "y")).select("pixel_id", "day_no", r6(C("z")).alias("z"))
 
 

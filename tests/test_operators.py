@@ -161,7 +161,7 @@ def test_smoother_keeps_lines_and_drops_empty_series(spark):
     line = np.linspace(-0.5, 0.5, 30)
     z = smooth.smooth(np.stack([line, line]), np.stack([np.ones(30), np.zeros(30)]))
     assert np.allclose(z[0], line, atol=1e-4) and np.isnan(z[1]).all()
-    out = smooth.whittaker(series(spark, [float(v) for v in line]), 1).orderBy("day_no").collect()
+    out = smooth.whittaker(series(spark, [float(v) for v in line])).orderBy("day_no").collect()
     assert [r["z"] for r in out] == pytest.approx(list(line), abs=1e-4)
 
 
@@ -338,3 +338,50 @@ def test_clip_to_projected_boxes(spark):
     pixels = frames.select("k", F.explode(F.sequence(F.lit(0), F.lit(35))).alias("p")).select("k", F.floor(F.col("p") / 6).alias("r"), (F.col("p") % 6).alias("c"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
     got = {r["k"]: r["count"] for r in resample.clipped_to_boxes(pixels, frames, ["k"], "utm", 1000.0).groupBy("k").count().collect()}
     assert got[3] == 36 and got[2] == 4 and got[1] == 8  # 1.52 km x 2.22 km around the middle: two columns and four rows of 1 km touch it
+
+
+def dense_v_curve(y, grid, p=None):
+    """The V-curve by dense matrices, for one series without nans but with missing values as None."""
+    n = len(y)
+    base = np.array([0.0 if v is None else 1.0 for v in y])
+    v = np.array([0.0 if x is None else x for x in y])
+    d2 = np.diff(np.eye(n), 2, axis=0)
+    at = lambda lam, w: np.linalg.solve(np.diag(w) + lam * d2.T @ d2, w * v)
+    fit, rough, weights = [], [], []
+    for g in grid:
+        w = base
+        z = at(10.0**g, w)
+        for _ in range(10 if p is not None else 0):
+            w = np.where(v > z, p, 1 - p) * base
+            new = at(10.0**g, w)
+            moved, z = np.abs(new - z).max() >= 1e-8, new
+            if not moved:
+                break
+        fit.append(np.log((w * (v - z) ** 2).sum()))
+        rough.append(np.log(((d2 @ z) ** 2).sum()))
+        weights.append(w)
+    k = int(np.hypot(np.diff(fit), np.diff(rough)).argmin())
+    return at(10.0 ** ((grid[k] + grid[k + 1]) / 2), weights[k])
+
+
+@pytest.mark.parametrize("p", [None, 0.9])
+def test_generic_smoother_against_dense_matrices(spark, p):
+    rng = np.random.default_rng(6)
+    made = {k: [None if rng.random() < 0.15 else float(3 * np.sin(t / (3 + k)) + rng.normal(0, 0.4)) for t in range(40 + k % 7)] for k in range(150)}
+    made[150] = [None] * 5
+    rows = [(k, float(10 * t), v, f"{k}-{t}") for k, y in made.items() for t, v in enumerate(y)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "pixel_id long, day_no double, y double, note string")
+    got = {}
+    for r in smooth.smoothed_series(df.repartition(5), p).orderBy("pixel_id", "day_no").collect():
+        assert r["note"] == f"{r['pixel_id']}-{int(r['day_no'] / 10)}"
+        got.setdefault(r["pixel_id"], []).append(r["z"])
+    assert got[150] == [None] * 5 and len(got) == 151 and len(smooth.GENERIC_GRID) == 30 and smooth.GENERIC_GRID[-1] == 4.8
+    for k in range(150):
+        assert got[k] == pytest.approx(dense_v_curve(made[k], smooth.GENERIC_GRID, p).tolist(), abs=1e-6)
+
+
+def test_smoother_takes_null_pixels_and_long_series(spark):
+    rows = [(None, float(t), 0.5) for t in range(4)] + [(1, float(t), 0.001 * (t % 3)) for t in range(30_000)] + [(2, 0.0, 0.1), (2, 1.0, 0.2)]
+    out = smooth.smoothed_series(spark.createDataFrame(rows, "pixel_id long, day_no double, y double"), None, (2.0,)).groupBy("pixel_id").agg(F.count("z").alias("n"), F.avg("z").alias("z")).collect()
+    assert {(r["pixel_id"], r["n"]) for r in out} == {(None, 4), (1, 30_000), (2, 2)} and {r["pixel_id"]: r["z"] for r in out}[None] == pytest.approx(0.5)
