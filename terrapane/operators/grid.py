@@ -29,6 +29,26 @@ def boxes_by_resolution(spark: SparkSession, lat: tuple[float, float], lon: tupl
     return boxes.select("row", "col", west.alias("lon_min"), "lat_min", (west + F.col("step")).alias("lon_max"), (F.col("lat_min") + dlat).alias("lat_max"))
 
 
+def region_boxes(regions: DataFrame, n_lat: int, n_lon: int) -> DataFrame:
+    """Each region's box (lon_min, lat_min, lon_max, lat_max, ...) cut into n_lat x n_lon boxes, by latitude first: the other columns, box_id and the box."""
+    rest = [c for c in regions.columns if c not in ("lon_min", "lat_min", "lon_max", "lat_max")]
+    dlat, dlon = (F.col("lat_max") - F.col("lat_min")) / n_lat, (F.col("lon_max") - F.col("lon_min")) / n_lon
+    cut = regions.withColumns({"dlat_": dlat, "dlon_": dlon, "box_id": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_lat * n_lon - 1).cast("long")))})
+    south, west = F.col("lat_min") + F.floor(F.col("box_id") / n_lon) * F.col("dlat_"), F.col("lon_min") + F.col("box_id") % n_lon * F.col("dlon_")
+    return cut.select(*rest, "box_id", west.alias("lon_min"), south.alias("lat_min"), (west + F.col("dlon_")).alias("lon_max"), (south + F.col("dlat_")).alias("lat_max"))
+
+
+def region_boxes_by_resolution(regions: DataFrame, metres: float, pixels: int) -> DataFrame:
+    """Each region's box covered by boxes of pixels x pixels, from its south-western corner: the other columns, row, col and the box; the longitude step follows each row's latitude."""
+    rest = [c for c in regions.columns if c not in ("lon_min", "lat_min", "lon_max", "lat_max")]
+    dlat = metres * pixels / 111320.0
+    steps = lambda span, step: F.sequence(F.lit(0), F.ceil(span / step).cast("int") - 1)
+    rows = regions.where("lat_max > lat_min and lon_max > lon_min").withColumn("row", F.explode(steps(F.col("lat_max") - F.col("lat_min"), F.lit(dlat)))).withColumn("south_", F.col("lat_min") + F.col("row") * dlat)
+    rows = rows.withColumn("step_", geo.metres_to_degrees(F.lit(float(metres * pixels)), F.col("south_"))[1])
+    boxes = rows.withColumn("col", F.explode(steps(F.col("lon_max") - F.col("lon_min"), F.col("step_")))).withColumn("west_", F.col("lon_min") + F.col("col") * F.col("step_"))
+    return boxes.select(*rest, "row", "col", F.col("west_").alias("lon_min"), F.col("south_").alias("lat_min"), (F.col("west_") + F.col("step_")).alias("lon_max"), (F.col("south_") + dlat).alias("lat_max"))
+
+
 def with_tiles(cells: DataFrame) -> DataFrame:
     """Cells (lat, lon) with the tile h, v they are in."""
     x, y = geo.sinusoidal(F.col("lat"), F.col("lon"))

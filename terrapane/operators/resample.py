@@ -129,7 +129,7 @@ def dominant(rows: DataFrame, group: Sequence[str], kind: str, order: str) -> Da
 def swath_patches(samples: DataFrame, cells: DataFrame, half: int, size: int, step: float = 0.01, metres: float = 1500.0, most_null: float = 0.1, value: str = "level", fill: int = 99) -> DataFrame:
     """Patches of size x size around cells (cell_id, lat, lon) from swaths of samples (swath_id, obs_date, sample_id, lat, lon, value): obs_date, cell_id, r, c, value.
 
-    A swath's footprint is its box and two steps around it; a regular grid of that step covers it from the south-west, and each cell inside takes
+    A swath's footprint is its box (the shorter way round, so it may lie across the date line) and two steps around it; a regular grid of that step covers it from the south-west, and each cell inside takes
     the 2 half x 2 half nodes around its own, unless they leave the grid.  Only those nodes look for their nearest sample, within a radius.  Row 0
     is north; nodes are repeated up to size and cut there.  Patches with more than most_null of their pixels empty are dropped, the other empty
     pixels become ``fill``.  Where swaths of a day give a cell several patches, the one with the largest swath_id stays.
@@ -137,10 +137,16 @@ def swath_patches(samples: DataFrame, cells: DataFrame, half: int, size: int, st
     """
     factor = -(-size // (2 * half))
     seen = samples.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    low = lambda c: F.min(c) - 2 * step
-    high = lambda c: F.max(c) + 2 * step
-    boxes = seen.groupBy("swath_id", "obs_date").agg(low("lon").alias("lon_min"), high("lon").alias("lon_max"), low("lat").alias("lat_min"), high("lat").alias("lat_max"))
+    # Longitudes from -180 on or from 0 on, whichever makes the swath clearly narrower, so one across the date line has a short box.
+    seen = seen.withColumn("lon360_", F.pmod("lon", F.lit(360.0)))
+    boxes = seen.groupBy("swath_id", "obs_date").agg(*[f(c).alias(f"{c}_{e}_") for c in ("lat", "lon", "lon360_") for e, f in (("low", F.min), ("high", F.max))])
+    turned = F.col("lon360__high_") - F.col("lon360__low_") < F.col("lon_high_") - F.col("lon_low_") - 1
+    west, east = (F.when(turned, F.col(f"lon360__{e}_")).otherwise(F.col(f"lon_{e}_")) for e in ("low", "high"))
+    boxes = boxes.select("swath_id", "obs_date", (west - 2 * step).alias("west_"), (east + 2 * step).alias("east_"), (F.col("lat_low_") - 2 * step).alias("lat_min"), (F.col("lat_high_") + 2 * step).alias("lat_max"))
+    # A cell may be in the box a turn further east or west.
+    boxes = boxes.withColumn("turn_", F.explode(F.array(*map(F.lit, (0.0, 360.0, -360.0))))).withColumns({"lon_min": F.col("west_") - F.col("turn_"), "lon_max": F.col("east_") - F.col("turn_")}).where("lon_max >= -180 and lon_min <= 180")
     inside = grid.points_in_boxes(cells.select("cell_id", "lat", "lon"), boxes)
+    inside = inside.withColumns({"lon": F.col("lon") + F.col("turn_"), "lon_min": F.col("west_"), "lon_max": F.col("east_")})
     for axis, name in (("lat", "row"), ("lon", "col")):
         n = F.ceil((F.col(f"{axis}_max") - F.col(f"{axis}_min")) / step)
         inside = inside.withColumn(f"{name}s", n).withColumn(name, F.greatest(F.lit(0), F.least(F.rint((F.col(axis) - F.col(f"{axis}_min")) / step).cast("long"), n - 1)))

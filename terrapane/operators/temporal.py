@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.calendar import thirty_day_month
+from ..functions.calendar import day_number, thirty_day_month
 
 
 def pixel() -> WindowSpec:
@@ -102,3 +102,8 @@ def stack(observed: DataFrame, spine: DataFrame, cloud: Column | None) -> DataFr
     full = days.join(observed, ["pixel_id", "obs_date"], "left")
     clear = F.col("y").isNotNull() & ~(F.coalesce(cloud, F.lit(False)) if cloud is not None else F.lit(False))
     return full.withColumn("weight", clear.cast("double")).withColumn("masked", F.when(clear, F.col("y")))
+
+
+def assembled(rows: DataFrame, day: str = "obs_date", height: int = 10) -> DataFrame:
+    """Pixels (r, c, a date, soft, ...) as they are handed on: y counts up from the last row, x is the column, day_no counts from 2000-01-01."""
+    return rows.withColumns({"y": F.lit(height - 1) - F.col("r"), "x": F.col("c"), "day_no": day_number(F.col(day)).cast("int")}).drop("r", "c")

@@ -24,6 +24,20 @@ def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*key, r6(C("observed")).alias("observed"), r6(C("z")).alias("envelope"), "soft")
 
 
+@query(
+    "t02_upsampled",
+    """with o as (select patch_id // 4 as patch_id, r + 8 * (patch_id % 4 // 2) as r, c + 8 * (patch_id % 2) as c, v as observed from f_patch), z as (select patch_id, r, c, case when v >= -0.12 then v end as z, floor(abs(v) * 50) as back, floor(abs(v) * 30) as forward from f_patch)
+ select o.patch_id, cast(o.r as int) as r, cast(o.c as int) as c, round(observed, 6) as observed, round(z, 6) as envelope, case when z is null then 0.0 when forward >= 3 and back >= 3 then 0.0 else 1.0 end::double as soft from o left join z on z.patch_id = o.patch_id and z.r = o.r // 2 and z.c = o.c // 2""",
+)
+def t02u(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed patches of 16 x 16 with an envelope and gaps of half the resolution."""
+    k, rows = C("patch_id"), fixtures.patch(spark, sf_dir)
+    fine = rows.select(F.floor(k / 4).alias("patch_id"), (C("r") + 8 * F.floor(k % 4 / 2)).cast("int").alias("r"), (C("c") + 8 * (k % 2)).cast("int").alias("c"), C("v").alias("observed"))
+    coarse = rows.select("patch_id", "r", "c", F.when(C("v") >= -0.12, C("v")).alias("z"), F.floor(F.abs("v") * 50).cast("double").alias("gap_back"), F.floor(F.abs("v") * 30).cast("double").alias("gap_forward"))
+    out = training.processed_patch_source(fine, coarse, ["patch_id"], 3.0)
+    return out.select("patch_id", "r", "c", r6(C("observed")).alias("observed"), r6(C("envelope")).alias("envelope"), "soft")
+
+
 _NDVI = "case when red >= -0.05 and nir >= -0.05 and nir+red <> 0 then greatest(-1.0, least(1.0, (nir-red)/(nir+red))) end"
 
 
@@ -35,8 +49,15 @@ def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t04_monthly_prior", "with m as (select pixel_id, cast(date_trunc('month', obs_date) as date) as month, avg((nir-red)/nullif(nir+red,0)) as ndvi from f_series group by 1,2) select s.pixel_id, s.obs_date, round(coalesce(case when m.ndvi is not null then greatest(-0.2, least(1.0, m.ndvi)) end, 0.0),6) as prior from f_series s left join m on m.pixel_id = s.pixel_id and m.month = cast(date_trunc('month', s.obs_date) - interval 1 month as date)")
 def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.series(spark, sf_dir).withColumn("ndvi", bands.ndvi(red=C("red"), nir=C("nir")))
+    return training.previous_month_mean(rows, "pixel_id", "ndvi").withColumn("prior", r6(C("prior")))
+
+
+@query("t04_stored_prior", "with m as (select pixel_id, cast(date_trunc('month', obs_date) as date) as month, max((nir-red)/nullif(nir+red,0)) as ndvi from f_series group by 1,2) select s.pixel_id, s.obs_date, round(coalesce(case when m.ndvi is not null then greatest(-0.2, least(1.0, m.ndvi)) end, 0.0),6) as prior from f_series s left join m on m.pixel_id = s.pixel_id and m.month = cast(date_trunc('month', s.obs_date) - interval 1 month as date)")
+def t04s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with stored composites (here, the best value of each month), joined by the month before."""
     rows = fixtures.series(spark, sf_dir)
-    monthly = rows.groupBy("pixel_id", F.trunc("obs_date", "MM").alias("month")).agg(F.avg(bands.ndvi(red=C("red"), nir=C("nir"))).alias("ndvi"))
+    monthly = rows.groupBy("pixel_id", F.trunc("obs_date", "MM").alias("month")).agg(F.max(bands.ndvi(red=C("red"), nir=C("nir"))).alias("ndvi"))
     return training.previous_month_source(rows.select("pixel_id", "obs_date"), monthly, "pixel_id").withColumn("prior", r6(C("prior")))
 
 

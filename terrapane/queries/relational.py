@@ -96,8 +96,9 @@ def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j03_sync_pairs", f"select * from (select * from {_DAYS.format('click')} union select * from {_DAYS.format('view')}) a join {_DAYS.format('purchase')} b using (pixel_id, obs_date)")
 def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    either = _available(spark, sf_dir, "click").unionByName(_available(spark, sf_dir, "view")).distinct()
-    return either.join(_available(spark, sf_dir, "purchase"), ["pixel_id", "obs_date"]).orderBy("obs_date", "pixel_id")
+    seen = lambda *kinds: F.bool_or(C("variable").isin(*kinds))
+    rows = obs(spark, sf_dir).where(C("variable").isin("click", "view", "purchase")).groupBy("pixel_id", "obs_date").agg(seen("click", "view").alias("either"), seen("purchase").alias("other"))
+    return rows.where("either and other").select("pixel_id", "obs_date")
 
 
 @query("j04_band_times", "select a.pixel_id, cast(a.ts as date) as obs_date, count(*) as n from f_obs a join f_obs b on a.pixel_id = b.pixel_id and date_trunc('hour', a.ts) = date_trunc('hour', b.ts) where a.variable = 'click' and b.variable = 'view' group by 1,2")
@@ -146,11 +147,11 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.stack(rows, store.calendar(spark, date(2024, 1, 1), date(2024, 1, 30)), None).select("pixel_id", "obs_date", r6(C("y")).alias("y"), "weight")
 
 
-@query("j12_no_constraint", "select distinct pixel_id, obs_date from f_obs where obs_date <= date '2024-01-03'")
+@query("j12_no_constraint", "select distinct pixel_id, obs_date from f_obs")
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.training import constrained
 
-    keys = obs(spark, sf_dir).where(C("obs_date") <= "2024-01-03").select("pixel_id", "obs_date").distinct()
+    keys = obs(spark, sf_dir).select("pixel_id", "obs_date").distinct()
     return constrained(keys, None)
 
 

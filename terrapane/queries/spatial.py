@@ -18,11 +18,6 @@ def patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.patch(spark, sf_dir)
 
 
-@query("g01_bboxes", f"select box_id, round(lon_min,6) as lon_min, round(lat_min,6) as lat_min, round(lon_max,6) as lon_max, round(lat_max,6) as lat_max from {_BOXES}")
-def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boxes(spark).select("box_id", *[r6(C(c)).alias(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")])
-
-
 _REGION_BOXES = "select region_key, min(lon) as lon_min, min(lat) as lat_min, max(lon) as lon_max, max(lat) as lat_max from f_cells group by 1"
 
 
@@ -30,17 +25,24 @@ def _region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.cells(spark, sf_dir).groupBy("region_key").agg(*[f(c).alias(f"{c}_{e}") for e, f in (("min", F.min), ("max", F.max)) for c in ("lon", "lat")])
 
 
-_D = "(cast(50000 as double) * 7 / 111320.0)"
+@query("g01_bboxes", f"select region_key, i * 12 + j as box_id, round(lon_min + j * ((lon_max - lon_min) / 12), 6) as lon_min, round(lat_min + i * ((lat_max - lat_min) / 8), 6) as lat_min, round(lon_min + j * ((lon_max - lon_min) / 12) + (lon_max - lon_min) / 12, 6) as lon_max, round(lat_min + i * ((lat_max - lat_min) / 8) + (lat_max - lat_min) / 8, 6) as lat_max from ({_REGION_BOXES}) cross join (select unnest(range(8)) as i) cross join (select unnest(range(12)) as j)")
+def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box of each region in 8 x 12 boxes."""
+    return grid.region_boxes(_region_boxes(spark, sf_dir), 8, 12).select("region_key", "box_id", *[r6(C(c)).alias(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")])
+
+
+_D = "(cast(100000 as double) * 7 / 111320.0)"
 
 
 @query(
     "g02_bboxes_res",
-    f"""with r as (select i as row, -60.0 + i * {_D} as lat_min from (select unnest(range(cast(ceil(120.0 / {_D}) as int))) as i)), s as (select *, 350000.0 / (111320.0 * cos(radians(lat_min))) as step from r),
- b as (select *, unnest(range(cast(ceil(140.0 / step) as int))) as col from s) select row, cast(col as int) as col, round(-70.0 + col * step,6) as lon_min, round(lat_min,6) as lat_min, round(-70.0 + col * step + step,6) as lon_max, round(lat_min + {_D},6) as lat_max from b""",
+    f"""with b as ({_REGION_BOXES}), r as (select *, lat_min + i * {_D} as south from (select *, unnest(range(cast(ceil((lat_max - lat_min) / {_D}) as int))) as i from b)), s as (select *, 700000.0 / (111320.0 * cos(radians(south))) as step from r),
+ t as (select *, unnest(range(cast(ceil((lon_max - lon_min) / step) as int))) as j from s) select region_key, cast(i as int) as row, cast(j as int) as col, round(lon_min + j * step, 6) as lon_min, round(south, 6) as lat_min, round(lon_min + j * step + step, 6) as lon_max, round(south + {_D}, 6) as lat_max from t""",
 )
 def g02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = grid.boxes_by_resolution(spark, (-60.0, 60.0), (-70.0, 70.0), 50000.0, 7)
-    return boxes.select("row", "col", *[r6(C(c)).alias(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")])
+    """The box of each region in boxes of 7 x 7 pixels of 100 km."""
+    boxes = grid.region_boxes_by_resolution(_region_boxes(spark, sf_dir), 100000.0, 7)
+    return boxes.select("region_key", "row", "col", *[r6(C(c)).alias(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")])
 
 
 _HV = "cast(floor((6371007.181*radians(lon)*cos(radians(lat)) + 20015109)/1111950) as int) as h, cast(floor((10007555 - 6371007.181*radians(lat))/1111950) as int) as v"
@@ -129,7 +131,7 @@ _SWATHS = """select patch_id as swath_id, cast(date '2024-01-01' + cast(patch_id
 @query(
     "g06_swath_patches",
     f"""with s as materialized ({_SWATHS}), b as (select swath_id, obs_date, min(lon) - 2 * cast(0.01 as double) as x0, max(lon) + 2 * cast(0.01 as double) as x1, min(lat) - 2 * cast(0.01 as double) as y0, max(lat) + 2 * cast(0.01 as double) as y1 from s group by 1,2),
- i as (select *, ceil((y1-y0)/0.01::double) as ny, ceil((x1-x0)/0.01::double) as nx from b join f_cells on lat between y0 and y1 and lon between x0 and x1),
+ i as (select *, ceil((y1-y0)/0.01::double) as ny, ceil((x1-x0)/0.01::double) as nx from b join (select cell_id, lat, lon + k as lon from f_cells cross join (select unnest([0.0, 360.0, -360.0]::double[]) as k)) on lat between y0 and y1 and lon between x0 and x1),
  w as (select *, greatest(0, least(round_even((lat-y0)/0.01::double, 0), ny-1)) as row, greatest(0, least(round_even((lon-x0)/0.01::double, 0), nx-1)) as col from i),
  n as (select swath_id, obs_date, cell_id, k // 6 as pr, k % 6 as pc, y0 + (row - 3 + k // 6) * 0.01::double as lat, x0 + (col - 3 + k % 6) * 0.01::double as lon from w cross join (select unnest(range(36)) as k) where row >= 3 and row + 3 <= ny and col >= 3 and col + 3 <= nx),
  t as (select swath_id, obs_date, cell_id, pr, pc, {_XYZ} from n), q as (select swath_id, sample_id, level, {_XYZ} from s),

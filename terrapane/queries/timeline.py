@@ -102,6 +102,15 @@ def w13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pixel_id", "obs_date", temporal.soft_labels(C("cloud"), C("uncertain"), mask).alias("soft"), calendar.day_number(C("obs_date")).alias("day"))
 
 
+@query("w13_assembled", f"select pixel_id // 100 as patch_id, 9 - cast(pixel_id % 100 // 10 as int) as y, cast(pixel_id % 10 as int) as x, obs_date, cast(day_no as int) as day_no, case when cloud then 0.0 when uncertain or cast(day_no as bigint) % 7 = 0 then 0.5 else 1.0 end::double as soft from {_DETECT}")
+def w13a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Soft labels of patches of 10 x 10 pixels, from the bottom row up."""
+    k, out = C("pixel_id"), temporal.detected(series(spark, sf_dir))
+    mask = F.when(C("day_no").cast("long") % 7 != 0, 1)
+    soft = out.select(F.floor(k / 100).alias("patch_id"), F.floor(k % 100 / 10).cast("int").alias("r"), (k % 10).cast("int").alias("c"), "obs_date", temporal.soft_labels(C("cloud"), C("uncertain"), mask).alias("soft"))
+    return temporal.assembled(soft).select("patch_id", "y", "x", "obs_date", "day_no", "soft")
+
+
 @query("w09_class_factor", "select vec_id as patch_id, label as lc_class, cast(case label when 1 then 2.5 when 2 then 1.8 when 5 then 3.0 else 2.0 end as double) as k from embeddings")
 def w09(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.table(spark, sf_dir, "embeddings").select(C("vec_id").alias("patch_id"), C("label").alias("lc_class"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands, bits
@@ -51,12 +51,34 @@ def processed_source(observed: DataFrame, envelope: DataFrame, gaps: DataFrame,
     return rows.withColumn("soft", F.when(F.col("z").isNull(), 0.0).otherwise(open_.cast("double"))).drop("gap_forward", "gap_back")
 
 
+def processed_patch_source(observed: DataFrame, coarse: DataFrame, key: Sequence[str], threshold: float, factor: int = 2) -> DataFrame:
+    """``processed_source`` for patches: observed (key, r, c, observed) has pixels ``factor`` times as fine as coarse (key, r, c, z, gap_back, gap_forward).
+
+    A fine pixel takes the values of the coarse one that it is in, by a join on the coarse place; nothing is upsampled first.
+    """
+    near = observed.withColumns({"r_": F.floor(F.col("r") / factor).cast("int"), "c_": F.floor(F.col("c") / factor).cast("int")})
+    open_ = bands.gap_mask(F.col("gap_forward"), F.col("gap_back"), threshold)
+    place = coarse.select(*key, F.col("r").cast("int").alias("r_"), F.col("c").cast("int").alias("c_"), "z", open_.cast("double").alias("open_"))
+    rows = near.join(place, [*key, "r_", "c_"], "left")
+    return rows.select(*key, "r", "c", "observed", F.col("z").alias("envelope"), F.when(F.col("z").isNull(), 0.0).otherwise(F.col("open_")).alias("soft"))
+
+
 def previous_month_source(days: DataFrame, monthly: DataFrame, key: str) -> DataFrame:
     """For each day, the composite of the month before: key, obs_date, prior; missing as 0."""
     wanted = days.withColumn("month", previous_month(F.col("obs_date")))
     return wanted.join(monthly.select(key, "month", F.col("ndvi").alias("prior")), [key, "month"], "left").select(key, "obs_date", bands.monthly_prior(F.col("prior")).alias("prior"))
 
 
+def previous_month_mean(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``previous_month_source`` for composites that are means of the same rows (key, obs_date, value): key, obs_date, prior.
+
+    A window over the month before, so rows are shuffled once, by key, and composites are not joined back.
+    """
+    month = (F.year("obs_date") * 12 + F.month("obs_date")).alias("month_")
+    before = Window.partitionBy(key).orderBy("month_").rangeBetween(-1, -1)
+    return rows.select(key, "obs_date", F.col(value).alias("value_"), month).select(key, "obs_date", bands.monthly_prior(F.avg("value_").over(before)).alias("prior"))
+
+
 def sparse_leaf_source(days: DataFrame, leaf: DataFrame, key: Sequence[str]) -> DataFrame:
     """Leaf-area values where there are any (else 0), with weight 0 for missing or bad ones."""
     rows = days.join(leaf, list(key), "left")

@@ -385,3 +385,47 @@ def test_smoother_takes_null_pixels_and_long_series(spark):
     rows = [(None, float(t), 0.5) for t in range(4)] + [(1, float(t), 0.001 * (t % 3)) for t in range(30_000)] + [(2, 0.0, 0.1), (2, 1.0, 0.2)]
     out = smooth.smoothed_series(spark.createDataFrame(rows, "pixel_id long, day_no double, y double"), None, (2.0,)).groupBy("pixel_id").agg(F.count("z").alias("n"), F.avg("z").alias("z")).collect()
     assert {(r["pixel_id"], r["n"]) for r in out} == {(None, 4), (1, 30_000), (2, 2)} and {r["pixel_id"]: r["z"] for r in out}[None] == pytest.approx(0.5)
+
+
+def test_a_swath_across_the_date_line_has_a_short_box(spark):
+    """Samples a hundredth of a degree apart around 180; the same swath 90 degrees further west gives the same patches."""
+    def patches(shift):
+        turn = lambda lon: (lon + shift + 180.0) % 360.0 - 180.0
+        samples = [(1, dt.date(2024, 1, 1), i * 40 + j, 10.0 + i * 0.01, turn(179.8 + j * 0.01), (i * 7 + j) % 4) for i in range(40) for j in range(40)]
+        cells = [(k, 10.2 + dy, turn(180.0 + dx)) for k, (dy, dx) in enumerate([(0.0, 0.0), (0.05, 0.05), (-0.05, -0.05), (0.0, 90.0), (0.0, 179.0)])]
+        out = resample.swath_patches(spark.createDataFrame(samples, "swath_id int, obs_date date, sample_id int, lat double, lon double, level int"), spark.createDataFrame(cells, "cell_id int, lat double, lon double"), 3, 6, 0.01, 900.0)
+        return sorted((r["cell_id"], r["r"], r["c"], r["level"]) for r in out.collect())
+
+    got = patches(0.0)
+    assert {r[0] for r in got} == {0, 1, 2} and len(got) == 3 * 36
+    assert {r[:3] for r in got} == {r[:3] for r in patches(-90.0)}
+
+
+def test_boxes_of_regions(spark):
+    regions = spark.createDataFrame([(1, -10.0, 0.0, 10.0, 20.0), (2, 5.0, 59.0, 6.0, 60.0), (3, 5.0, 5.0, 5.0, 5.0)], "k int, lon_min double, lat_min double, lon_max double, lat_max double")
+    cut = {(r["k"], r["box_id"]): tuple(r)[2:] for r in grid.region_boxes(regions, 2, 4).collect()}
+    assert len(cut) == 24 and cut[1, 5] == (-5.0, 10.0, 0.0, 20.0)
+    rows = grid.region_boxes_by_resolution(regions, 1000.0, 50).collect()
+    assert {r["k"] for r in rows} == {1, 2} and max(r["col"] for r in rows if r["k"] == 2) == 1 and max(r["row"] for r in rows if r["k"] == 2) == 2
+
+
+def test_patches_take_the_coarse_pixel_they_are_in(spark):
+    from terrapane.sources import training
+
+    fine = spark.createDataFrame([(1, r, c, float(r * 10 + c)) for r in range(4) for c in range(4)], "p int, r int, c int, observed double")
+    coarse = spark.createDataFrame([(1, 0, 0, 0.5, 0.0, 0.0), (1, 0, 1, None, 0.0, 0.0), (1, 1, 0, 0.7, 9.0, 9.0)], "p int, r int, c int, z double, gap_back double, gap_forward double")
+    got = {(r["r"], r["c"]): (r["observed"], r["envelope"], r["soft"]) for r in training.processed_patch_source(fine, coarse, ["p"], 3.0).collect()}
+    assert got[1, 1] == (11.0, 0.5, 1.0) and got[0, 2] == (2.0, None, 0.0) and got[3, 0] == (30.0, 0.7, 0.0) and got[3, 3] == (33.0, None, 0.0) and len(got) == 16
+
+
+def test_month_before_across_years_and_gaps(spark):
+    from terrapane.sources import training
+
+    days = [(1, dt.date(2023, 12, 5), 0.2), (1, dt.date(2023, 12, 6), 0.4), (1, dt.date(2024, 1, 1), 0.6), (1, dt.date(2024, 3, 1), 0.9), (2, dt.date(2024, 1, 1), 5.0), (2, dt.date(2024, 2, 1), None)]
+    got = {(r["k"], r["obs_date"]): r["prior"] for r in training.previous_month_mean(spark.createDataFrame(days, "k int, obs_date date, v double"), "k", "v").collect()}
+    assert [got[k, d] for k, d, _ in days] == pytest.approx([0.0, 0.0, 0.3, 0.0, 0.0, 1.0])
+
+
+def test_assembled_rows_count_up(spark):
+    out = temporal.assembled(spark.createDataFrame([(0, 3, dt.date(2000, 1, 11), 0.5)], "r int, c int, obs_date date, soft double"), height=4).first()
+    assert (out["y"], out["x"], out["day_no"]) == (3, 3, 10)
