@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands
@@ -49,13 +49,26 @@ def flipped(pixels: DataFrame, size: int) -> DataFrame:
     return pixels.withColumn("r", F.lit(size - 1) - F.col("r"))
 
 
-def fused_cloud(pixels: DataFrame, key: Sequence[str], size: int) -> DataFrame:
-    """Cloud fusion: pixels (key, r, c, reference: bool, level, blue) to cloud, soft_score, meta.
+def grown_and_closed(pixels: DataFrame, key: Sequence[str], flag: Column, name: str, reach: int = 2) -> DataFrame:
+    """pixels with a flag's mask, dilated by a square of 2 * reach + 1 and then closed by it; every pixel of a raster must be a row.
+
+    Squares are taken axis by axis by windows over rows that stay what they are: two dilations are one of twice the reach, and outside the raster counts
+    as false in the erosion.  Dealt by key once, sorted three times.
+    """
+    at = lambda axis, other, n: Window.partitionBy(*key, other).orderBy(axis).rangeBetween(-n, n)
+    out = pixels.repartition(*key).withColumn(name, F.max(flag.cast("int")).over(at("c", "r", 2 * reach)))
+    out = out.withColumn(name, F.max(name).over(at("r", "c", 2 * reach)))
+    for axis, other in (("r", "c"), ("c", "r")):
+        out = out.withColumn(name, (F.sum(name).over(at(axis, other, reach)) == 2 * reach + 1).cast("int"))
+    return out.withColumn(name, F.col(name) == 1)
+
+
+def fused_cloud(pixels: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Cloud fusion: pixels (key, r, c, reference: bool, level, blue), every pixel of a raster a row, to cloud, soft_score, meta.
 
     The masks are reconciled by the blue veto, dilated and united, and closed; the score uses the reconciled reference mask.
     """
     one, two = bands.disagreement_veto(F.col("reference"), F.coalesce(F.col("level") <= 1, F.lit(False)), F.col("blue"))
     rows = pixels.withColumn("one", one).withColumn("two", two)
-    mask = closed(dilated(rows.where("one or two").select(*key, "r", "c"), key, size), key, size).withColumn("cloud", F.lit(True))
-    scored = rows.join(mask, [*key, "r", "c"], "left").withColumn("cloud", F.coalesce("cloud", F.lit(False))).withColumn("soft_score", bands.soft_score(F.col("level"), F.col("one"), F.col("blue")))
+    scored = grown_and_closed(rows, key, F.coalesce(F.col("one") | F.col("two"), F.lit(False)), "cloud").withColumn("soft_score", bands.soft_score(F.col("level"), F.col("one"), F.col("blue")))
     return scored.select(*key, "r", "c", "cloud", "soft_score", F.when(F.col("cloud"), 0.0).otherwise(F.col("soft_score")).alias("meta"))

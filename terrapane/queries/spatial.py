@@ -199,7 +199,7 @@ _CLOUDY = "select patch_id, r, c, (qa & 3) in (1,2) as m09, level, level <= 1 as
 def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = C("v")
     rows = patch(spark, sf_dir).select("patch_id", "r", "c", bits.bit_field(F.abs(F.floor(v * 1000)).cast("int"), 0, 2).isin(1, 2).alias("reference"), ((F.abs(F.floor(v * 777).cast("int")) + C("r")) % 4).alias("level"), F.abs(v).alias("blue"))
-    out = morphology.fused_cloud(rows, ["patch_id"], 8)
+    out = morphology.fused_cloud(rows, ["patch_id"])
     return out.select("patch_id", "r", "c", "cloud", r6(C("soft_score")).alias("soft_score"), r6(C("meta")).alias("meta"))
 
 

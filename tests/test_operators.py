@@ -429,3 +429,13 @@ def test_month_before_across_years_and_gaps(spark):
 def test_assembled_rows_count_up(spark):
     out = temporal.assembled(spark.createDataFrame([(0, 3, dt.date(2000, 1, 11), 0.5)], "r int, c int, obs_date date, soft double"), height=4).first()
     assert (out["y"], out["x"], out["day_no"]) == (3, 3, 10)
+
+
+def test_windows_grow_and_close_like_sets_of_pixels(spark):
+    rng = np.random.default_rng(8)
+    masks = {k: rng.random((9, 9)) < 0.04 * k for k in range(4)}
+    rows = [(k, r, c, bool(m[r, c])) for k, m in masks.items() for r in range(9) for c in range(9)]
+    df = spark.createDataFrame(rows, "k int, r int, c int, on boolean")
+    sets = morphology.closed(morphology.dilated(df.where("on").select("k", "r", "c"), ["k"], 9), ["k"], 9)
+    got = {tuple(r) for r in morphology.grown_and_closed(df, ["k"], F.col("on"), "cloud").where("cloud").select("k", "r", "c").collect()}
+    assert got == {tuple(r) for r in sets.collect()} and got
