@@ -148,11 +148,17 @@ class Stack:
 
 
 class Page:
-    """Elements in page order (``tag``, ``parent``, ``attrs``) and the texts: (element, decoded text, starts a block)."""
+    """Elements in page order (``tag``, ``parent``, ``attrs``) and the texts: (element, decoded text, starts a block).
+
+    Every page has one html and one body element, as HTML's rules for its tree say: they are there before any tag, their tags only bring attributes, and their
+    end tags end nothing.  A slash before ``>`` means nothing outside svg and math.
+    """
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.attrs, self.texts = ["#page"], [-1], [""], []
+        self.tag, self.parent, self.attrs, self.texts = ["#page", "html", "body"], [-1, 0, 1], [""] * 3, []
         stack, at, fresh = Stack(), 0, True
+        stack.push(1, "html")
+        stack.push(2, "body")
         found = markup(source)
         for start, after, tag, attrs in found:
             if start > at:
@@ -165,8 +171,11 @@ class Page:
                 fresh = True
             if tag == "br" or tag == "/br":
                 self._text(" ", stack.nodes[-1], fresh)
+            elif tag in ("html", "body"):
+                self.attrs[1 + (tag == "body")] += attrs
             elif tag[0] == "/":
-                stack.end(tag[1:])
+                if tag not in ("/html", "/body"):
+                    stack.end(tag[1:])
             elif tag in _RAW:
                 if not attrs.endswith("/") or tag not in ("svg", "math"):
                     end = _RAW[tag].search(source, at)
@@ -178,11 +187,10 @@ class Page:
                     stack.imply(("p",), ("table", "td", "button"))
                 elif tag in CLOSES:
                     stack.imply(CLOSES[tag], _SCOPE[tag])
-                if not attrs.endswith("/"):
-                    self.tag.append(tag)
-                    self.parent.append(stack.nodes[-1])
-                    self.attrs.append(attrs)
-                    stack.push(len(self.tag) - 1, tag)
+                self.tag.append(tag)
+                self.parent.append(stack.nodes[-1])
+                self.attrs.append(attrs)
+                stack.push(len(self.tag) - 1, tag)
         if at < len(source):
             self._text(source[at:], stack.nodes[-1], fresh)
 
@@ -295,11 +303,14 @@ def labelled_pages(n: int = 600, seed: int = 3) -> list[str]:
         parts = [f"<h{r.choice('112')}>{sentence(2, 9)}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.choice((1, 1, 1, 1, 2, 2, 3, 5, 8, 14))):
             parts.append(r.choices((f"<p>{para()}{'</p>' if close else ''}", f"<p><{(b := r.choice(('b', 'i', 'em', 'span')))}>{sentence()}{r.choice(('<br>', f'</{b}>', '<br><br>'))}{r.choice(('<p>', '</p><p>'))}{para()}</p>", f"<h2>{sentence(1, 6)}</h2><p>{para()}</p>", f"<blockquote>{para(1, 3)}</blockquote>", f"<ul>{''.join(f'<li>{sentence()}</li>' for _ in range(r.randint(2, 5)))}</ul>", f"<div>{para()}</div>", f'<p>{para(1, 2)} <a href="/{word()}">{word()}</a> {para(1, 2)}</p>', f"<p>{word()}</p>", f"<pre>{para(1, 2)}</pre>", f"<table><tr><td>{word()}<td>{sentence(1, 5)}</table>"), (12, 3, 3, 1, 1, 2, 3, 1, 1, 1))[0])
+        bare = r.random() < 0.1  # no element around the article
+        if bare:
+            parts = [re.sub(r"<(p|h1|h2|blockquote|ul|div|pre|table)>", r'<\1 data-y="1">', x) for x in parts]
         if inner:
             parts.insert(r.randint(1, len(parts)), other(inner))
         mixed = f' id="{r.choice([w for v in BAD.values() for w in v.split()])}-{r.choice(("wrapper", "wrap", "area", "page"))}" class="{r.choice(GOOD)}-{r.choice(GOOD)}"'
         tag, attr = r.choice((("div", mixed), ("article", ""), ("article", ""), ("article", cls("post", "entry")), ("main", ""), ("div", cls("content", "article", "post", "story", "entry")), ("section", cls("content", "main")), ("div", "")))
-        body = f'<{tag}{attr} data-y="1">{"".join(parts)}</{tag}>'
+        body = "".join(parts) if bare else f'<{tag}{attr} data-y="1">{"".join(parts)}</{tag}>'
         if r.random() < 0.3:
             wrap = r.choice(("div", "main", "section"))
             body = f"<{wrap}{r.choice(('', cls('container', 'wrapper', 'page'), cls('container', 'wrapper', 'page'), mixed))}>{body}{other('side') if r.random() < 0.4 else ''}</{wrap}>"
@@ -330,6 +341,12 @@ def train(pages: list[str] | None = None) -> BoostedTrees:
     return BoostedTrees(x, y)
 
 
+@lru_cache(maxsize=1)
+def default_model() -> BoostedTrees:
+    """The trees of labelled_pages(), grown once in a process."""
+    return train()
+
+
 def extract(sources: list[str], model: BoostedTrees) -> list[str]:
     pages = [Page(s) for s in sources]
     if not pages:
@@ -338,14 +355,17 @@ def extract(sources: list[str], model: BoostedTrees) -> list[str]:
     out, at = [], 0
     for p in pages:
         n = len(p.tag)
-        out.append(p.blocks(p.decode(np.append(30.0, odds[at + 1 : at + n]))))
+        mine = np.append(30.0, odds[at + 1 : at + n])
+        if n == 3:  # no tags: plain text
+            mine[:] = 30.0
+        out.append(p.blocks(p.decode(mine)))
         at += n
     return out
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: list[str] | None = None) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row."""
-    sent = pages.sparkSession.sparkContext.broadcast(train(labelled))
+    sent = pages.sparkSession.sparkContext.broadcast(train(labelled) if labelled is not None else default_model())
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
