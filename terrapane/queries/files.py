@@ -97,3 +97,32 @@ def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = cells.drop("region_key").join(patch_store.read_store(spark, path).select("grid_id"), "grid_id", "left_anti")
     patch_store.upsert_patches(rest.withColumn("run", F.lit(2)).select("grid_id", "lc", "variable", "run"), path, by=["variable"])
     return patch_store.read_store(spark, path).select("grid_id", "lc", "run")
+
+
+_IMAGES = """select patch_id // 16 % 4 as image, cast(date '2024-01-01' + cast(patch_id // 16 % 4 as int) as date) as obs_date, patch_id // 64 as band_of, cast(300 + patch_id % 16 // 4 * 8 + r as int) as row, cast(700 + patch_id % 4 * 8 + c as int) as col, v from f_patch"""
+
+
+@query(
+    "s14_collection_export",
+    f"""with p as (select image, obs_date, row, col, max(v) as v, count(*)::double as n from ({_IMAGES}) where obs_date >= date '2024-01-02' group by 1,2,3,4), b as (select region_key, 704 + region_key % 5 as c0, 704 + region_key % 5 + 13 as c1, 303 + region_key % 7 as r0, 303 + region_key % 7 + 11 as r1 from f_cells group by 1),
+ k as (select *, unnest(range(6)) as part from b), q as (select region_key, part, c0 + (c1 - c0) * (part // 3) // 2 as l, c0 + (c1 - c0) * (part // 3 + 1) // 2 as r, r0 + (r1 - r0) * (part % 3) // 3 as t, r0 + (r1 - r0) * (part % 3 + 1) // 3 as d from k)
+ select image || '-' || region_key || '-' || part as stem, obs_date, row - t as r, col - l as c, 'v' as name, round((v * 2 + 1)::float::double, 4) as value from p join q on row >= t and row < d and col >= l and col < r union all select image || '-' || region_key || '-' || part, obs_date, row - t, col - l, 'n', n from p join q on row >= t and row < d and col >= l and col < r""",
+)
+def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four images of 32 x 32 pixels of a quarter of a degree: those from 2 January on, two bands, clipped to a box of 13 x 11 pixels a region, in 2 x 3 parts."""
+    from datetime import date
+
+    from ..plans.export import export
+
+    k, step = C("patch_id"), 0.25
+    rows = fixtures.patch(spark, sf_dir)
+    image = (F.floor(k / 16) % 4).alias("image")
+    place = rows.select(image, (300 + F.floor(k % 16 / 4) * 8 + C("r")).cast("int").alias("row"), (700 + k % 4 * 8 + C("c")).cast("int").alias("col"), "v")
+    pixels = place.groupBy("image", "row", "col").agg(F.max("v").alias("v"), F.count("*").alias("n")).withColumn("obs_date", F.date_add(F.lit("2024-01-01").cast("date"), C("image").cast("int")))
+    key = C("region_key")
+    west, north = (704 + key % 5) * step - 180, 90 - (303 + key % 7) * step
+    regions = fixtures.cells(spark, sf_dir).select("region_key").distinct().select(key.alias("region"), west.alias("lon_min"), (north - 11 * step).alias("lat_min"), (west + 13 * step).alias("lon_max"), north.alias("lat_max"))
+    path = work_path(spark, "export")
+    export(pixels, regions, date(2024, 1, 2), date(2024, 2, 1), {"v": lambda v: v * 2 + 1, "n": lambda n: n}, step, path, (2, 3))
+    tiles = spark.read.format("geotiff").load(path).select(F.regexp_extract("path", r"([^/]+)_\d{8}\.tif$", 1).alias("stem"), "obs_date", "name", "width", "nodata", F.posexplode("data").alias("place", "value"))
+    return tiles.where(C("value") != C("nodata")).select("stem", "obs_date", F.floor(C("place") / C("width")).cast("int").alias("r"), (C("place") % C("width")).alias("c"), "name", F.round("value", 4).alias("value"))

@@ -130,3 +130,16 @@ def test_a_failed_write_leaves_no_file(spark, tmp_path, bad):
 def test_an_empty_folder_has_no_rows(spark, tmp_path):
     tiff.register(spark)
     assert spark.read.format("geotiff").load(str(tmp_path)).count() == 0
+
+
+def test_rasters_of_a_collection(spark):
+    """Missing pixels and nulls are nodata, images outside the dates and boxes without pixels are left out, an odd width is cut unevenly."""
+    from terrapane.plans.export import rasters
+
+    day = dt.date(2024, 1, 1)
+    pixels = spark.createDataFrame([(1, day, 360 + r, 720 + c, None if (r, c) == (0, 0) else float(10 * r + c)) for r in range(2) for c in range(5) if (r, c) != (1, 4)] + [(2, dt.date(2024, 2, 1), 360, 720, 1.0)], "image int, obs_date date, row int, col int, v double")
+    regions = spark.createDataFrame([("a", 0.0, -0.5, 1.25, 0.0), ("b", 50.0, 50.0, 51.0, 51.0), ("c", 0.01, -0.02, 0.02, -0.01)], "region string, lon_min double, lat_min double, lon_max double, lat_max double")
+    got = {r["name"]: r for r in rasters(pixels, regions, day, dt.date(2024, 2, 1), {"v": lambda v: v + 1}, 0.25, (2, 1)).collect()}
+    assert set(got) == {"1-a-0", "1-a-1"}
+    assert (got["1-a-0"]["width"], got["1-a-1"]["width"], got["1-a-1"]["height"]) == (2, 3, 2) and got["1-a-1"]["west"] == 0.5 and got["1-a-0"]["north"] == 0.0
+    assert got["1-a-0"]["bands"] == [[None, 2.0, 11.0, 12.0]] and got["1-a-1"]["bands"] == [[3.0, 4.0, 5.0, 13.0, 14.0, None]] and got["1-a-0"]["nodata"] == -9999.0
