@@ -35,6 +35,23 @@ def keep_updates(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def compact(spark: SparkSession, path: str, key: Sequence[str]) -> None:
+    """Merges the updates of all batches but the newest into one partition, the last but one, so that updates don't pile up.
+
+    The newest batch is left as it is, as it is the only one that may run again.  Older partitions go after the merged one is written; if that is
+    cut short, they hold only states that the merged one has as new or newer, so ``current`` stays the same.
+    """
+    batches = sorted(r[0] for r in spark.read.parquet(path).select("batch_id").distinct().collect())
+    if len(batches) < 3:
+        return
+    old = spark.read.parquet(path).where(F.col("batch_id") <= batches[-2])
+    store.write_patches(store.keep_latest(old, key, ["batch_id"]).withColumn("batch_id", F.lit(batches[-2])), path, ("batch_id",))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for n in batches[:-2]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"batch_id={n}"), True)
+
+
 def current(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
     """The last state of each key in the updates."""
     return store.keep_latest(spark.read.parquet(path), key, ["batch_id"]).drop("batch_id")

@@ -132,3 +132,21 @@ def test_stored_days_read_no_data_column(spark, tmp_path):
 def test_days_of_file_names(spark):
     names = [("file:/a/MOD09_20240131.tif",), ("file:/a/MOD09_20241331.tif",), ("file:/a/x.tif",), ("file:/a/20240131.tif",), (None,), ("file:/b/MOD09_20240131.tif",)]
     assert [r["obs_date"] for r in patch_store.days_of_names(spark.createDataFrame(names, "path string")).collect()] == [dt.date(2024, 1, 31)]
+
+
+def test_compacted_updates_have_the_same_state(spark, tmp_path):
+    from terrapane.streaming import daily
+
+    path, sink = str(tmp_path / "u"), daily.keep_updates(str(tmp_path / "u"))
+    state = lambda: sorted(tuple(r) for r in daily.current(spark, path, ["k"]).select("k", "v").collect())
+    for n, rows in enumerate([[(1, 10), (2, 20)], [(1, 11)], [(3, 30)], [(2, 22), (1, 12)]]):
+        sink(spark.createDataFrame(rows, "k int, v int"), n)
+    before = state()
+    daily.compact(spark, path, ["k"])
+    assert state() == before == [(1, 12), (2, 22), (3, 30)] and sorted(d for d in os.listdir(path) if d.startswith("batch")) == ["batch_id=2", "batch_id=3"]
+    sink(spark.createDataFrame([(1, 13)], "k int, v int"), 3)  # the newest batch runs again, with other rows
+    assert state() == [(1, 13), (2, 20), (3, 30)]
+    daily.compact(spark, path, ["k"])
+    sink(spark.createDataFrame([(4, 40)], "k int, v int"), 4)
+    daily.compact(spark, path, ["k"])
+    assert state() == [(1, 13), (2, 20), (3, 30), (4, 40)] and len(os.listdir(path)) < 5
