@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .words import Words, slices
+from .words import Words, release, slices
 
 BLOCK_SHINGLES = 2_000_000
 PAIRS = "doc_id long, item_id long, shared long, n_item long"
@@ -127,6 +127,7 @@ def without_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int =
                     keep = np.ones(part.num_rows, bool)
                     keep[[f[0] for f in index.value.search(part.column(part.schema.get_field_index(text_col)))]] = False
                     yield part.filter(pa.array(keep))
+                release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .words import slices, string_buffers
+from .words import release, slices, string_buffers
 
 WINDOW = 256
 TRAIN_DOCS, TRAIN_CHARS, DOC_CHARS = 96, 24_000, 600
@@ -259,5 +259,6 @@ def keep_identified(docs: DataFrame, texts_by_language: dict[str, list[str]], te
             for part in slices(batch, text_col, 1 << 20):
                 names, _, rate = model.predict(part.column(part.schema.get_field_index(text_col)))
                 yield part.filter(pa.array([n != "und" and r <= most_rate for n, r in zip(names, rate, strict=True)], pa.bool_()))
+            release()  # workers are kept between stages, so what one has freed is the next one's room
 
     return docs.mapInArrow(run, docs.schema)

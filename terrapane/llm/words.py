@@ -7,6 +7,8 @@ Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,6 +54,19 @@ def unpack(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def release() -> None:
+    """Gives memory that the allocators have freed back to the system, where that is known how."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     """The batch in row ranges whose texts have about ``most`` bytes (one row at least)."""
     if not batch.num_rows:
