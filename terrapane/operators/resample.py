@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -35,16 +35,21 @@ def nearest_within(targets: DataFrame, samples: DataFrame, metres: float, target
     return best.select(*key, target_id, f"best.{sample_id}", "best.metres", *[f"best.{c}" for c in carry])
 
 
-def bilinear(points: DataFrame, raster: DataFrame, key: Sequence[str], point_id: str, rows: int, cols: int, value: str = "v", outside: float | None = 0.0) -> DataFrame:
-    """Samples a raster (key, r, c, value) at fractional (fr, fc): key, point_id, value; points outside, and those with a null corner, give ``outside``."""
+def bilinear(points: DataFrame, raster: DataFrame, key: Sequence[str], point_id: str, rows: int, cols: int, value: str = "v", outside: float | None = 0.0, carry: Sequence[str] = ()) -> DataFrame:
+    """Samples a raster (key, r, c, value) at fractional (fr, fc): key, point_id, carry, value; points outside, and those with a null corner, give ``outside``.
+
+    Pixels and corners are many more rows than the tables they are made from, which Spark's estimates don't see, so they are joined by sorting and never broadcast.
+    """
     inside = F.col("fr").between(0, rows - 1) & F.col("fc").between(0, cols - 1)
     r0, c0 = F.least(F.floor("fr"), F.lit(rows - 2)).cast("int"), F.least(F.floor("fc"), F.lit(cols - 2)).cast("int")
     p = points.withColumn("inside", inside).withColumn("r0", r0).withColumn("c0", c0)
     wr, wc = F.col("fr") - F.col("r0"), F.col("fc") - F.col("c0")
     corners = F.array(*[F.struct((F.col("r0") + i).alias("r"), (F.col("c0") + j).alias("c"), ((wr if i else 1 - wr) * (wc if j else 1 - wc)).alias("w")) for i in (0, 1) for j in (0, 1)])
-    spread = p.where("inside").select(*key, point_id, F.explode(corners).alias("corner_")).select(*key, point_id, "corner_.*")
-    found = spread.join(raster, [*key, "r", "c"]).groupBy(*key, point_id).agg(F.when(F.count(value) == F.count("*"), F.sum(F.col("w") * F.col(value))).alias(value))
-    return points.select(*key, point_id).join(found, [*key, point_id], "left").withColumn(value, F.coalesce(value, F.lit(outside)) if outside is not None else F.col(value))
+    spread = p.select(*key, point_id, *[F.col(c).alias(f"{c}_kept_") for c in carry], F.explode_outer(F.when(F.col("inside"), corners)).alias("corner_")).select("*", "corner_.*").drop("corner_")
+    near = spread.join(raster.select(*key, "r", "c", value, F.lit(True).alias("hit_")).hint("merge"), [*key, "r", "c"], "left")
+    found = F.when(F.count(value) == F.count("hit_"), F.sum(F.col("w") * F.col(value)))
+    out = near.groupBy(*key, point_id).agg(*[F.first(f"{c}_kept_").alias(c) for c in carry], found.alias(value))
+    return out.withColumn(value, F.coalesce(value, F.lit(outside))) if outside is not None else out
 
 
 def reprojected(raster: DataFrame, frames: DataFrame, key: Sequence[str], source: str, target: str, shape: tuple[int, int], step: float, source_shape: tuple[int, int], source_step: float, method: str = "bilinear", value: str = "v") -> DataFrame:
@@ -61,18 +66,23 @@ def reprojected(raster: DataFrame, frames: DataFrame, key: Sequence[str], source
     points = grid.select(*key, "point_id", F.col("tr").alias("r"), F.col("tc").alias("c"), "lat", "lon", "fr", "fc")
     if method == "nearest":
         near = points.withColumn("tr", F.col("r")).withColumn("tc", F.col("c")).withColumn("r", F.floor(F.col("fr") + 0.5).cast("int")).withColumn("c", F.floor(F.col("fc") + 0.5).cast("int"))
-        return near.join(raster.select(*key, "r", "c", value), [*key, "r", "c"], "left").select(*key, F.col("tr").alias("r"), F.col("tc").alias("c"), "lat", "lon", value)
+        return near.join(raster.select(*key, "r", "c", value).hint("merge"), [*key, "r", "c"], "left").select(*key, F.col("tr").alias("r"), F.col("tc").alias("c"), "lat", "lon", value)
     if method != "bilinear":
         raise ValueError(f"unknown method {method}")
-    found = bilinear(points.select(*key, "point_id", "fr", "fc"), raster, key, "point_id", *source_shape, value, outside=None)
-    return points.drop("fr", "fc").join(found, [*key, "point_id"]).select(*key, "r", "c", "lat", "lon", value)
+    return bilinear(points, raster, key, "point_id", *source_shape, value, outside=None, carry=["r", "c", "lat", "lon"]).select(*key, "r", "c", "lat", "lon", value)
 
 
 def clipped(pixels: DataFrame, key: Sequence[str], box: tuple[float, float, float, float]) -> DataFrame:
     """The pixels (key, r, c, lat, lon, ...) inside (lon_min, lat_min, lon_max, lat_max); rasters that would keep one row or column at most are not clipped."""
     inside = F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])
-    kept = pixels.where(inside).groupBy(*key).agg(F.count_distinct("r").alias("rows_"), F.count_distinct("c").alias("cols_")).where("rows_ > 1 and cols_ > 1").select(*key, F.lit(True).alias("clip_"))
-    return pixels.join(kept, list(key), "left").where(inside | F.col("clip_").isNull()).drop("clip_")
+    return _inside_or_whole(pixels.withColumn("in_", inside), key).select(pixels.columns)
+
+
+def _inside_or_whole(marked: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The pixels (key, r, c, in_, ...) marked by in_, and all those of rasters with one row or column of them at most."""
+    of = lambda c, f: f(F.when(F.col("in_"), F.col(c))).over(Window.partitionBy(*key))
+    clips = F.coalesce((of("r", F.min) < of("r", F.max)) & (of("c", F.min) < of("c", F.max)), F.lit(False))
+    return marked.withColumn("clips_", clips).where(F.col("in_") | ~F.col("clips_"))
 
 
 def clipped_to_boxes(pixels: DataFrame, frames: DataFrame, key: Sequence[str], target: str, step: float) -> DataFrame:
@@ -86,18 +96,16 @@ def clipped_to_boxes(pixels: DataFrame, frames: DataFrame, key: Sequence[str], t
     boxes = geo.projected(boxes, target, F.col("lat_max"), F.col("lon_max"), "x1_", "y1_").select(*key, F.col("west").alias("west_"), F.col("north").alias("north_"), "x0_", "y0_", "x1_", "y1_")
     x, y = F.col("west_") + (F.col("c") + 0.5) * step, F.col("north_") - (F.col("r") + 0.5) * step
     inside = F.coalesce(x.between(F.col("x0_") - step / 2, F.col("x1_") + step / 2) & y.between(F.col("y0_") - step / 2, F.col("y1_") + step / 2), F.lit(True))
-    # A box of axes keeps whole rows and columns, so it keeps one of either at most, or none, if its rows or columns are no more.
-    marked = pixels.join(boxes, list(key)).withColumn("in_", inside)
-    kept = marked.where("in_").groupBy(*key).agg((F.min("r") < F.max("r")).alias("rows_"), (F.min("c") < F.max("c")).alias("cols_")).where("rows_ and cols_").select(*key, F.lit(True).alias("clip_"))
-    return marked.join(kept, list(key), "left").where(F.col("in_") | F.col("clip_").isNull()).select(pixels.columns)
+    return _inside_or_whole(pixels.join(boxes.hint("merge"), list(key)).withColumn("in_", inside), key).select(pixels.columns)
 
 
 def of_shape(pixels: DataFrame, key: Sequence[str], rows: int, cols: int) -> DataFrame:
     """The same pixels; a raster of another shape is an error when it is read."""
-    n = pixels.groupBy(*key).agg(F.count("*").alias("n_"), (F.max("r") + 1).alias("rows_"), (F.max("c") + 1).alias("cols_"))
+    whole = Window.partitionBy(*key)
+    n = pixels.withColumns({"n_": F.count("*").over(whole), "rows_": F.max("r").over(whole) + 1, "cols_": F.max("c").over(whole) + 1})
     wrong = (F.col("n_") != rows * cols) | (F.col("rows_") != rows) | (F.col("cols_") != cols)
-    checked = n.where(F.when(wrong, F.raise_error(F.concat(F.lit(f"a raster is not {rows} x {cols}: "), F.to_json(F.struct(*key))))).otherwise(True).cast("boolean")).select(*key)
-    return pixels.join(checked, list(key), "left_semi")
+    error = F.raise_error(F.concat(F.lit(f"a raster is not {rows} x {cols}: "), F.to_json(F.struct(*key))))
+    return n.where(F.when(wrong, error).otherwise(True).cast("boolean")).select(pixels.columns)
 
 
 def mosaic(pieces: DataFrame, key: Sequence[str], order: str, value: str = "v") -> DataFrame:

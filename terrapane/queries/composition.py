@@ -150,7 +150,7 @@ _FROM_EQUAL_AREA = f"""with f as (select *, sin(radians(lat0)) as s from ({_FRAM
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = fixtures.table(spark, sf_dir, "embeddings").select(C("vec_id").alias("patch_id"))
-    rows = fixtures.cells(spark, sf_dir).select(C("cell_id").alias("patch_id"), C("lat").alias("lat0"), C("lon").alias("lon0")).join(ids, "patch_id", "left_semi")
+    rows = fixtures.cells(spark, sf_dir).select(C("cell_id").alias("patch_id"), C("lat").alias("lat0"), C("lon").alias("lon0")).join(ids.hint("merge"), "patch_id", "left_semi")
     x, y = geo.sinusoidal(C("lat0"), C("lon0"))
     ex, ey = geo.equal_area(C("lat0"), C("lon0"))
     return rows.withColumns({"source_west": x - 4000.0, "source_north": y + 4000.0, "west": ex - 3000.0, "north": ey + 3000.0})

@@ -439,3 +439,18 @@ def test_windows_grow_and_close_like_sets_of_pixels(spark):
     sets = morphology.closed(morphology.dilated(df.where("on").select("k", "r", "c"), ["k"], 9), ["k"], 9)
     got = {tuple(r) for r in morphology.grown_and_closed(df, ["k"], F.col("on"), "cloud").where("cloud").select("k", "r", "c").collect()}
     assert got == {tuple(r) for r in sets.collect()} and got
+
+
+@pytest.mark.parametrize("name", ["g14_reproject_nearest", "g14_reproject_clip", "g14_reproject_utm", "g15_regrid", "g19_reproject_patch", "g14_bilinear"])
+def test_pixels_and_corners_are_never_broadcast(spark, sf_dir, name):
+    from terrapane import catalog
+
+    # By their files these tables look small; their pixels and corners are hundreds of times as many rows.
+    assert "Broadcast" not in catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bilinear_outside_and_without_a_raster(spark):
+    raster = spark.createDataFrame([(1, r, c, None if (r, c) == (2, 2) else float(r)) for r in range(3) for c in range(3)], "k int, r int, c int, v double")
+    points = spark.createDataFrame([(1, 0, 0.5, 0.5), (1, 1, 1.5, 1.5), (1, 2, 5.0, 0.0), (1, 3, None, 0.0), (2, 4, 0.5, 0.5)], "k int, p int, fr double, fc double")
+    got = {r["p"]: r["v"] for r in resample.bilinear(points, raster, ["k"], "p", 3, 3, outside=-1.0).collect()}
+    assert got == {0: 0.5, 1: -1.0, 2: -1.0, 3: -1.0, 4: -1.0}
