@@ -288,15 +288,22 @@ def grid_indices_of(lat: Column, lon: Column, km: float) -> tuple[Column, Column
     """(row, col) of the cell a point is in.
 
     An odd number of rows leaves half a row at the south pole, which belongs to the southernmost row; an odd number of columns puts the last one across the date line.
+    A cell has its south-western edges, as ``grid_point`` gives them: the quotient may be off by one beside an edge, so it is held against both.
     """
     n = grid_rows(km)
-    row = F.greatest(F.lit(-(n // 2)), F.least(F.lit(n - n // 2 - 1), F.floor(lat * n / 180.0))).cast("long")
+    row = F.greatest(F.lit(-(n // 2)), F.least(F.lit(n - n // 2 - 1), _between(lat, F.lit(n), 180.0)))
     m = grid_columns(row, km)
-    turn = F.floor((lon + 180.0) / 360.0) * 360.0
-    col = F.floor((lon - turn) * m / 360.0).cast("long")
+    east = lon - F.floor((lon + 180.0) / 360.0) * 360.0
+    col = _between(east, m, 360.0)
     return row, F.when(col < -F.floor(m / 2), col + m).otherwise(col)
 
 
+def _between(at: Column, parts: Column, span: float) -> Column:
+    """The k with k * span / parts <= at < (k + 1) * span / parts, as these are rounded."""
+    k = F.floor(at * parts / span).cast("long")
+    return F.when(at < k * span / parts, k - 1).when(at >= (k + 1) * span / parts, k + 1).otherwise(k)
+
+
 def grid_name(row: Column, col: Column) -> Column:
     """An id such as 12D_34L: rows up (U) or down (D) from the equator, columns right (R) or left (L) of Greenwich."""
     part = lambda n, above, below: F.when(n < 0, F.concat((-n).cast("string"), F.lit(below))).otherwise(F.concat(n.cast("string"), F.lit(above)))

@@ -152,3 +152,14 @@ def test_solar_noon_at_the_equator(spark):
     v = spark.range(1).select(cos_solar_zenith(F.lit(0.0), F.lit(0.0), F.lit(81), F.lit(12.0))).first()[0]
     assert v > 0.999 and math.isfinite(v)
     assert np.isclose(v, np.cos(np.radians(15 * (-7.53 / 60))), atol=1e-6)
+
+
+def test_every_cell_of_the_grid_has_its_own_point(spark):
+    km = 400.0
+    n = geo.grid_rows(km)
+    rows = spark.range(-(n // 2), n - n // 2).withColumn("m", geo.grid_columns(C("id"), km))
+    cells = rows.select(C("id").alias("row"), F.explode(F.sequence(-F.floor(C("m") / 2), C("m") - F.floor(C("m") / 2) - 1)).alias("col"))
+    lat, lon = geo.grid_point(C("row"), C("col"), km)
+    back = geo.grid_indices_of(C("lat"), C("lon"), km)
+    found = cells.select("row", "col", lat.alias("lat"), lon.alias("lon")).select("row", "col", back[0].alias("r"), back[1].alias("c"))
+    assert found.where("r <> row or c <> col").count() == 0 and found.count() > 3000
