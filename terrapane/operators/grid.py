@@ -61,6 +61,12 @@ def tile_catalog(cells: DataFrame) -> DataFrame:
     return with_tiles(cells).groupBy("h", "v").agg(F.sort_array(F.collect_list(F.struct("cell_id", "grid_id", "lat", "lon"))).alias("cells"))
 
 
+def pairs_by_tile(left: DataFrame, right: DataFrame) -> DataFrame:
+    """h, v, n: how many pairs of rows of both tables are in each tile; both are counted by tile, so no pair is made."""
+    count = lambda rows, name: rows.groupBy("h", "v").agg(F.count("*").alias(name))
+    return count(left, "left_").join(count(right, "right_"), ["h", "v"]).select("h", "v", (F.col("left_") * F.col("right_")).alias("n"))
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, degrees: float = 10.0) -> DataFrame:
     """Range join of points (lat, lon) and boxes: boxes are dealt to the degree buckets they cover, so the join is by equality and then by bounds."""
     bucket = lambda c: F.floor(c / degrees).cast("int")

@@ -77,7 +77,7 @@ def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j01_granules_to_cells", f"with c as (select cell_id, cast(floor((6371007.181*radians(lon)*cos(radians(lat)) + 20015109)/1111950) as int) as h, cast(floor((10007555 - 6371007.181*radians(lat))/1111950) as int) as v from f_cells) select g.h, g.v, count(*) as n from {_CATALOG} g join c on c.h = g.h and c.v = g.v group by 1,2")
 def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark, sf_dir).join(grid.with_tiles(fixtures.cells(spark, sf_dir)).select("cell_id", "h", "v"), ["h", "v"]).groupBy("h", "v").agg(F.count("*").alias("n"))
+    return grid.pairs_by_tile(catalog(spark, sf_dir), grid.with_tiles(fixtures.cells(spark, sf_dir)))
 
 
 _DAYS = "(select distinct pixel_id, obs_date from f_obs where variable = '{}')"

@@ -454,3 +454,9 @@ def test_bilinear_outside_and_without_a_raster(spark):
     points = spark.createDataFrame([(1, 0, 0.5, 0.5), (1, 1, 1.5, 1.5), (1, 2, 5.0, 0.0), (1, 3, None, 0.0), (2, 4, 0.5, 0.5)], "k int, p int, fr double, fc double")
     got = {r["p"]: r["v"] for r in resample.bilinear(points, raster, ["k"], "p", 3, 3, outside=-1.0).collect()}
     assert got == {0: 0.5, 1: -1.0, 2: -1.0, 3: -1.0, 4: -1.0}
+
+
+def test_pairs_by_tile_makes_no_pairs(spark):
+    left = spark.createDataFrame([(0, 0, i) for i in range(50_000)] + [(1, 0, 0), (None, 0, 0)], "h int, v int, id int")
+    right = spark.createDataFrame([(0, 0)] * 40_000 + [(2, 0), (None, 0)], "h int, v int")
+    assert [tuple(r) for r in grid.pairs_by_tile(left, right).collect()] == [(0, 0, 2_000_000_000)]
