@@ -72,18 +72,15 @@ _KIND = "".join("l" if chr(c).islower() else "u" if chr(c).isupper() else "d" if
 _DICT = re.compile("(?=(" + "|".join(sorted(map(re.escape, DICTIONARY), key=len, reverse=True)) + "))")
 _HEX, _LETTERS = re.compile(r"[0-9a-fA-F]*\Z"), re.compile(r"[A-Za-z]+")
 _CUE, CUE_SET, BENIGN_SET = re.compile("|".join(CUES)), frozenset(CUES), frozenset(BENIGN)
-LONGEST = 4096  # features of longer candidates are those of their first and last LONGEST / 2 characters, and the whole length
+_MOVES = tuple(a + b for a in "ludo" for b in "ludo" if a != b)
 
 
 @lru_cache(maxsize=1 << 12)
 def value_features(value: str) -> tuple[float, ...]:
-    """The features of a value alone."""
-    whole = len(value)
-    if whole > LONGEST:
-        value = value[: LONGEST // 2] + value[-LONGEST // 2 :]
+    """The features of a value alone, over all of its characters; linear in its length."""
     n, kinds = len(value), value.translate(_KIND) if value.isascii() else "".join(_KIND[ord(c)] if ord(c) < 256 else "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in value)
-    pairs = Counter(zip(kinds, kinds[1:], strict=False))
-    move = lambda a, b: pairs[a, b] + pairs[b, a]
+    pairs = {m: kinds.count(m) for m in _MOVES}
+    move = lambda a, b: pairs[a + b] + pairs[b + a]
     entropy = math.log2(n) - sum(c * math.log2(c) for c in Counter(value).values()) / n
     low = value.lower()
     covered, end = 0, 0
@@ -94,7 +91,7 @@ def value_features(value: str) -> tuple[float, ...]:
     letters = sum(map(len, runs := _LETTERS.findall(value)))
     vowels = sum(low.count(c) for c in "aeiou") / max(1, letters if value.isascii() else sum(c.isalpha() for c in low))
     return (
-        whole, *(kinds.count(k) / n for k in "ludo"), entropy, entropy / math.log2(max(n, 2)), sum(c for (a, b), c in pairs.items() if a != b) / max(1, n - 1),
+        n, *(kinds.count(k) / n for k in "ludo"), entropy, entropy / math.log2(max(n, 2)), sum(pairs.values()) / max(1, n - 1),
         move("l", "d"), move("u", "d"), move("l", "u"), covered / n, vowels, float(_HEX.match(value) is not None),
         value.count("/"), value.count("."), float("." in value[-6:]), float(value.startswith(PREFIXES)), max(map(len, runs), default=0),
     )

@@ -420,3 +420,12 @@ def test_fuzzy_passages_among_quoting_texts(quoting):
         texts += [words(r, 60) + base[(s := int(r.integers(0, 56))) : s + 16] + words(r, 60) for _ in range(quoting)]
         hits += frozenset((0, 1)) in found_passages([" ".join(t) for t in texts])
     assert hits >= 19
+
+
+def test_features_look_at_all_of_a_long_candidate():
+    from terrapane.llm.secret_scan import value_features
+
+    end, middle = "a" * 3000, "A1" * 2000
+    got = value_features(end + middle + end)
+    assert got[0] == 10000 and got[1:4] == (0.6, 0.2, 0.2)  # length, and the shares of lower-case letters, capitals and digits
+    assert got[7:11] == (4001 / 9999, 1, 3999, 1)  # transitions; of letters and digits, capitals and digits, letters of both kinds
