@@ -10,30 +10,46 @@ from pyspark.sql import functions as F
 from ..functions import bands
 
 
-def _spread(rows: DataFrame, key: Sequence[str], size: int, reach: int, axis: str) -> DataFrame:
-    """(key, r, c) of the pixels within reach along an axis, inside the raster."""
-    steps = F.explode(F.sequence(F.greatest(F.lit(0), F.col(axis) - reach), F.least(F.lit(size - 1), F.col(axis) + reach))).alias(axis)
-    return rows.select(*key, *[c for c in ("r", "c") if c != axis], steps)
+def _as_sets(true: DataFrame, key: Sequence[str], size: int) -> DataFrame:
+    """key, places: each raster's true pixels as r * size + c, so that the squares are taken inside a row; a raster is one row, pixels are shuffled once."""
+    place = F.col("r").cast("int") * size + F.col("c").cast("int")
+    return true.groupBy(*key).agg(F.collect_set(place).alias("places"))
+
+
+def _as_pixels(sets: DataFrame, key: Sequence[str], size: int) -> DataFrame:
+    rows = sets.select(*key, F.explode("places").alias("place_"))
+    return rows.select(*key, F.floor(F.col("place_") / size).cast("int").alias("r"), (F.col("place_") % size).cast("int").alias("c"))
+
+
+def _grown(places: Column, size: int, reach: int) -> Column:
+    """The places within a square of 2 * reach + 1 of some place, inside the raster: along columns, then along rows."""
+    c = lambda p: p % size
+    r = lambda p: F.floor(p / size).cast("int")
+    low, high = lambda at: F.least(F.lit(reach), at), lambda at: F.least(F.lit(reach), size - 1 - at)
+    wide = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p - low(c(p)), p + high(c(p))))))
+    return F.array_distinct(F.flatten(F.transform(wide, lambda p: F.sequence(p - low(r(p)) * size, p + high(r(p)) * size, F.lit(size)))))
+
+
+def _shrunk(places: Column, size: int, reach: int) -> Column:
+    """The places whose whole square is true: those that no false place, nor the outside of the raster, is near to."""
+    whole = F.sequence(F.lit(0), F.lit(size * size - 1))
+    inner = F.filter(whole, lambda p: (p % size).between(reach, size - 1 - reach) & F.floor(p / size).between(reach, size - 1 - reach))
+    return F.array_except(inner, _grown(F.array_except(whole, places), size, reach))
 
 
 def dilated(true: DataFrame, key: Sequence[str], size: int, reach: int = 2) -> DataFrame:
-    """The true pixels after dilation by a square of 2 * reach + 1: along columns, then along rows.  Dealt by key once; nothing else is shuffled."""
-    rows = true.select(*key, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).repartition(*key)
-    for axis in ("c", "r"):
-        rows = _spread(rows, key, size, reach, axis).distinct()
-    return rows.select(*key, "r", "c")
+    """The true pixels (inside a size x size raster) after dilation by a square of 2 * reach + 1."""
+    return _as_pixels(_as_sets(true, key, size).select(*key, _grown(F.col("places"), size, reach).alias("places")), key, size)
 
 
 def eroded(true: DataFrame, key: Sequence[str], size: int, reach: int = 2) -> DataFrame:
     """The pixels whose whole square is true; outside the raster counts as false."""
-    rows = true.select(*key, "r", "c")
-    for axis in ("c", "r"):
-        rows = _spread(rows, key, size, reach, axis).groupBy(*key, "r", "c").count().where(F.col("count") == 2 * reach + 1).select(*key, "r", "c")
-    return rows
+    return _as_pixels(_as_sets(true, key, size).select(*key, _shrunk(F.col("places"), size, reach).alias("places")), key, size)
 
 
 def closed(true: DataFrame, key: Sequence[str], size: int, reach: int = 2) -> DataFrame:
-    return eroded(dilated(true, key, size, reach), key, size, reach)
+    sets = _as_sets(true, key, size).select(*key, _shrunk(_grown(F.col("places"), size, reach), size, reach).alias("places"))
+    return _as_pixels(sets, key, size)
 
 
 def upsampled(pixels: DataFrame, factor: int, crop: int | None = None) -> DataFrame:

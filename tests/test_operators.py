@@ -460,3 +460,11 @@ def test_pairs_by_tile_makes_no_pairs(spark):
     left = spark.createDataFrame([(0, 0, i) for i in range(50_000)] + [(1, 0, 0), (None, 0, 0)], "h int, v int, id int")
     right = spark.createDataFrame([(0, 0)] * 40_000 + [(2, 0), (None, 0)], "h int, v int")
     assert [tuple(r) for r in grid.pairs_by_tile(left, right).collect()] == [(0, 0, 2_000_000_000)]
+
+
+def test_closing_holds_no_table_of_pixels(spark):
+    # The pixels were a hash table in each of four steps of one task, five times as many as came in.
+    true = mask_frame(spark, np.eye(12, dtype=bool))
+    for step in (morphology.dilated, morphology.eroded, morphology.closed):
+        plan = step(true, ["k"], 12)._jdf.queryExecution().executedPlan().toString()
+        assert " HashAggregate" not in plan and plan.count("Exchange") == 1
