@@ -16,9 +16,9 @@ def whole() -> WindowSpec:
     return Window.partitionBy("pixel_id")
 
 
-def within(days: float) -> WindowSpec:
-    """The steps within so many days (a multiple of a half) on either side."""
-    return whole().orderBy((F.col("day_no") * 2).cast("long")).rangeBetween(-int(2 * days), int(2 * days))
+def within(aggregate: str, days: float) -> Column:
+    """An aggregate (SQL) over the steps within so many days on either side.  day_no is a double; its order is that of ``pixel``, so rows are sorted once for both."""
+    return F.expr(f"{aggregate} over (partition by pixel_id order by day_no range between {float(days)!r}D preceding and {float(days)!r}D following)")
 
 
 def suppressed(y: Column, z: Column, p: float = 0.99) -> Column:
@@ -36,7 +36,7 @@ def run_lengths(rows: DataFrame, flag: str = "s") -> DataFrame:
 
 def window_share(rows: DataFrame, flag: str = "s", half: float = 10.0) -> DataFrame:
     """share: the mean flag over the calendar days within half of each step."""
-    return rows.withColumn("share", F.avg(flag).over(within(half)))
+    return rows.withColumn("share", within(f"avg(`{flag}`)", half))
 
 
 def gaps(rows: DataFrame, flag: str = "s") -> DataFrame:
@@ -48,7 +48,7 @@ def gaps(rows: DataFrame, flag: str = "s") -> DataFrame:
 
 def slopes(rows: DataFrame, value: str = "z", half: float = 2.5) -> DataFrame:
     """slope: the least-squares slope of value a day, within half days; 0 for fewer than two points."""
-    return rows.withColumn("slope", F.coalesce(F.regr_slope(F.col(value), F.col("day_no")).over(within(half)), F.lit(0.0)))
+    return rows.withColumn("slope", F.coalesce(within(f"regr_slope(`{value}`, day_no)", half), F.lit(0.0)))
 
 
 def high_risk(rows: DataFrame, most_run: int = 4) -> DataFrame:

@@ -20,7 +20,7 @@ _S = f"(select *, case when y is null or z is null or y < z then 1 else 0 end as
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """y, its centred mean z as a stand-in for an envelope, and a weight."""
     rows = fixtures.series(spark, sf_dir).withColumn("y", bands.ndvi(red=C("red"), nir=C("nir"))).withColumn("weight", F.when(C("day_no").cast("long") % 4 == 0, 0.0).otherwise(1.0))
-    return rows.withColumn("z", F.avg("y").over(temporal.within(10.0)))
+    return rows.withColumn("z", temporal.within("avg(y)", 10.0))
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
  select pixel_id, obs_date, run_length > 4 and (coalesce(slope > up, false) or coalesce(slope < down, false)) as high_risk from b""",
 )
 def w06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = temporal.slopes(temporal.run_lengths(flagged(spark, sf_dir))).withColumn("slope", F.round("slope", 9))
+    rows = temporal.run_lengths(temporal.slopes(flagged(spark, sf_dir)).withColumn("slope", F.round("slope", 9)))
     return temporal.high_risk(rows).select("pixel_id", "obs_date", "high_risk")
 
 

@@ -468,3 +468,9 @@ def test_closing_holds_no_table_of_pixels(spark):
     for step in (morphology.dilated, morphology.eroded, morphology.closed):
         plan = step(true, ["k"], 12)._jdf.queryExecution().executedPlan().toString()
         assert " HashAggregate" not in plan and plan.count("Exchange") == 1
+
+
+def test_windows_along_time_share_their_sorts(spark):
+    rows = series(spark, [0.0] * 9).withColumn("z", C("y")).withColumn("s", F.lit(1))
+    plan = temporal.high_risk(temporal.run_lengths(temporal.slopes(temporal.window_share(rows))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Sort [") <= 2  # by day, and by the runs of a pixel; they were four
