@@ -42,12 +42,17 @@ def byte_letters() -> list[str]:
 
 
 def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Byte-pair merging: the adjacent pair of least rank, leftmost first, until none has a rank."""
-    while len(symbols) > 1:
-        rank, at = min((ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-        if rank == 1 << 30:
-            break
+    """The tokens of one pre-token: the pair of least rank is merged, the leftmost first, until none is left.  Only the pairs beside a merge are looked up again."""
+    find, none = ranks.get, len(ranks)
+    rank = [find(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+    while rank and (least := min(rank)) < none:
+        at = rank.index(least)
         symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        del rank[at]
+        if at:
+            rank[at - 1] = find((symbols[at - 1], symbols[at]), none)
+        if at < len(rank):
+            rank[at] = find((symbols[at], symbols[at + 1]), none)
     return symbols
 
 

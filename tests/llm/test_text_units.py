@@ -429,3 +429,18 @@ def test_features_look_at_all_of_a_long_candidate():
     got = value_features(end + middle + end)
     assert got[0] == 10000 and got[1:4] == (0.6, 0.2, 0.2)  # length, and the shares of lower-case letters, capitals and digits
     assert got[7:11] == (4001 / 9999, 1, 3999, 1)  # transitions; of letters and digits, capitals and digits, letters of both kinds
+
+
+def test_merging_looks_up_only_the_pairs_beside_a_merge():
+    from terrapane.llm.token_counts import merged
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    ranks = Counted({("a", "b"): 0, ("ab", "ab"): 1, ("abab", "abab"): 2})
+    assert merged(list("ab" * 32), ranks) == ["abababab"] * 8
+    assert ranks.asked <= 63 + 2 * 56  # 63 pairs, then two beside each of 56 merges; it was all pairs at every merge
