@@ -165,6 +165,19 @@ def test_passages_made_of_frequent_phrases(spark):
     assert all(any(s <= 45 and e >= 97 for s, e in found[i]) for i in range(100, 112)), found
 
 
+def test_fuzzy_passages_of_frequent_seeds_only(spark):
+    """Two texts of ten share 72 words of which every ninth differs, and 150 other texts quote 16 of the words each: all ten pairs are found."""
+    texts = []
+    for n in range(10):
+        base = prose(100 + n, 72).split()
+        texts += [[*prose(9000 + n, 40).split(), *base, *prose(9100 + n, 40).split()], [*prose(9200 + n, 50).split(), *(w if i % 9 else f"x{n}.{i}" for i, w in enumerate(base)), *prose(9300 + n, 60).split()]]
+        texts += [[*prose(10_000 + 200 * n + m, 60).split(), *base[(s := m % 57) : s + 16], *prose(20_000 + 200 * n + m, 60).split()] for m in range(150)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {frozenset((r["doc_id"], r["other_id"])) for r in substring_dedup.repeated_passages(df).collect()}
+    shares_a_seed = [n for n in range(10) if n * 152 in set().union(*got)]
+    assert {frozenset((n * 152, n * 152 + 1)) for n in shares_a_seed} == got and len(shares_a_seed) >= 8
+
+
 def test_lm_against_plain_python(spark, odd):
     train = odd.where("doc_id % 5 <> 1")
     got = {(r["doc_id"], r["n_tokens"]): r for r in ngram_lm.score(odd, train).collect()}

@@ -422,6 +422,35 @@ def test_fuzzy_passages_among_quoting_texts(quoting):
     assert hits >= 19
 
 
+def test_occurrences_of_frequent_seeds_are_all_compared():
+    """Against brute force: pairs with enough agreement on one diagonal are matched, or both with copies of each other; also when they are dealt to blocks."""
+    from terrapane.llm import substring_dedup as d
+
+    around, r, n, half = d.Around(6, 50, 80), np.random.default_rng(5), 300, 57
+    assert around.side == 56 and len(around.places) == 2 * half and around.need == 25
+    near = r.integers(1, 255, (n, 2 * half)).astype(np.uint8)
+    for c in range(40):  # weakly alike: 34 words of one side
+        near[200 + c, half : half + 34] = near[c, half : half + 34]
+    for c in range(100, 180):  # copies
+        near[c] = np.where(r.random(2 * half) < 0.01, r.integers(1, 255, 2 * half), near[100])
+    same = (near[:, None, 1:-1] == near[None, :, 1:-1]).sum(axis=2) >= around.need
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(same, 1)), strict=True)}
+    assert {(c, 200 + c) for c in range(40)} <= want and len(want) > 3000
+    for block in (np.zeros(n, np.int32), (np.arange(n) % 2).astype(np.int32)):
+        got = set()
+        for low, high in ((0, 0), (0, 1), (1, 1)) if block.any() else ((0, 0),):
+            at = np.flatnonzero((block == low) | (block == high))
+            table = pa.table({"seed": np.ones(len(at), np.int64), "class": at, "place": np.zeros(len(at), np.int32), "block": block[at], "near": [near[x].tobytes() for x in at]})
+            for a, b, _, _ in d.near_matches(table, around):
+                got |= {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        root = list(range(n))
+        for i, j in got:  # the classes of what was matched
+            old, new = root[i], root[j]
+            root = [new if x == old else x for x in root]
+        assert all(root[i] == root[j] for i, j in want) and {(c, 200 + c) for c in range(40)} <= got
+        assert len(got) < 600  # not the 3,160 pairs of 80 copies
+
+
 def test_features_look_at_all_of_a_long_candidate():
     from terrapane.llm.secret_scan import value_features
 
