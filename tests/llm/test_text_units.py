@@ -451,6 +451,29 @@ def test_occurrences_of_frequent_seeds_are_all_compared():
         assert len(got) < 600  # not the 3,160 pairs of 80 copies
 
 
+def test_rows_of_one_word_are_matched_by_few_places():
+    """Of two rows of one word, a few ways to lay them side by side are matched, not one for each place; those that are in a passage are among them."""
+    from terrapane.llm import substring_dedup as d
+
+    around, long, short = d.Around(6, 50, 80), 42, 34
+    own = lambda i, n, c: [f"{c}{i}.{j}" for j in range(n)]
+    texts = [own(i, 60, "a") + ["the"] * (long if i % 2 else short) + own(i, 60, "b") for i in range(30)]
+    texts[1] = own(1, 50, "a") + texts[0][50:60] + ["the"] * long + own(1, 60, "b")  # ten words more before the row
+    texts[3] = own(3, 60, "a") + ["the"] * long + texts[2][-60:-48] + own(3, 48, "b")  # and after it
+    w = Words(pa.array([" ".join(t) for t in texts]))
+    row = np.concatenate([np.full((long if i % 2 else short) - 5, i) for i in range(30)])
+    place = np.concatenate([60 + np.arange((long if i % 2 else short) - 5) for i in range(30)])
+    near = around.words(w, row, place)
+    for n in (30, 6):  # more than MANY occurrences, and fewer
+        at = np.flatnonzero(row < n) if n == 30 else np.flatnonzero((row < 4) & (row != 1))
+        table = pa.table({"seed": np.ones(len(at), np.int64), "class": row[at], "place": place[at].astype(np.int32), "block": np.zeros(len(at), np.int32), "near": [near[x].tobytes() for x in at]})
+        found = {tuple(map(int, m)) for part in d.near_matches(table, around) for m in zip(*part, strict=True)}
+        shifts = {(a, b, at_a - at_b) for a, b, at_a, at_b in found}
+        assert (2, 3, short - long) in shifts and (n == 6 or (0, 1, 0) in shifts)
+        assert not any(texts[a].count("the") == texts[b].count("the") == short for a, b, *_ in found)  # 34 words side by side are no passage
+        assert len(found) <= 6 * len({m[:2] for m in found})
+
+
 def test_features_look_at_all_of_a_long_candidate():
     from terrapane.llm.secret_scan import value_features
 
