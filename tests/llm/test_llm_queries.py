@@ -178,6 +178,19 @@ def test_fuzzy_passages_of_frequent_seeds_only(spark):
     assert {frozenset((n * 152, n * 152 + 1)) for n in shares_a_seed} == got and len(shares_a_seed) >= 8
 
 
+def test_every_pair_of_many_near_copies_has_a_passage(spark):
+    """150 texts have the same 60 words, two of which differ in each (20 in the middle never do, so a seed is shared): all pairs of them are linked, and both places of a text that has them twice."""
+    base, changed = prose(501, 60).split(), lambda n: {(7 * n) % 20, 40 + (11 * n) % 20}
+    copy = lambda n: [w if i not in changed(n) else f"x{n}.{i}" for i, w in enumerate(base)]
+    texts = [[*prose(30_000 + n, 40).split(), *copy(n), *prose(40_000 + n, 40).split()] for n in range(150)]
+    texts[0] += [*copy(200), *prose(50_000, 40).split()]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(df).collect()
+    assert len({frozenset((r["doc_id"], r["other_id"])) for r in got}) == 150 * 149 // 2
+    twice = [{r["start"] < 140 if r["doc_id"] == 0 else r["other_start"] < 140 for r in got if {r["doc_id"], r["other_id"]} == {0, n}} for n in range(1, 150)]
+    assert all(len(t) == 2 for t in twice)
+
+
 def test_lm_against_plain_python(spark, odd):
     train = odd.where("doc_id % 5 <> 1")
     got = {(r["doc_id"], r["n_tokens"]): r for r in ngram_lm.score(odd, train).collect()}

@@ -451,6 +451,31 @@ def test_occurrences_of_frequent_seeds_are_all_compared():
         assert len(got) < 600  # not the 3,160 pairs of 80 copies
 
 
+def test_all_pairs_of_a_frequent_seed_are_matched_against_brute_force():
+    """Every two of many copies, and every place of a text in which a copy is twice; also when they are dealt to blocks."""
+    from terrapane.llm import substring_dedup as d
+
+    around, r, n, half = d.Around(6, 50, 80), np.random.default_rng(6), 300, 57
+    near = r.integers(1, 255, (n, 2 * half)).astype(np.uint8)
+    for c in range(100, 260):  # copies; the last 80 agree after the seed only
+        near[c] = np.where(r.random(2 * half) < 0.02, r.integers(1, 255, 2 * half), near[100])
+        near[c, :half] = near[c, :half] if c < 180 else r.integers(1, 255, half)
+    text, place = np.arange(n), np.zeros(n, np.int32)
+    text[101], place[101] = 100, 500
+    same = (near[:, None, 1:-1] == near[None, :, 1:-1]).sum(axis=2) >= 45
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(same, 1)), strict=True) if text[i] != text[j]}
+    assert len(want) >= 160 * 159 // 2 - 1 - 20
+    named = {(int(text[i]), int(place[i])): i for i in range(n)}
+    for block in (np.zeros(n, np.int32), (text % 2).astype(np.int32)):
+        got = []
+        for low, high in ((0, 0), (0, 1), (1, 1)) if block.any() else ((0, 0),):
+            at = np.flatnonzero((block == low) | (block == high))
+            table = pa.table({"seed": np.ones(len(at), np.int64), "class": text[at], "place": place[at], "block": block[at], "near": [near[x].tobytes() for x in at]})
+            for match in d.near_matches(table, around, joined=False):
+                got += [tuple(sorted((named[a, i], named[b, j]))) for a, b, i, j in zip(*(x.tolist() for x in match), strict=True)]
+        assert len(got) >= len(want) and not want - set(got)
+
+
 def test_rows_of_one_word_are_matched_by_few_places():
     """Of two rows of one word, a few ways to lay them side by side are matched, not one for each place; those that are in a passage are among them."""
     from terrapane.llm import substring_dedup as d
