@@ -191,6 +191,19 @@ def test_every_pair_of_many_near_copies_has_a_passage(spark):
     assert all(len(t) == 2 for t in twice)
 
 
+def test_a_stretch_that_is_twice_in_a_text_has_passages_at_both_places(spark):
+    """A text has 250 words twice, so a seed's places among equal words; ten others have 60 of the words, every tenth changed, and 40 quote ten each."""
+    base = prose(700, 250).split()
+    texts = [[*base, *base]]
+    texts += [[*prose(60_000 + n, 40).split(), *(w if (i + n) % 10 else f"x{n}.{i}" for i, w in enumerate(base[95:155])), *prose(61_000 + n, 40).split()] for n in range(10)]
+    texts += [[*prose(62_000 + n, 60).split(), *base[90 + n : 110 + n], *prose(63_000 + n, 60).split()] for n in range(40)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(df).collect()
+    places = {n: {(r["start"] if r["doc_id"] == 0 else r["other_start"]) >= 250 for r in got if {r["doc_id"], r["other_id"]} == {0, n}} for n in range(1, 11)}
+    found = [p for p in places.values() if p]
+    assert len(found) >= 8 and all(p == {False, True} for p in found)
+
+
 def test_lm_against_plain_python(spark, odd):
     train = odd.where("doc_id % 5 <> 1")
     got = {(r["doc_id"], r["n_tokens"]): r for r in ngram_lm.score(odd, train).collect()}
